@@ -7,7 +7,6 @@ from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lendscope.functions import constants as K
@@ -107,16 +106,17 @@ def woe_bins(
     if categories:
         texts = df.select(event, *[F.col(c).cast("string").alias(c) for c in categories])
         pieces.append(texts.unpivot([event], list(categories), "name", "bin").where(F.col("bin").isNotNull()))
-    # Counted before the union and before the window, so that only bins reach it.
+    # Counted before the union, so that only bins leave the scan.
     counted = [
         p.groupBy("name", "bin").agg(F.count(F.lit(1)).alias("total"), F.sum(event).alias("events")) for p in pieces
     ]
     bins = reduce(DataFrame.unionByName, counted)
-    whole = W.partitionBy("name")
-    bins = bins.withColumn("non_events", F.col("total") - F.col("events")).withColumns({
-        "dist_ev": F.col("events") / F.sum("events").over(whole),
-        "dist_nev": F.col("total") - F.col("events"),
-    }).withColumn("dist_nev", F.col("dist_nev") / F.sum("non_events").over(whole))
+    # One row per listed column: safe to broadcast whatever the number of bins.
+    totals = bins.groupBy("name").agg(F.sum("events").alias("all_ev"), F.sum(F.col("total") - F.col("events")).alias("all_nev"))
+    bins = bins.join(F.broadcast(totals), "name").selectExpr(
+        "name", "bin", "total", "events", "total - events AS non_events",
+        "events / CAST(all_ev AS DOUBLE) AS dist_ev", "(total - events) / CAST(all_nev AS DOUBLE) AS dist_nev",
+    )
     eps = F.lit(K.WOE_EPSILON)
     bins = bins.withColumn("woe", F.ln((F.col("dist_ev") + eps) / (F.col("dist_nev") + eps)))
     return bins.withColumn("iv_bin", (F.col("dist_ev") - F.col("dist_nev")) * F.col("woe"))

@@ -18,6 +18,7 @@ from lendscope.operators.quantiles import collected_quantiles, even_probs
 from lendscope.operators.running import running_totals
 
 LOGGED_DIGITS = 6
+CURVE_NAMES = {"cum_pos": "tp", "cum_neg": "fp", "total_pos": "p", "total_neg": "n"}
 
 
 def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = (), digits: int | None = None) -> DataFrame:
@@ -33,7 +34,7 @@ def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = (),
 def score_curve(
     df: DataFrame, score: str, label: str, by: Sequence[str] = (), digits: int | None = None, levels: int | None = None
 ) -> DataFrame:
-    """``(by..., score, pos, neg, tp, fp)`` with counts at or above each score.
+    """``(by..., score, pos, neg, tp, fp, p, n)``: counts at or above each score, and class totals.
 
     ``digits`` rounds probabilities first, which bounds the table by ``10**digits + 1`` rows per
     group; ``levels`` states another proven bound. Without either the bound is looked up.
@@ -42,7 +43,7 @@ def score_curve(
         levels = 10**digits + 1
     counts = score_counts(df, score, label, by, digits)
     cum = running_totals(counts, "score", ["pos", "neg"], by, levels=levels, window_rows=1_000_001)
-    return cum.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
+    return cum.withColumnsRenamed(CURVE_NAMES)
 
 
 def curve_areas(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -112,30 +113,19 @@ def classification_summary(
 
 def roc_points(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(by..., threshold, fpr, tpr)`` for each distinct score, after a start row at (0, 0)."""
-    p, n = _totals(curve, by)
-    points = curve.select(*by, F.col("score").alias("threshold"), (F.col("fp") / n).alias("fpr"),
-                          (F.col("tp") / p).alias("tpr"))
-    start = curve.groupBy(*by).agg(F.first(F.lit(None).cast("double")).alias("threshold")).select(
-        *by, "threshold", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    points = curve.selectExpr(
+        *by, "score AS threshold", "fp / CAST(nullif(n, 0) AS DOUBLE) AS fpr", "tp / CAST(nullif(p, 0) AS DOUBLE) AS tpr"
+    )
+    start = curve.groupBy(*by).agg(F.count(F.lit(1))).selectExpr(
+        *by, "CAST(NULL AS DOUBLE) AS threshold", "0D AS fpr", "0D AS tpr")
     return points.unionByName(start)
 
 
-def _totals(curve: DataFrame, by: Sequence[str]) -> tuple[Column, Column]:
-    """Class totals as columns: literals for one group, a window over the group's totals otherwise."""
-    if by:
-        whole = W.partitionBy(*by)
-        return F.sum("pos").over(whole), F.sum("neg").over(whole)
-    row = curve.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
-    return F.lit(float(row["p"] or 0)), F.lit(float(row["n"] or 0))
-
-
 def threshold_table(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Precision, recall and F1 when rows at or above each distinct score are flagged."""
-    p, _ = _totals(curve, by)
-    table = curve.select(
-        *by, F.col("score").alias("threshold"),
-        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        (F.col("tp") / F.nullif(p, F.lit(0.0))).alias("recall"),
+    table = curve.selectExpr(
+        *by, "score AS threshold", "tp / CAST(tp + fp AS DOUBLE) AS precision",
+        "tp / CAST(nullif(p, 0) AS DOUBLE) AS recall",
     )
     pr = F.col("precision") + F.col("recall")
     return table.withColumn(
@@ -152,31 +142,30 @@ def pr_points(curve: DataFrame) -> DataFrame:
     return table.unionByName(last)
 
 
-def event_rate(curve: DataFrame) -> DataFrame:
-    return curve.agg((F.sum("pos") / F.sum(F.col("pos") + F.col("neg"))).alias("event_rate"))
-
-
 def pick_threshold(curve: DataFrame, strategy: str = "f1", min_precision: float = 0.05) -> DataFrame:
     """One row ``threshold``; equal candidates resolve to the lowest.
 
     ``f1``: best F1. ``recall``: best recall among thresholds with enough precision, else the event
     rate. Both are kept within fixed limits. ``prior``: the event rate, unlimited.
     """
+    prior = F.expr("sum(pos) / CAST(sum(pos + neg) AS DOUBLE)")
     if strategy == "prior":
-        return event_rate(curve).withColumnRenamed("event_rate", "threshold")
+        return curve.agg(prior.alias("threshold"))
     if strategy not in ("f1", "recall"):
         raise ValueError(f"unknown strategy {strategy!r}; known: f1, recall, prior")
-    table = threshold_table(curve)
+    # The same quotients as in the threshold table, so that near-equal candidates rank alike.
+    tp = F.col("tp").cast("double")
+    precision, recall = tp / (F.col("tp") + F.col("fp")), tp / F.nullif(F.col("p"), F.lit(0))
     if strategy == "f1":
-        best = table.agg(F.max(F.struct("f1", -F.col("threshold"))).alias("best"))
-        found = best.select((-F.col("best")["col2"]).alias("threshold"))
+        both = precision + recall
+        rank, valid = F.when(both > 0, 2 * precision * recall / both).otherwise(0.0), F.lit(True)
     else:
-        valid = table.where(F.col("precision") >= F.lit(float(min_precision)))
-        best = valid.agg(F.max(F.struct("recall", -F.col("threshold"))).alias("best"))
-        fallback = event_rate(curve).first()["event_rate"]
-        found = best.select(F.coalesce(-F.col("best")["col2"], F.lit(fallback)).alias("threshold"))
-    limited = F.least(F.greatest(F.col("threshold"), F.lit(K.THRESHOLD_FLOOR)), F.lit(K.THRESHOLD_CEILING))
-    return found.select(limited.alias("threshold"))
+        rank, valid = recall, precision >= F.lit(float(min_precision))
+    best = F.max(F.when(valid, F.struct(rank.alias("rank"), (-F.col("score")).alias("low"))))
+    picked = curve.agg(best.alias("best"), prior.alias("prior"))
+    threshold = F.coalesce(-F.col("best")["low"], F.col("prior"))
+    limited = F.least(F.greatest(threshold, F.lit(K.THRESHOLD_FLOOR)), F.lit(K.THRESHOLD_CEILING))
+    return picked.select(limited.alias("threshold"))
 
 
 def nearest_threshold(curve: DataFrame, current: float) -> DataFrame:

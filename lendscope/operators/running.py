@@ -24,7 +24,7 @@ def running_totals(
     levels: int | None = None,
     window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """Add ``cum_<c>`` for each total: the sum over rows up to and including this value, per group.
+    """Add ``cum_<c>``, the sum over rows up to and including this value, and ``total_<c>``, per group.
 
     ``counts`` holds one row per group and value. With ``levels``, a proven bound on the values per
     group, up to ``window_rows``, one window per group is used. Otherwise the number of rows is
@@ -34,11 +34,13 @@ def running_totals(
     by = list(by)
     direction = F.col(value).desc() if descending else F.col(value).asc()
     if levels is not None and levels <= window_rows:
-        return _windowed(counts, direction, totals, by)
+        return _whole(counts, direction, totals, by)
     counts = counts.persist()
     rows = counts.count()
     if rows <= window_rows:
-        return _windowed(counts, direction, totals, by)
+        return _whole(counts, direction, totals, by)
+    # Cut points come from a sketch and are constants from here on: a recomputed task places its
+    # rows as before. A range holds few more rows than the sketch promises.
     ranges = min(MAX_RANGES, -(-rows // window_rows) * 2)
     probs = [i / ranges for i in range(1, ranges)]
     inner = counts.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10 * ranges)).first()[0]
@@ -47,17 +49,29 @@ def running_totals(
         counts.withColumn("_place", F.col(value).cast("double"))
     )
     sums = cut.groupBy(*by, "_range").agg(*[F.sum(c).alias(c) for c in totals])
-    range_order = W.partitionBy(*by).orderBy(F.col("_range").desc() if descending else F.col("_range").asc())
-    offsets = settle(
-        sums.select(*by, "_range", *[(F.sum(c).over(range_order) - F.col(c)).alias(f"_off_{c}") for c in totals])
-    )
-    local = _windowed(cut, direction, totals, [*by, "_range"])
+    group = W.partitionBy(*by)
+    before = group.orderBy(F.col("_range").desc() if descending else F.col("_range").asc())
+    offsets = settle(sums.select(
+        *by, "_range",
+        *[(F.sum(c).over(before) - F.col(c)).alias(f"_off_{c}") for c in totals],
+        *[F.sum(c).over(group).alias(f"total_{c}") for c in totals],
+    ))
+    local = cut.select("*", *_cumulated(totals, direction, [*by, "_range"]))
     on = [local[c].eqNullSafe(offsets[c]) for c in [*by, "_range"]]
-    joined = local.join(offsets, on)
-    keep = [local[c] for c in counts.columns]
-    return joined.select(*keep, *[(F.col(f"cum_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in totals])
+    return local.join(offsets, on).select(
+        *[local[c] for c in counts.columns],
+        *[(F.col(f"cum_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in totals],
+        *[f"total_{c}" for c in totals],
+    )
 
 
-def _windowed(counts: DataFrame, direction, totals: Sequence[str], by: Sequence[str]) -> DataFrame:
+def _cumulated(totals: Sequence[str], direction, by: Sequence[str]) -> list:
     order = W.partitionBy(*by).orderBy(direction).rowsBetween(W.unboundedPreceding, 0)
-    return counts.select("*", *[F.sum(c).over(order).alias(f"cum_{c}") for c in totals])
+    return [F.sum(c).over(order).alias(f"cum_{c}") for c in totals]
+
+
+def _whole(counts: DataFrame, direction, totals: Sequence[str], by: Sequence[str]) -> DataFrame:
+    group = W.partitionBy(*by)
+    return counts.select(
+        "*", *_cumulated(totals, direction, by), *[F.sum(c).over(group).alias(f"total_{c}") for c in totals]
+    )

@@ -25,6 +25,7 @@ from lendscope.operators.splits import folds, repeated_shuffles
 from lendscope.sources.workspace import settle
 
 FEATURES, WEIGHT = "_features", "_weight"
+ROWS_PER_TASK = 50_000
 CV_METRICS = ("accuracy", "f1", "precision", "recall", "roc_auc")
 
 # The model catalogue used when none is given.
@@ -81,7 +82,7 @@ def make_estimator(spec: Mapping, label: str, total_weight: float) -> Estimator:
     if kind == "logistic_regression":
         return LogisticRegression(
             maxIter=p.get("max_iter", 100), regParam=1.0 / (p.get("C", 1.0) * total_weight),
-            elasticNetParam=0.0, standardization=False, tol=1e-8, **common,
+            elasticNetParam=0.0, standardization=False, tol=p.get("tol", 1e-6), **common,
         )
     if kind == "decision_tree":
         return DecisionTreeClassifier(**tree, **common)
@@ -114,13 +115,17 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def fit_classifier(spec: Mapping, train: DataFrame, label: str, features: Sequence[str]) -> Model:
-    """Fit on assembled, weighted rows. The input is kept for the iterations, then released."""
+    """Fit on assembled, weighted rows. The input is kept for the iterations, then released.
+
+    Every iteration is a job over all partitions, so few rows are gathered in few of them.
+    """
     n0, n1 = class_counts(train, label)
     w0, w1 = class_weights(spec, n0, n1)
+    tasks = max(1, -(-(n0 + n1) // ROWS_PER_TASK))
     ready = assemble(train, features).select(
         FEATURES, F.col(label).cast("double").alias(label),
         F.when(F.col(label) == 1, w1).otherwise(w0).alias(WEIGHT),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    ).coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return make_estimator(spec, label, n0 * w0 + n1 * w1).fit(ready)
     finally:

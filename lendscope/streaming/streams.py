@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendscope.operators.metrics import curve_areas
+from lendscope.functions.expressions import month_key
+from lendscope.operators.metrics import CURVE_NAMES, curve_areas
 from lendscope.operators.monitoring import window_aggregates, with_window_rates
 from lendscope.operators.running import running_totals
+from lendscope.sources.sinks import MONTH, UNDATED
 from lendscope.sources.workspace import work_path
 
 SCORE_DIGITS = 3
 
 
 def read_files(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Stream the files of a folder, or one file ending in ``.parquet``.
+
+    A file stream takes a plain path for a folder; written as a pattern it may also be a single file.
+    """
+    if path.endswith(".parquet"):
+        path = path[:-1] + "[t]"
     return spark.readStream.schema(schema).parquet(path)
 
 
@@ -93,27 +102,45 @@ def run_complete(result: DataFrame, checkpoint: str, target: str) -> DataFrame:
 
 def window_areas(score_counts: DataFrame) -> DataFrame:
     """ROC-AUC and average precision per window from the streamed score counts."""
-    curve = running_totals(score_counts, "score", ["pos", "neg"], ["window_start"], levels=10**SCORE_DIGITS + 1)
-    return curve_areas(curve.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"}), ["window_start"])
+    cum = running_totals(score_counts, "score", ["pos", "neg"], ["window_start"], levels=10**SCORE_DIGITS + 1)
+    return curve_areas(cum.withColumnsRenamed(CURVE_NAMES), ["window_start"])
 
 
 def stream_ingest(
-    spark: SparkSession, source: str, schema, key: str, ts: str, since: str | None, sink: str, checkpoint: str,
-    lateness: str = "1 day",
+    spark: SparkSession, source: str, schema, key: str, ts: str, since: str | None, sink: str, checkpoint: str
 ) -> DataFrame:
-    """Pick up files that arrived since the last run; repeated keys within the lateness are dropped."""
+    """Pick up files that arrived since the last run, each key once, into a month-partitioned table.
+
+    A repeated key is recognised against the stored keys of the months it could be in, however late
+    it comes; a batch that is run again after a failure therefore adds nothing twice.
+    """
     rows = read_files(spark, source, schema)
     if since is not None:
         rows = rows.where(F.col(ts) >= F.lit(since).cast("timestamp_ntz"))
-    event_time = F.col(ts).cast("timestamp")
-    unique = (
-        rows.withColumn("_event_time", event_time)
-        .withWatermark("_event_time", lateness)
-        .dropDuplicatesWithinWatermark([key])
-        .drop("_event_time")
-    )
-    run_to_files(unique, sink, checkpoint)
-    return spark.read.schema(unique.schema).parquet(sink)
+    rows = rows.withColumn(MONTH, F.coalesce(month_key(F.col(ts)), F.lit(UNDATED)))
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        months = [r[0] for r in batch.select(MONTH).distinct().collect()]
+        stored = batch.sparkSession.read.schema(rows.schema).parquet(sink) if batch_id or _exists(spark, sink) else None
+        unique = batch.dropDuplicates([key])
+        if stored is not None:
+            known = stored.where(F.col(MONTH).isin(months)).select(key)
+            unique = unique.join(known, key, "left_anti")
+        unique.hint("rebalance", MONTH).write.partitionBy(MONTH).mode("append").parquet(sink)
+        batch.unpersist()
+
+    query = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(sink).drop(MONTH)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
 
 
 def fresh_paths(spark: SparkSession, name: str) -> tuple[str, str]:
