@@ -18,17 +18,24 @@ from lendscope.sources.workspace import settle
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(a, b, corr)`` for each pair, over the rows where both are present, in one pass."""
-    pairs = list(combinations(columns, 2))
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}")
-                    for i, (a, b) in enumerate(pairs)])
-    cells = ", ".join(f"'{a}', '{b}', c{i}" for i, (a, b) in enumerate(pairs))
-    return wide.selectExpr(f"stack({len(pairs)}, {cells}) AS (a, b, corr)")
+    """``(a, b, corr)`` for each pair, over the rows where both are present, in one pass.
+
+    Each row is spread into its pairs and folded map-side; one aggregate per pair side by side
+    would outgrow what can be compiled.
+    """
+    return _correlations(df, columns, list(combinations(columns, 2)))
+
+
+def _correlations(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    numbers = df.selectExpr(*[f"nanvl(try_cast(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)) AS `{c}`" for c in columns])
+    cells = ", ".join(f"'{a}', '{b}', `{a}`, `{b}`" for a, b in pairs)
+    long = numbers.selectExpr(f"stack({len(pairs)}, {cells}) AS (a, b, x, y)")
+    return long.groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
 
 
 def correlation_ranking(df: DataFrame, columns: Sequence[str], event: str) -> DataFrame:
-    wide = df.agg(*[F.corr(F.col(c).cast("double"), F.col(event).cast("double")).alias(c) for c in columns])
-    return wide.unpivot([], list(columns), "name", "corr").orderBy(F.abs("corr").desc(), "name")
+    found = _correlations(df, [*columns, event], [(c, event) for c in columns])
+    return found.selectExpr("a AS name", "corr").orderBy(F.abs("corr").desc(), "name")
 
 
 def welch_stats(df: DataFrame, columns: Sequence[str], event: str) -> DataFrame:
@@ -102,7 +109,7 @@ def woe_bins(
     pieces = []
     if numeric:
         edges = quantile_edges(df, numeric, parts)
-        pieces.append(quantile_bins(df, edges, [event]).withColumn("bin", F.col("bin").cast("string")))
+        pieces.append(quantile_bins(df, edges, event).withColumn("bin", F.col("bin").cast("string")))
     if categories:
         texts = df.select(event, *[F.col(c).cast("string").alias(c) for c in categories])
         pieces.append(texts.unpivot([event], list(categories), "name", "bin").where(F.col("bin").isNotNull()))

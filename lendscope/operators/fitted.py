@@ -39,15 +39,21 @@ def _rows(params: DataFrame) -> dict[str, dict[str, list]]:
     return out
 
 
-def fit_segment_medians(df: DataFrame, segments: Mapping[str, str]) -> DataFrame:
-    """Median of each column per value of its segment column, and over all rows."""
-    present = {c: g for c, g in segments.items() if c in df.columns}
-    if not present:
-        return _local(df.sparkSession, [])
-    overall = collected_quantiles(df, list(present), [0.5])
-    parts = [_local(df.sparkSession, [("median", c, None, m[0], 0) for c, m in overall.items()])]
-    for group in dict.fromkeys(present.values()):
-        cols = [c for c, g in present.items() if g == group]
+def _overall(df: DataFrame, medians: Sequence[str], caps: Sequence[str], quantile: float) -> list[tuple]:
+    """Ungrouped medians and caps from one shared pair of passes."""
+    wanted = list(dict.fromkeys([*medians, *caps]))
+    if not wanted:
+        return []
+    probs = sorted({*([0.5] if medians else []), *([quantile] if caps else [])})
+    found = collected_quantiles(df, wanted, probs)
+    rows = [("median", c, None, found[c][probs.index(0.5)], 0) for c in medians if c in found]
+    return rows + [("cap", c, None, found[c][probs.index(quantile)], 0) for c in caps if c in found]
+
+
+def _segment_rows(df: DataFrame, segments: Mapping[str, str]) -> list[DataFrame]:
+    parts = []
+    for group in dict.fromkeys(segments.values()):
+        cols = [c for c, g in segments.items() if g == group]
         parts.append(
             exact_quantiles(df.where(F.col(group).isNotNull()), cols, [0.5], [group]).select(
                 F.lit(SEGMENT_MEDIAN).alias("step"), F.col("name").alias("feature"),
@@ -55,7 +61,20 @@ def fit_segment_medians(df: DataFrame, segments: Mapping[str, str]) -> DataFrame
                 F.lit(0).alias("place"),
             )
         )
-    return reduce(DataFrame.unionByName, parts)
+    return parts
+
+
+def _present(df: DataFrame, columns):
+    if isinstance(columns, Mapping):
+        return {c: g for c, g in columns.items() if c in df.columns}
+    return [c for c in columns if c in df.columns]
+
+
+def fit_segment_medians(df: DataFrame, segments: Mapping[str, str]) -> DataFrame:
+    """Median of each column per value of its segment column, and over all rows."""
+    present = _present(df, segments)
+    overall = _local(df.sparkSession, _overall(df, list(present), [], 0.5))
+    return reduce(DataFrame.unionByName, [overall, *_segment_rows(df, present)])
 
 
 def apply_segment_medians(df: DataFrame, params: DataFrame, segments: Mapping[str, str]) -> DataFrame:
@@ -76,9 +95,7 @@ def apply_segment_medians(df: DataFrame, params: DataFrame, segments: Mapping[st
 
 
 def fit_caps(df: DataFrame, columns: Sequence[str], quantile: float = 0.99) -> DataFrame:
-    present = [c for c in columns if c in df.columns]
-    caps = collected_quantiles(df, present, [quantile]) if present else {}
-    return _local(df.sparkSession, [("cap", c, None, q[0], 0) for c, q in caps.items()])
+    return _local(df.sparkSession, _overall(df, [], _present(df, columns), quantile))
 
 
 def apply_caps(df: DataFrame, params: DataFrame) -> DataFrame:
@@ -90,10 +107,22 @@ def apply_caps(df: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def fit_base(train: DataFrame, config: Mapping) -> DataFrame:
-    """Imputation medians and caps, learned from the training rows only."""
-    medians = fit_segment_medians(train, config.get("impute", {}))
-    caps = fit_caps(train, config.get("cap_columns", ()), config.get("cap_quantile", 0.99))
-    return medians.unionByName(caps)
+    """Imputation medians and caps, learned from the training rows only.
+
+    A column that is both imputed and capped is capped at the quantile of its imputed values, as
+    the steps follow each other; all other caps share the passes of the medians.
+    """
+    segments = _present(train, config.get("impute", {}))
+    caps, quantile = _present(train, config.get("cap_columns", ())), config.get("cap_quantile", 0.99)
+    overall = _local(
+        train.sparkSession, _overall(train, list(segments), [c for c in caps if c not in segments], quantile)
+    )
+    params = reduce(DataFrame.unionByName, [overall, *_segment_rows(train, segments)])
+    late = [c for c in caps if c in segments]
+    if late:
+        params = settle(params)
+        params = params.unionByName(fit_caps(apply_segment_medians(train, params, segments), late, quantile))
+    return params
 
 
 def apply_base(df: DataFrame, params: DataFrame, config: Mapping) -> DataFrame:
@@ -103,20 +132,25 @@ def apply_base(df: DataFrame, params: DataFrame, config: Mapping) -> DataFrame:
 
 
 def _fit_numeric(df: DataFrame, columns: Sequence[str]) -> list[tuple]:
+    """Median, and mean and population spread after filling nulls with it.
+
+    The spread of the filled column follows from the moments of the present values and the number
+    of nulls, so the fill value need not be known while they are gathered.
+    """
     if not columns:
         return []
     medians = {c: m[0] for c, m in collected_quantiles(df, columns, [0.5]).items()}
-    filled = {c: F.coalesce(as_number(c), F.lit(medians.get(c)).cast("double")) for c in columns}
-    # One long table and one grouped pass, whatever the number of columns.
-    stats = (
-        unpivot_numbers(df.select(*[x.alias(c) for c, x in filled.items()]), columns)
-        .groupBy("name").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    )
-    rows = []
-    for r in stats.collect():
-        rows.append(("center", r["name"], None, r["mean"], 0))
-        rows.append(("spread", r["name"], None, r["std"] or 1.0, 0))
-    return rows + [("fill", c, None, m, 0) for c, m in medians.items()]
+    moments = unpivot_numbers(df, columns).groupBy("name").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
+    total = df.count()
+    rows = [("fill", c, None, m, 0) for c, m in medians.items()]
+    for r in moments.collect():
+        n, missing, fill = r["n"], total - r["n"], medians[r["name"]]
+        mean = (n * r["mean"] + missing * fill) / total
+        var = (n * (r["var"] + (r["mean"] - mean) ** 2) + missing * (fill - mean) ** 2) / total
+        rows.append(("center", r["name"], None, mean, 0))
+        rows.append(("spread", r["name"], None, var**0.5 or 1.0, 0))
+    return rows
 
 
 def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

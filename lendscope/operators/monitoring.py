@@ -3,32 +3,30 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendscope.functions import constants as K
-from lendscope.functions.expressions import equal_width_bin, month_key, psi_status
+from lendscope.functions.expressions import month_key, psi_status
 from lendscope.operators.metrics import curve_areas, score_curve
-from lendscope.operators.profile import histogram
+from lendscope.operators.profile import equal_width_place, histogram
 from lendscope.operators.quantiles import collected_quantiles, exact_quantiles, unpivot_numbers
+from lendscope.sources.workspace import settle
 
 log = logging.getLogger(__name__)
 EDGE_SLACK = 1e-9
 
 
-def _binned(df: DataFrame, spans: Mapping[str, tuple[float, float]], bins: int, side: str) -> DataFrame:
-    exprs = []
-    for c, (lo, hi) in spans.items():
-        value = F.col(c).cast("double")
-        inside = F.when((value >= F.lit(lo - EDGE_SLACK)) & (value <= F.lit(hi + EDGE_SLACK)),
-                        F.greatest(F.least(value, F.lit(hi)), F.lit(lo)))
-        # -1 stands for present but outside every bin, null for a missing value.
-        place = F.when(value.isNotNull() & ~F.isnan(value), F.coalesce(equal_width_bin(inside, lo, hi, bins), F.lit(-1)))
-        exprs.append(place.alias(c))
-    long = df.select(*exprs).unpivot([], list(spans), "name", "bin").where(F.col("bin").isNotNull())
-    return long.groupBy("name", "bin").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(side))
+def _bin_counts(df: DataFrame, spans: DataFrame, columns: Sequence[str], bins: int, side: str) -> DataFrame:
+    """``(name, bin, side, n)``; bin -1 stands for values outside the reference range."""
+    long = unpivot_numbers(df, columns).join(F.broadcast(spans), "name")  # one span row per listed column
+    inside = f"value >= lo - {EDGE_SLACK!r}D AND value <= hi + {EDGE_SLACK!r}D"
+    clamped = long.selectExpr("name", "lo", "width", f"IF({inside}, greatest(least(value, hi), lo), NULL) AS v")
+    place = F.coalesce(equal_width_place("v", "lo", "width", bins), F.lit(-1)).cast("long")
+    return clamped.groupBy("name", place.alias("bin")).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "side", F.lit(side))
 
 
 def psi(reference: DataFrame, production: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
@@ -38,17 +36,19 @@ def psi(reference: DataFrame, production: DataFrame, columns: Sequence[str], bin
     fewer than two values on either side is left out.
     """
     present = [c for c in columns if c in reference.columns and c in production.columns]
-    spans = {
-        r["name"]: (r["lo"], r["hi"])
-        for r in unpivot_numbers(reference, present).groupBy("name").agg(
-            F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
-    }
-    counts = _binned(reference, spans, bins, "ref").unionByName(_binned(production, spans, bins, "prod"))
+    ranges = unpivot_numbers(reference, present).groupBy("name").agg(
+        F.min("value").alias("a"), F.max("value").alias("b"))
+    spans = settle(ranges.selectExpr(
+        "name", "IF(a = b, a - 0.5D, a) AS lo", "IF(a = b, b + 0.5D, b) AS hi",
+        f"IF(a = b, 1D, b - a) / {bins} AS width",
+    ))
+    counts = _bin_counts(reference, spans, present, bins, "ref").unionByName(
+        _bin_counts(production, spans, present, bins, "prod"))
     per_bin = counts.groupBy("name", "bin").agg(
         F.sum(F.when(F.col("side") == "ref", F.col("n")).otherwise(0)).alias("r"),
         F.sum(F.when(F.col("side") == "prod", F.col("n")).otherwise(0)).alias("p"),
     )
-    # One row per column with its bin counts as arrays; bins nobody fell in are added as zero.
+    # One row per column with its bin counts as a map; bins nobody fell in count as zero.
     packed = per_bin.groupBy("name").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", F.struct("r", "p")))).alias("m"),
         F.sum("r").alias("nr"), F.sum("p").alias("np"),
@@ -60,7 +60,7 @@ def psi(reference: DataFrame, production: DataFrame, columns: Sequence[str], bin
     p, q = share("r", "nr"), share("p", "np")
     return packed.selectExpr(
         "name",
-        f"aggregate(sequence(0, {bins - 1}), 0D, (acc, i) -> acc + ({q} - {p}) * ln(({q}) / ({p}))) AS psi",
+        f"aggregate(sequence(0L, {bins - 1}L), 0D, (acc, i) -> acc + ({q} - {p}) * ln(({q}) / ({p}))) AS psi",
     )
 
 

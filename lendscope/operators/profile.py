@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lendscope.functions import constants as K
-from lendscope.functions.expressions import edge_bin, month_key, weekday_name
+from lendscope.functions.expressions import month_key, weekday_name
 from lendscope.operators.quantiles import collected_quantiles, even_probs, exact_quantiles, unpivot_numbers
 from lendscope.sources.workspace import settle
 
@@ -121,6 +121,18 @@ def _ranges(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> tuple[D
     return long, settle(ranges)
 
 
+def equal_width_place(value: str, lo: str, width: str, bins: int):
+    """0-based equal-width bin of a value inside the range, the last bin closed.
+
+    The quotient may round across an edge; comparing with the edges themselves settles the bin.
+    """
+    guess = f"least(floor(({value} - {lo}) / {width}), {bins - 1})"
+    return F.expr(
+        f"{guess} - IF({value} < {lo} + {guess} * {width}, 1, 0)"
+        f" + IF({guess} < {bins - 1} AND {value} >= {lo} + ({guess} + 1) * {width}, 1, 0)"
+    )
+
+
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins per column over its own range, and per group over the group's own range.
 
@@ -134,15 +146,9 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30, by: Sequenc
         F.expr("CASE WHEN lo = hi THEN lo - 0.5D ELSE lo END AS lo"),
         F.expr("CASE WHEN lo = hi THEN hi + 0.5D ELSE hi END AS hi"),
     ).withColumn("width", (F.col("hi") - F.col("lo")) / bins)
-    on = _match(long, spans, group)
-    guess = F.least(F.floor((F.col("value") - F.col("lo")) / F.col("width")), F.lit(bins - 1).cast("long"))
-    # The quotient may round across an edge; comparing with the edges settles the bin.
-    place = F.expr(
-        f"guess - CASE WHEN value < lo + guess * width THEN 1 ELSE 0 END"
-        f" + CASE WHEN guess < {bins - 1} AND value >= lo + (guess + 1) * width THEN 1 ELSE 0 END"
-    )
-    located = long.join(spans, on).select(*[long[c] for c in group], "value", "lo", "width", guess.alias("guess"))
-    counts = located.groupBy(*group, place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    located = long.join(spans, _match(long, spans, group)).select(
+        *[long[c] for c in group], equal_width_place("value", "lo", "width", bins).alias("bin"))
+    counts = located.groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("n"))
     full = spans.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
     found = full.join(counts, _match(full, counts, [*group, "bin"]), "left")
     n = F.coalesce(counts["n"], F.lit(0))
@@ -257,16 +263,19 @@ def quantile_edges(df: DataFrame, columns: Sequence[str], parts: int = 10) -> di
     return {c: sorted(set(edges)) for c, edges in found.items()}
 
 
-def quantile_bins(df: DataFrame, edges: dict[str, list[float]], keep: Sequence[str]) -> DataFrame:
-    """``(keep..., name, bin)``: the quantile bin of every present value, all columns in one pass."""
-    binned = df.select(*keep, *[edge_bin(F.col(c), e[:-1] or e).alias(c) for c, e in edges.items()])
-    return binned.unpivot(list(keep), list(edges), "name", "bin").where(F.col("bin").isNotNull())
+def quantile_bins(df: DataFrame, edges: dict[str, list[float]], keep: str) -> DataFrame:
+    """``(keep, name, bin)``: the quantile bin of every present value, all columns in one pass."""
+    table = df.sparkSession.createDataFrame(list(edges.items()), "name string, edges array<double>")
+    most = max((len(e) for e in edges.values()), default=0)
+    passed = " + ".join(["0", *[f"IF(get(edges, {i}) < value, 1, 0)" for i in range(most)]])
+    long = unpivot_numbers(df, list(edges), [keep])  # one edge row per listed column
+    return long.join(F.broadcast(table), "name").selectExpr(f"`{keep}`", "name", f"greatest(1, {passed}) AS bin")
 
 
 def rate_by_quantile(df: DataFrame, columns: Sequence[str], event: str, parts: int = 10) -> DataFrame:
     """Event rate per quantile bin of each column, with the bin's edges."""
     edges = quantile_edges(df, columns, parts)
-    rates = quantile_bins(df, edges, [event]).groupBy("name", "bin").agg(
+    rates = quantile_bins(df, edges, event).groupBy("name", "bin").agg(
         F.avg(event).alias("event_rate"), F.count(F.lit(1)).alias("n")
     )
     rows = [(c, i, lo, hi) for c, e in edges.items() for i, (lo, hi) in enumerate(zip(e, e[1:] or e), 1)]

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from lendscope.sources.workspace import settle_local
 
-GRID_STEPS = 1000
-SKETCH_ACCURACY = 10_000
+GRID_STEPS = 500
+SKETCH_ACCURACY = 5_000
 WINDOW_ROWS = 2_000_000
 
 
@@ -32,15 +32,17 @@ def unpivot_numbers(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
     return long.where("value IS NOT NULL")
 
 
-def _place(long: DataFrame, brackets: DataFrame | None, group: Sequence[str]) -> DataFrame:
-    """Add the first bracket not entirely below the value, and whether the value lies in it."""
+def _place(long: DataFrame, brackets: DataFrame | None, group: Sequence[str], most: int) -> DataFrame:
+    """Add the first of up to ``most`` brackets not entirely below the value, and whether it holds it."""
     if brackets is None:
         return long.selectExpr("*", "0 AS slot", "true AS inside")
     on = " AND ".join(f"l.`{c}` <=> b.`{c}`" for c in group)
     joined = long.alias("l").join(brackets.alias("b"), F.expr(on))
     keep = [f"l.`{c}`" for c in group]
+    # Written out rather than as a lambda over the array, so that it compiles with the scan.
+    passed = " + ".join(f"IF(get(highs, {i}) < value, 1, 0)" for i in range(most))
     return joined.selectExpr(
-        *keep, "value", "size(filter(highs, h -> h < value)) AS slot", "lows"
+        *keep, "value", f"{passed} AS slot", "lows"
     ).selectExpr(
         *[f"`{c}`" for c in group], "value", "slot", "coalesce(value >= get(lows, slot), false) AS inside"
     )
@@ -52,7 +54,7 @@ def _positions(probs: Sequence[float]) -> str:
 
 
 def _brackets(placed: DataFrame, probs: Sequence[float], group: Sequence[str]) -> DataFrame:
-    # One constant instead of a thousand literal nodes keeps the plan short.
+    # One constant instead of hundreds of literal nodes keeps the plan short.
     grid = ",".join(str(i / GRID_STEPS) for i in range(GRID_STEPS + 1))
     by, cols = names(group), [f"`{c}`" for c in group]
     pieces = placed.groupBy(*group, "slot", "inside").agg(
@@ -105,13 +107,13 @@ def exact_quantiles(
     long = unpivot_numbers(df, columns, by)
     brackets, widest = None, float("inf")
     while widest > window_rows:
-        brackets, local = settle_local(_brackets(_place(long, brackets, group), probs, group))
+        brackets, local = settle_local(_brackets(_place(long, brackets, group, len(probs)), probs, group))
         if local is not None:
             widest = pc.max(local["span"]).as_py() or 0
         else:
             widest = brackets.agg(F.max("span")).first()[0]
     cells = (
-        _place(long, brackets, group)
+        _place(long, brackets, group, len(probs))
         .selectExpr(*cols, "slot", "CASE WHEN inside THEN value END AS cell")
         .groupBy(*group, "slot", "cell")
         .agg(F.expr("count(1) AS rows"))

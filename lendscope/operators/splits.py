@@ -46,32 +46,30 @@ def hash_slices(
         F.explode(F.array(*[c.cast("long") for c in cuts(F.col("total"))])).alias("cut"),
     ).where((F.col("before") < F.col("cut")) & (F.col("cut") <= F.col("after")))
     # A cut at position c puts the first c rows below it, so the c-th row decides the hash value.
-    marks = at_cut.groupBy(*by).agg(
-        F.sort_array(F.collect_list(
-            F.struct("cut", F.col("_hash").alias("hash"), (F.col("cut") - F.col("before")).alias("keep"))
-        )).alias("_marks")
-    )
-    marks = settle(marks)
+    ordered = F.sort_array(F.collect_list(
+        F.struct("cut", F.col("_hash").alias("hash"), (F.col("cut") - F.col("before")).alias("keep"))))
+    marks = settle(at_cut.groupBy(*by).agg(ordered.alias("_m")).select(
+        *by, F.transform("_m", lambda m: m["hash"]).alias("_hashes"),
+        F.transform("_m", lambda m: m["keep"]).alias("_keeps"),
+    ))
     if by:
         on = [tagged[c].eqNullSafe(marks[c]) for c in by]
-        joined = tagged.join(marks, on, "left").select(*[tagged[c] for c in tagged.columns], "_marks")
+        joined = tagged.join(marks, on, "left").select(*[tagged[c] for c in tagged.columns], "_hashes", "_keeps")
     else:
-        row = marks.first()
-        literal = F.array(*[
-            F.struct(F.lit(m["cut"]).alias("cut"), F.lit(m["hash"]).alias("hash"), F.lit(m["keep"]).alias("keep"))
-            for m in row["_marks"]
-        ]) if row else F.lit(None).cast("array<struct<cut:bigint,hash:bigint,keep:bigint>>")
-        joined = tagged.withColumn("_marks", literal)
-    joined = joined.withColumn("_marks", F.coalesce("_marks", F.array().cast(
-        "array<struct<cut:bigint,hash:bigint,keep:bigint>>")))
-    on_edge = F.exists("_marks", lambda m: m["hash"] == F.col("_hash"))
-    clear = joined.where(~on_edge).withColumn("_rank", F.lit(0).cast("int"))
+        row = marks.first() or {"_hashes": [], "_keeps": []}
+        constant = lambda c: F.array(*[F.lit(v) for v in row[c]]).cast("array<bigint>")
+        joined = tagged.withColumns({"_hashes": constant("_hashes"), "_keeps": constant("_keeps")})
+    on_edge = F.coalesce(F.array_contains("_hashes", F.col("_hash")), F.lit(False))
+    clear = joined.where(~on_edge).withColumn("_rank", F.lit(0))
     edge = joined.where(on_edge).withColumn(
         "_rank", F.row_number().over(W.partitionBy(*by, "_hash").orderBy(key))
     )
-    passed = F.size(F.filter("_marks", lambda m: (m["hash"] < F.col("_hash")) | (
-        (m["hash"] == F.col("_hash")) & (F.col("_rank") > m["keep"]))))
-    return clear.unionByName(edge).select(*df.columns, passed.alias(out))
+    most = len(cuts(F.lit(1)))
+    passed = " + ".join(["0", *[
+        f"IF(get(_hashes, {i}) < _hash OR (get(_hashes, {i}) = _hash AND _rank > get(_keeps, {i})), 1, 0)"
+        for i in range(most)
+    ]])
+    return clear.unionByName(edge).select(*df.columns, F.expr(passed).alias(out))
 
 
 def stratified_split(
