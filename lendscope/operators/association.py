@@ -44,7 +44,8 @@ def welch_stats(df: DataFrame, columns: Sequence[str], event: str) -> DataFrame:
     side = lambda agg, flag: agg(F.when(F.col(event) == flag, F.col("value")))
     sides = long.groupBy("name").agg(
         side(F.avg, 0).alias("mean0"), side(F.avg, 1).alias("mean1"),
-        (side(F.var_samp, 0) / side(F.count, 0)).alias("e0"), (side(F.var_samp, 1) / side(F.count, 1)).alias("e1"),
+        (side(F.var_samp, 0) / F.nullif(side(F.count, 0), F.lit(0))).alias("e0"),
+        (side(F.var_samp, 1) / F.nullif(side(F.count, 1), F.lit(0))).alias("e1"),
         side(F.count, 0).alias("n0"), side(F.count, 1).alias("n1"),
     )
     return sides.selectExpr(
@@ -119,10 +120,13 @@ def woe_bins(
     ]
     bins = reduce(DataFrame.unionByName, counted)
     # One row per listed column: safe to broadcast whatever the number of bins.
-    totals = bins.groupBy("name").agg(F.sum("events").alias("all_ev"), F.sum(F.col("total") - F.col("events")).alias("all_nev"))
+    totals = bins.groupBy("name").agg(
+        F.sum("events").alias("all_ev"), F.sum(F.col("total") - F.col("events")).alias("all_nev")
+    )
     bins = bins.join(F.broadcast(totals), "name").selectExpr(
         "name", "bin", "total", "events", "total - events AS non_events",
-        "events / CAST(all_ev AS DOUBLE) AS dist_ev", "(total - events) / CAST(all_nev AS DOUBLE) AS dist_nev",
+        "events / CAST(nullif(all_ev, 0) AS DOUBLE) AS dist_ev",
+        "(total - events) / CAST(nullif(all_nev, 0) AS DOUBLE) AS dist_nev",
     )
     eps = F.lit(K.WOE_EPSILON)
     bins = bins.withColumn("woe", F.ln((F.col("dist_ev") + eps) / (F.col("dist_nev") + eps)))

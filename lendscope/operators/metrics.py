@@ -197,7 +197,7 @@ def deciles(df: DataFrame, score: str, label: str, parts: int = 10) -> DataFrame
             F.count(label).alias("n"), F.sum(label).alias("n_event"),
             F.min(score).alias("score_min"), F.max(score).alias("score_max"), F.avg(score).alias("score_mean"),
         )
-        .withColumn("event_rate", F.col("n_event") / F.col("n"))
+        .withColumn("event_rate", F.col("n_event") / F.nullif(F.col("n"), F.lit(0)))
         .withColumn("event_rate_pct", F.round(F.col("event_rate") * 100, 2))
     )
 

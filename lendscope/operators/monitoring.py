@@ -24,7 +24,8 @@ def _bin_counts(df: DataFrame, spans: DataFrame, columns: Sequence[str], bins: i
     long = unpivot_numbers(df, columns).join(F.broadcast(spans), "name")  # one span row per listed column
     inside = f"value >= lo - {EDGE_SLACK!r}D AND value <= hi + {EDGE_SLACK!r}D"
     clamped = long.selectExpr("name", "lo", "width", f"IF({inside}, greatest(least(value, hi), lo), NULL) AS v")
-    place = F.coalesce(equal_width_place("v", "lo", "width", bins), F.lit(-1)).cast("long")
+    inside_place = equal_width_place("v", "lo", "width", bins)
+    place = F.when(F.col("v").isNull(), F.lit(-1)).otherwise(inside_place).cast("long")
     return clamped.groupBy("name", place.alias("bin")).agg(F.count(F.lit(1)).alias("n")).withColumn(
         "side", F.lit(side))
 

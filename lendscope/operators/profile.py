@@ -187,8 +187,8 @@ def kde(
 ) -> DataFrame:
     """Gaussian density curve with Scott's bandwidth on an even grid, per group if given.
 
-    Values are first counted in ``bins`` equal cells, each taken at its middle, so that the work per
-    grid point is bounded. ``bins=None`` uses every distinct value instead.
+    Values are first counted in ``bins`` equal cells, each taken at the mean of its values, so that
+    the work per grid point is bounded. ``bins=None`` uses every distinct value instead.
     """
     group = [*by, "name"]
     long, ranges = _ranges(df, [column], by)
@@ -202,15 +202,15 @@ def kde(
     )
     if bins:
         cell = F.least(F.floor((F.col("value") - F.col("lo")) / F.col("width")), F.lit(bins - 1).cast("long"))
-        middle = F.col("lo") + (F.col("cell") + 0.5) * F.col("width")
     else:
-        cell, middle = F.col("value"), F.col("cell")
+        cell = F.col("value")
     stats = [*group, "lo", "hi", "total", "width", "h"]
-    cells = joined.withColumn("cell", cell).groupBy(*stats, "cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = joined.withColumn("cell", cell).groupBy(*stats, "cell").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"))
     start = F.col("lo") - cut * F.col("h")
     step = (F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) / (points - 1)
     spread = cells.select(
-        *group, "total", "h", "n", middle.alias("m"), start.alias("start"), step.alias("step"),
+        *group, "total", "h", "n", "m", start.alias("start"), step.alias("step"),
         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"),
     ).withColumn("x", F.col("start") + F.col("step") * F.col("point"))
     z = (F.col("x") - F.col("m")) / F.col("h")

@@ -151,9 +151,9 @@ KDE = """
 , s AS (SELECT {g}, min(value) AS lo, max(value) AS hi, count(*) AS total,
                stddev_samp(value) * pow(count(*), -0.2e0) AS h FROM long GROUP BY {g})
 , x AS (SELECT long.*, lo, hi, total, h, (hi - lo) / 2048 AS w FROM long JOIN s USING ({g}))
-, c AS (SELECT {g}, lo, hi, total, h, w, least(floor((value - lo) / w), 2047) AS cell, count(*) AS n
+, c AS (SELECT {g}, lo, hi, total, h, w, least(floor((value - lo) / w), 2047) AS cell, count(*) AS n, avg(value) AS m
         FROM x GROUP BY ALL)
-, p AS (SELECT c.*, lo + (cell + 0.5e0) * w AS m, unnest(range(0, 200)) AS point FROM c)
+, p AS (SELECT c.*, unnest(range(0, 200)) AS point FROM c)
 , y AS (SELECT *, lo - 3 * h + (hi - lo + 6 * h) / 199 * point AS x FROM p)
 SELECT {out}, point, round(any_value(x), 6) AS x,
        round(sum(n * exp(-0.5e0 * ((x - m) / h) * ((x - m) / h))) / any_value(total * h * sqrt(2 * pi())), 6) AS density

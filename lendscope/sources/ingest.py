@@ -43,7 +43,7 @@ def quality_counts(df: DataFrame, unique_key: str | None = None) -> DataFrame:
     """``(name, rows, nulls, null_share)`` per column from one pass."""
     counted = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
     long = counted.unpivot(["rows"], list(df.columns), "name", "nulls")
-    return long.select("name", "rows", "nulls", (F.col("nulls") / F.col("rows")).alias("null_share"))
+    return long.select("name", "rows", "nulls", (F.col("nulls") / F.nullif(F.col("rows"), F.lit(0))).alias("null_share"))
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:

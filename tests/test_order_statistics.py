@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lendscope.operators import splits
 from lendscope.operators.quantiles import collected_quantiles, even_probs, exact_quantiles
 from lendscope.operators.running import running_totals
+from lendscope.sources.readers import nan_to_null
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +26,7 @@ def skewed():
 
 @pytest.fixture(scope="module")
 def skewed_df(spark, skewed):
-    return spark.createDataFrame(skewed).repartition(4).cache()
+    return nan_to_null(spark.createDataFrame(skewed)).repartition(4).cache()
 
 
 @pytest.mark.parametrize("window_rows", [2_000_000, 40])
@@ -68,7 +69,7 @@ def test_ranged_running_totals_equal_one_window(skewed_df, by, descending):
     ranged = running_totals(counts, "x", ["c"], by, descending, window_rows=100)
     rows = lambda d: sorted(tuple(r) for r in d.select(*by, "x", "c", "cum_c", "total_c").collect())
     assert rows(plain) == rows(ranged)
-    assert "Bucketizer" not in str(plain.schema) and ranged.count() == counts.count()
+    assert ranged.columns == plain.columns and ranged.count() == counts.count()
 
 
 def test_temporal_split_boundaries(spark):
