@@ -174,10 +174,16 @@ def nearest_threshold(curve: DataFrame, current: float) -> DataFrame:
     return threshold_table(curve).orderBy(gap, "threshold").limit(1)
 
 
+def _score_edges(df: DataFrame, score: str, parts: int) -> list[float]:
+    found = collected_quantiles(df, [score], even_probs(parts))
+    if score not in found:
+        raise ValueError(f"{score!r} holds no value")
+    return found[score]
+
+
 def calibration(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
     """Mean score against event rate in quantile bins; empty bins are absent."""
-    edges = collected_quantiles(df, [score], even_probs(bins))[score]
-    inner = edges[1:-1]
+    inner = _score_edges(df, score, bins)[1:-1]
     slot = F.lit(0)
     for e in inner:
         slot = slot + F.when(F.col(score) > F.lit(e), 1).otherwise(0)
@@ -189,7 +195,7 @@ def calibration(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFr
 
 def deciles(df: DataFrame, score: str, label: str, parts: int = 10) -> DataFrame:
     """Counts, events and score range per quantile bin, 1 holding the lowest scores."""
-    edges = sorted(set(collected_quantiles(df, [score], even_probs(parts))[score]))
+    edges = sorted(set(_score_edges(df, score, parts)))
     rows = df.where(F.col(score).isNotNull())
     return (
         rows.groupBy(edge_bin(F.col(score), edges[:-1]).alias("decile"))

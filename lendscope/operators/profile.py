@@ -103,7 +103,8 @@ def weekday_rate(df: DataFrame, date_col: str, event: str) -> DataFrame:
     found = df.groupBy(weekday_name(F.col(date_col)).alias("weekday")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(event).alias("event_rate")
     )
-    return F.broadcast(days).join(found, "weekday", "left").select("day", "weekday", "n", "event_rate").orderBy("day")
+    # At most seven rows on either side.
+    return days.join(F.broadcast(found), "weekday", "left").select("day", "weekday", "n", "event_rate").orderBy("day")
 
 
 def category_frequencies(df: DataFrame, column: str) -> DataFrame:

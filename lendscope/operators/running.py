@@ -42,7 +42,7 @@ def running_totals(
     # Cut points come from a sketch and are constants from here on: a recomputed task places its
     # rows as before. A range holds few more rows than the sketch promises.
     ranges = min(MAX_RANGES, -(-rows // window_rows) * 2)
-    probs = [i / ranges for i in range(1, ranges)]
+    probs = F.split(F.lit(",".join(str(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")
     inner = counts.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10 * ranges)).first()[0]
     splits = [float("-inf"), *sorted(set(inner)), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_place", outputCol="_range").transform(
