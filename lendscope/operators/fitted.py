@@ -140,12 +140,13 @@ def _fit_numeric(df: DataFrame, columns: Sequence[str]) -> list[tuple]:
     if not columns:
         return []
     medians = {c: m[0] for c, m in collected_quantiles(df, columns, [0.5]).items()}
-    moments = unpivot_numbers(df, columns).groupBy("name").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
-    total = df.count()
+    moments = unpivot_numbers(df, columns, keep_nulls=True).groupBy("name").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("value").alias("n"),
+        F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
     rows = [("fill", c, None, m, 0) for c, m in medians.items()]
-    for r in moments.collect():
-        n, missing, fill = r["n"], total - r["n"], medians[r["name"]]
+    for r in moments.where("n > 0").collect():
+        total, n, fill = r["rows"], r["n"], medians[r["name"]]
+        missing = total - n
         mean = (n * r["mean"] + missing * fill) / total
         var = (n * (r["var"] + (r["mean"] - mean) ** 2) + missing * (fill - mean) ** 2) / total
         rows.append(("center", r["name"], None, mean, 0))
@@ -163,7 +164,7 @@ def _fit_categories(df: DataFrame, nominal: Sequence[str], ordinal: Mapping[str,
     columns = [*nominal, *ordinal]
     if not columns:
         return []
-    counts = category_counts(df, columns)
+    counts = settle(category_counts(df, columns))
     modes = counts.groupBy("name").agg(F.min(F.struct(-F.col("n"), F.col("key")))["key"].alias("key"))
     rows = [("mode", r["name"], r["key"], None, 0) for r in modes.collect()]
     if nominal:

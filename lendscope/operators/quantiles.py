@@ -27,11 +27,13 @@ def names(columns: Sequence[str]) -> str:
     return ", ".join(f"`{c}`" for c in columns)
 
 
-def unpivot_numbers(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``(by..., name, value)`` with one row per present number."""
+def unpivot_numbers(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), keep_nulls: bool = False
+) -> DataFrame:
+    """``(by..., name, value)`` with one row per present number, or per row with ``keep_nulls``."""
     numbers = [f"nanvl(try_cast(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)) AS `{c}`" for c in columns]
     long = df.selectExpr(*[f"`{c}`" for c in by], *numbers).unpivot(list(by), list(columns), "name", "value")
-    return long.where("value IS NOT NULL")
+    return long if keep_nulls else long.where("value IS NOT NULL")
 
 
 def _place(long: DataFrame, brackets: DataFrame | None, group: Sequence[str], most: int) -> DataFrame:

@@ -5,10 +5,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lendscope.operators import splits
+from lendscope.operators import quantiles, splits
 from lendscope.operators.quantiles import collected_quantiles, even_probs, exact_quantiles
 from lendscope.operators.running import running_totals
 from lendscope.sources.readers import nan_to_null
+from lendscope.sources.workspace import settle_local
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +50,16 @@ def test_grouped_quantiles_match_pandas(skewed, skewed_df):
         assert np.allclose(r["quantiles"], want[r["g"]].to_numpy(), atol=1e-12)
 
 
+def test_many_groups_take_the_joined_path(monkeypatch, skewed, skewed_df):
+    """Beyond the broadcast bound the brackets are checkpointed and joined; results stay the same."""
+    monkeypatch.setattr(quantiles, "settle_local", lambda d: settle_local(d, rows=2))
+    got = exact_quantiles(skewed_df, ["x", "k"], [0.5, 0.99], ["g"]).collect()
+    assert len(got) == 10
+    for r in got:
+        want = skewed[skewed["g"] == r["g"]][r["name"]].quantile([0.5, 0.99])
+        assert np.allclose(r["quantiles"], want.to_numpy(), atol=1e-12)
+
+
 def test_quantiles_of_tiny_and_empty_input(spark):
     df = spark.createDataFrame([(7.0,), (None,)], "x double")
     assert collected_quantiles(df, ["x"], [0.0, 0.5, 1.0]) == {"x": [7.0, 7.0, 7.0]}
