@@ -73,11 +73,11 @@ queued AS (
          CAST(sum(s.size) OVER (PARTITION BY t.place ORDER BY s.shuffled, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS done
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 turns AS (
-  SELECT q.*, u.turn, (u.turn * source_size + done) / target AS finish, u.turn * source_size + done AS at
+  SELECT q.*, u.turn, (u.turn * source_size + done) / target AS finish, u.turn * source_size + done AS spot
   FROM queued q, (SELECT unnest([0, 1, 2]) AS turn) u
   WHERE size > 0 AND target > 0 AND u.turn < greatest(1, least(3, ceil(target / source_size)))),
 running AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, place, at ROWS UNBOUNDED PRECEDING) AS upto FROM turns),
+  SELECT *, sum(size) OVER (ORDER BY finish, place, spot ROWS UNBOUNDED PRECEDING) AS upto FROM turns),
 used AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM running WHERE upto <= total GROUP BY doc_id)
 SELECT q.doc_id, CAST(q.size AS BIGINT) AS size, q.source_size, q.target, coalesce(u.taken, 0) AS taken
 FROM queued q LEFT JOIN used u ON q.doc_id = u.doc_id""")
