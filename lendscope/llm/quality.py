@@ -21,6 +21,8 @@ SYMBOLS = 513  # 0 pads; 1 + byte; 257 + byte where repeating
 SLAB = 8192
 #: Labelled rows of each class used for training, and the longest text among them; scoring has no bound.
 SAMPLE, SAMPLE_CHARS = 1500, 20_000
+#: Small samples are gone through more often, up to this many steps.
+LEAST_STEPS = 300
 
 
 def byte_symbols(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +181,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
     texts, known = training_rows(docs, labels, id_col, text_col, label_col, train, sample)
     if len(set(known.tolist())) < 2:
         return float(known.mean()) if len(known) else 0.5
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(texts)))
     return ConvNet.fresh(seed).learn(texts, known, epochs, batch, rate, seed)
 
 
