@@ -195,18 +195,18 @@ def train_language(docs: DataFrame, train: Column, id_col: str = "doc_id", text_
                    seed: int = 3) -> LanguageNet | None:
     """A network from up to ``sample`` documents of each of the most frequent languages, ``per_doc`` windows spread
     evenly over each; None if nothing can be learned from."""
-    known = docs.filter(train & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    frequent = [r[0] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()]
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label"), train.alias("train"))
+    known = docs.filter(F.col("train") & F.col("label").isNotNull() & F.col("id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    frequent = [r[0] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()]
     if not frequent:
         return None
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    chosen = (known.filter(F.col(lang_col).isin(frequent)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"))
-              .withColumn("place", F.row_number().over(order.partitionBy("label").orderBy(F.xxhash64("id"), "id")))
-              .filter(F.col("place") <= sample).drop("place"))
-    bytes_ = F.lower(F.col(text_col)).cast("binary")
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
+    chosen = (known.filter(F.col("label").isin(frequent)).select("id", "label").distinct()
+              .withColumn("place", place).filter(F.col("place") <= sample).drop("place"))  # at most LANGUAGES * sample rows
+    bytes_ = F.lower("text").cast("binary")
     pieces = F.ceil(F.length(bytes_) / WINDOW)
     spread = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(per_doc - 1)), lambda i: F.floor(i * pieces / per_doc)))
-    rows = (docs.filter(train & F.col(text_col).rlike(r"\p{L}")).join(F.broadcast(chosen), (F.col(id_col) == F.col("id")) & (F.col(lang_col) == F.col("label")))
+    rows = (known.join(F.broadcast(chosen), ["id", "label"])
             .select("id", "label", F.transform(spread, lambda i: F.substring(bytes_, (i * WINDOW + 1).cast("int"), F.lit(WINDOW))).alias("cut"))
             .groupBy("label", "id").agg(F.min("cut").alias("cut")).orderBy("label", "id").toArrow())
     languages = sorted(set(rows.column("label").to_pylist()))

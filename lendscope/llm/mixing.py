@@ -13,7 +13,7 @@ from lendscope.sources.workspace import settle
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Rows of one ordered range; ranges are summed on their own and shifted by the totals before them.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 5_000
 
 
 def word_count(text: str | Column) -> Column:
