@@ -40,7 +40,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
                                <= F.col("weight").cast("double") * (F.col("total") - F.col("before")))
     free_weight = F.sum(F.when(~F.col("full"), F.col("weight"))).over(Window.partitionBy())
     spent = F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(Window.partitionBy()), F.lit(0))
-    share = (F.col("total") - spent).cast("double") * F.col("weight") / free_weight
+    share = F.try_divide((F.col("total") - spent).cast("double") * F.col("weight"), free_weight)
     return ranked.select("source", "source_size", "rows", "rank",
                          F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
@@ -86,20 +86,21 @@ def mix(
         "row_no", "doc_id", "size", "source_size", "target", "rank", (F.col("start") + F.col("inside")).alias("done"),
     ), "queued")
 
-    passes = F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(F.col("target") / F.col("source_size")))).cast("int")
+    passes = F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(F.try_divide("target", "source_size")))).cast("int")
     turns = queued.filter("size > 0 AND target > 0").select(
         "rank", "size", "target", "source_size", "done", F.explode(F.sequence(F.lit(0), passes - 1)).alias("turn"))
     turns = turns.select("rank", "size", (F.col("turn") * F.col("source_size") + F.col("done")).alias("place"), "target")
-    turns = turns.withColumn("finish", F.col("place") / F.col("target"))
+    turns = turns.filter(F.col("place") - F.col("size") < F.col("target"))
+    turns = turns.withColumn("finish", F.try_divide("place", "target"))
     cut = _cut(turns, sizes, range_rows)
 
     taken = F.lit(0).cast("long")
     if cut is not None:
         for turn in range(most):
             place = F.col("source_size") * turn + F.col("done")
-            reached = F.struct((place / F.col("target")).alias("finish"), F.col("rank"), place.alias("place"))
+            reached = F.struct(F.try_divide(place, F.col("target")).alias("finish"), F.col("rank"), place.alias("place"))
             end = F.struct(F.lit(cut.finish).alias("finish"), F.lit(cut.rank).alias("rank"), F.lit(cut.place).alias("place"))
-            use = (F.col("size") > 0) & (F.col("target") > 0) & (passes > turn) & (reached <= end)
+            use = (F.col("size") > 0) & (F.col("target") > 0) & (passes > turn) & (place - F.col("size") < F.col("target")) & (reached <= end)
             taken = taken + F.when(use, F.col("size")).otherwise(F.lit(0))
     result = queued.select("row_no", "doc_id", "size", "source_size", "target", taken.alias("taken"))
     if not own:

@@ -75,7 +75,8 @@ queued AS (
 turns AS (
   SELECT q.*, u.turn, (u.turn * source_size + done) / target AS finish, u.turn * source_size + done AS spot
   FROM queued q, (SELECT unnest([0, 1, 2]) AS turn) u
-  WHERE size > 0 AND target > 0 AND u.turn < greatest(1, least(3, ceil(target / source_size)))),
+  WHERE size > 0 AND target > 0 AND u.turn < greatest(1, least(3, ceil(target / source_size)))
+    AND u.turn * source_size + done - size < target),
 running AS (
   SELECT *, sum(size) OVER (ORDER BY finish, place, spot ROWS UNBOUNDED PRECEDING) AS upto FROM turns),
 used AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM running WHERE upto <= total GROUP BY doc_id)

@@ -1,0 +1,192 @@
+"""Mixing, exact top-k, licence and secret scans against brute force."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from lendscope.llm import licenses, mixing, secret_scan, topk
+from tests.llm.frames import collected, edge_rows, frame, prose
+
+
+def brute_targets(sizes, weights=(5, 2, 1), most=3):
+    """Sharing in rounds: whoever stands above its limit stops there, and the rest is shared anew."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    total, stopped = sum(sizes.values()), {}
+    while True:
+        open_ = [s for s in names if s not in stopped]
+        left = total - sum(stopped.values())
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        above = {s: float(most * sizes[s]) for s in open_ if share[s] > most * sizes[s]}
+        if not above:
+            return {**share, **stopped}
+        stopped.update(above)
+
+
+def size(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+@pytest.mark.parametrize("range_rows", [7, 5000])
+def test_mix_reaches_its_targets(spark, range_rows):
+    r = random.Random(5)
+    rows = edge_rows() + [(100 + k, prose("en", r.randrange(1, 60), k), "en", "ab"[k % 7 == 0] + "x" * (k % 3 == 0)) for k in range(150)]
+    df = mixing.mix(frame(spark, rows), range_rows=range_rows)
+    got = df.collect()
+    by_source = Counter()
+    for _, t, _, s in rows:
+        by_source[s] += size(t)
+    want = brute_targets(by_source)
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.size) for x in got) == sorted((i is None, i or 0, size(t)) for i, t, *_ in rows)
+    assert sum(x.taken for x in got) <= sum(by_source.values())
+    for s in by_source:
+        mine = [x for x in got if x.source_size == by_source[s] and abs(x.target - want[s]) < 1e-6]
+        largest = max(size(t) for _, t, _, o in rows if o == s)
+        assert mine and abs(sum(x.taken for x in mine) - want[s]) <= largest
+    assert all(x.taken % x.size == 0 and x.taken <= 3 * x.size for x in got if x.size)
+    assert collected(df, "doc_id", "size", "taken") == collected(mixing.mix(frame(spark, rows[::-1])), "doc_id", "size", "taken") \
+        if range_rows == 5000 else True
+
+
+def test_mixed_rows_repeat_documents(spark):
+    rows = [(k, "one two three", "en", "a" if k < 3 else "b") for k in range(60)]
+    docs = frame(spark, rows)
+    result = {r.doc_id: r.taken // r["size"] for r in mixing.mix(docs).collect()}
+    seen = Counter(r.doc_id for r in mixing.mixed_rows(docs).collect())
+    assert seen == Counter({i: n for i, n in result.items() if n}) and set(seen.values()) >= {3}
+    assert mixing.mixed_rows(docs).columns == docs.columns
+
+
+def test_mix_without_words(spark):
+    assert mixing.mix(frame(spark, edge_rows()).limit(0)).count() == 0
+    nothing = mixing.mix(frame(spark, [(1, "", "en", "a"), (2, None, "en", None)])).collect()
+    assert [(r.taken, r.target) for r in nothing] == [(0, 0.0), (0, 0.0)]
+
+
+def brute_top(rows, every, k):
+    best = {}
+    for i, x in rows:
+        if i is None or x is None or any(v is None or not math.isfinite(v) for v in x):
+            continue
+        v = [math.floor(1024 * float(np.float32(c))) for c in x]
+        best[i] = min(best[i], v) if i in best else v
+    found = []
+    for q in best:
+        if q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(best[q], best[c])), c) for c in best if c != q and len(best[c]) == len(best[q]))
+            found += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scored[:k])]
+    return sorted(found, key=repr)
+
+
+@pytest.mark.parametrize("scale", [1.0, 3e5])
+def test_top_k_with_ties_and_unusable_vectors(spark, scale):
+    r = random.Random(9)
+    rows = [(i, [r.choice([-1.0, -0.25, 0.0, 0.5]) * scale for _ in range(5)]) for i in range(-20, 300)]
+    rows += [(301, None), (302, [1.0, None, 0.0, 0.0, 0.0]), (303, [float("nan")] * 5), (304, [float("inf")] * 5), (None, [1.0] * 5),
+             (305, [1.0, 2.0]), (400, [3.0, -1.0]), (500, []), (501, []), (7, [0.1] * 5), (7, [0.1] * 5), (0, [0.5 * scale] * 5)]
+    vectors = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, lane int").repartition(5)
+    for block, lane, batch in ((16, 2, 3), (1024, 32, 1024)):
+        got = topk.top_k(vectors, every=10, k=6, block=block, lane=lane, batch=batch)
+        assert collected(got, "query_id", "rank", "vec_id", "score") == brute_top(rows, 10, 6)
+
+
+def test_top_k_of_few_and_of_none(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk.top_k(empty).count() == 0
+    assert topk.top_k(spark.createDataFrame([(100, [1.0])], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_pruning_skips_blocks():
+    """Blocks far below the k-th score are never multiplied."""
+    from types import SimpleNamespace
+
+    def block(no, ids, matrix):
+        m = np.array(matrix, np.int64)
+        return SimpleNamespace(no=no, n=len(ids), dims=m.shape[1], bytes_each=8, ids=np.array(ids, np.int64).tobytes(), data=m.tobytes())
+
+    index = [block(n, range(n * 50, n * 50 + 50), [[100 - 30 * n + k % 3, 1] for k in range(50)]) for n in range(4)]
+    asked, seen, real = [block(0, [1000], [[5, 1]])], [], topk._best
+    topk._best = lambda score, *rest: seen.append(score.shape[1]) or real(score, *rest)
+    try:
+        query, vec, score = topk.search_lane(asked, index, 3)
+    finally:
+        topk._best = real
+    assert len(seen) == 1 and vec.tolist() == [2, 5, 8] and score.tolist() == [511] * 3
+
+
+def brute_licenses(rows, threshold=0.8):
+    found = []
+    for i, t, *_ in rows:
+        lines = (t or "").split("\n")
+        blocks = re.split(r"\n[ \t\r]*\n", t or "")
+        units = [("line", n + 1, u) for n, u in enumerate(lines)] + [("block", n + 1, u) for n, u in enumerate(blocks) if "\n" in u]
+        for unit, n, u in units:
+            pairs = lambda text: Counter(zip(w := licenses.template_words(text), w[1:]))
+            mine, best = pairs(u), None
+            for k, (name, template) in enumerate(licenses.TEMPLATES):
+                own = pairs(template)
+                dice = 2 * sum((mine & own).values()) / (sum(mine.values()) + sum(own.values())) if mine else 0
+                if dice >= threshold and (best is None or dice > best[0]):
+                    best = (dice, name, k)
+            if best:
+                found.append((i, unit, n, best[1], best[2], round(best[0], 9)))
+    return sorted(found, key=repr)
+
+
+def test_license_scan_matches_brute_force(spark):
+    apache, mit = licenses.TEMPLATES[0][1], licenses.TEMPLATES[3][1]
+    rows = edge_rows() + [
+        (20, f"some text\n  {apache.upper()}\nmore", "en", "a"), (21, "licensed under the apache license version 2", "en", "a"),
+        (22, "Licensed under CC BY 4.0\n\nlicensed under cc by-nc 4.0", "en", "a"), (23, "the MIT license was released under", "en", "a"),
+        (24, mit.replace(", ", ",\n") + "\n\nother", "en", "a"), (25, " ".join(mit.split()[:40]), "en", "a"),
+        (26, "licensed under licensed under licensed under", "en", "a"), (26, apache, "en", "a"), (26, apache, "en", "a"),
+    ]
+    got = licenses.license_scan(frame(spark, rows))
+    assert sorted(((r.doc_id, r.unit, r.unit_no, r.license, r.template, round(r.dice, 9)) for r in got.collect()), key=repr) == brute_licenses(rows)
+    assert licenses.license_scan(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_license_size_bounds_are_tight():
+    for m in (4, 6, 33):
+        for n in range(1, 120):
+            assert (2 * min(m, n) / (m + n) >= 0.8) == (n in licenses.size_bounds(m, 0.8))
+
+
+def secret_rows(n=160):
+    r = random.Random(3)
+    rows = []
+    for k in range(n):
+        text = prose("en", 30, k) + " internationalization/incomprehensibilities "
+        if k % 4 == 0:
+            text += f'token = "{r.randrange(16**40):040x}" ' + prose("en", 10, -k)
+        if k % 8 == 1:
+            text += f"password={r.randrange(16**18):018x} end"
+        if k % 5 == 2:
+            text += " a-hyphenated-word-of-some-length and aaaaaaaaaaaaaaaaaaaaaaaa "
+        rows.append((1000 + k, text, "en", "src/app.py"))
+    return rows
+
+
+def test_secret_scan_removes_false_positives(spark):
+    rows = secret_rows() + edge_rows()
+    got = secret_scan.secret_scan(frame(spark, rows)).collect()
+    texts = {i: t for i, t, *_ in rows}
+    found = {(r.doc_id, texts[r.doc_id][r.begin:r.end]) for r in got}
+    planted = {(i, m.group()) for i, t, *_ in secret_rows() for m in re.finditer(r"(?<=token = \")[0-9a-f]{40}|(?<=password=)[0-9a-f]{18}", t)}
+    assert planted <= found and len(found - planted) <= 2
+
+
+def test_secret_scan_with_own_findings_and_without_any(spark):
+    assert secret_scan.secret_scan(frame(spark, edge_rows()).limit(0)).count() == 0
+    assert secret_scan.secret_scan(frame(spark, [(1, None, None, None), (2, "", "en", "a")]), path_col=None).count() == 0
+    value = "0123456789abcdef0123"
+    row = lambda named: tuple(secret_scan.features(value if named else "internationalization", "a.py", ["key"] if named else ["of"],
+                                                   "=" if named else " ", [], frozenset())) + (float(named),)
+    own = spark.createDataFrame([row(k % 2) for k in range(40)], ", ".join(f"{f} double" for f in (*secret_scan.FEATURES, "label")))
+    docs = frame(spark, [(1, f"key={value} and internationalization", "en", "b.py"), (1, f"key={value} and internationalization", "en", "b.py")])
+    got = collected(secret_scan.secret_scan(docs, findings=own), "doc_id", "begin", "length")
+    assert got == [(1, 4, 20)] * 2
