@@ -39,9 +39,10 @@ TEMPLATES = (
 )
 
 
-def normal_words(text: Column) -> Column:
-    """Lower case, words of letters and digits with one space between them."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+def normal_lines(text: Column) -> Column:
+    """The lines of a text in lower case, words of letters and digits with one space between them."""
+    clean = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
+    return F.transform(F.split(clean, "\n"), lambda line: F.trim(line))
 
 
 def template_words(text: str) -> list[str]:
@@ -58,41 +59,50 @@ def license_scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """One row per line, and per paragraph of several lines, whose best template reaches ``threshold``.
+    """One row per line, and per block of several lines, whose best template reaches ``threshold``. A block is a run of
+    lines with words, up to a line without any.
 
-    Columns: doc_id, unit ('line' or 'block'), unit_no (from 1, of its kind), license, template (its position),
+    Columns: doc_id, unit ('line' or 'block'), unit_no (from 1: of the line, or among the runs), license, template (its position),
     bigrams, dice. Dice counts repeated bigrams. Of equal coefficients the first template wins. Null and
     empty texts, texts without two words and an empty table give no rows; repeated rows and a null id give rows like others.
 
     A unit is compared only with templates whose size can reach the threshold: template sizes are spread
-    over the admissible numbers of bigrams, which makes an equality join of a fixed, small table.
+    over the admissible numbers of bigrams, which makes an equality join of a fixed, small table. The
+    coefficient itself is worked out where enough distinct bigrams are shared for it to reach the threshold.
     """
     spark = docs.sparkSession
     sizes, bags = [], []
     for no, (name, text) in enumerate(templates):
         words = template_words(text)
         pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
-        bags.append((no, name, len(pairs), sorted({p: pairs.count(p) for p in pairs}.items())))
+        bags.append((no, name, len(pairs), sorted({p: pairs.count(p) for p in pairs}.items()), sorted(set(pairs))))
         sizes += [(no, n) for n in size_bounds(len(pairs), threshold)]
-    known = spark.createDataFrame(bags, "template int, license string, own int, bag array<struct<pair:string,n:int>>")
+    known = spark.createDataFrame(bags, "template int, license string, own int, bag array<struct<pair:string,n:int>>, distinct array<string>")
     fits = spark.createDataFrame(sizes, "template int, bigrams int").join(F.broadcast(known), "template")
 
-    text = full_text(text_col)
-    lines = F.transform(F.split(text, "\n"), lambda t, i: F.struct(
-        F.lit("line").alias("unit"), (i + 1).alias("unit_no"), t.alias("text")))
-    blocks = F.filter(F.transform(F.split(text, r"\n[ \t\r]*\n"), lambda t, i: F.struct(
-        F.lit("block").alias("unit"), (i + 1).alias("unit_no"), t.alias("text"))), lambda b: F.contains(b["text"], F.lit("\n")))
-    units = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"),
-                        F.explode(F.concat(lines, blocks)).alias("u"))
-    units = units.select("doc_id", "row_no", "u.unit", "u.unit_no", normal_words(F.col("u.text")).alias("words"))
-    spaces = F.length("words") - F.length(F.replace(F.col("words"), F.lit(" "), F.lit("")))
-    units = units.withColumn("bigrams", spaces.cast("int")).filter(F.col("bigrams") > 0)
-
-    close = units.join(F.broadcast(fits), "bigrams")
+    def sized(kind: str):
+        return lambda words, i: F.struct(
+            F.lit(kind).alias("unit"), (i + 1).alias("unit_no"), words.alias("words"),
+            (F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit("")))).cast("int").alias("bigrams"))
+
+    low, high = min(n for _, n in sizes), max(n for _, n in sizes)
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"),
+                        normal_lines(full_text(text_col)).alias("lines"))
+    # One step a select, so that each long expression is worked out once.
+    runs = lines.select("doc_id", "row_no", F.explode(F.array("lines")).alias("lines")).select(
+        "doc_id", "row_no", "lines", F.split(F.trim(F.array_join("lines", "\n"), F.lit("\n")), "\n\n+").alias("runs"))
+    inside = lambda u: (u["bigrams"] >= low) & (u["bigrams"] <= high)
+    whole = F.transform(F.transform("runs", lambda r, i: F.when(F.contains(r, F.lit("\n")), F.replace(r, F.lit("\n"), F.lit(" "))).otherwise("")),
+                        sized("block"))
+    units = runs.select("doc_id", "row_no", F.explode(F.concat(
+        F.filter(F.transform("lines", sized("line")), inside), F.filter(whole, inside))).alias("u")).select("doc_id", "row_no", "u.*")
     words = F.split("words", " ")
     pairs = F.zip_with(F.slice(words, 1, F.col("bigrams")), F.slice(words, F.lit(2), F.col("bigrams")),
                        lambda a, b: F.concat(a, F.lit(" "), b))
-    close = close.withColumn("pairs", pairs)
+    close = units.select("doc_id", "row_no", "unit", "unit_no", "bigrams", pairs.alias("pairs")).join(F.broadcast(fits), "bigrams")
+    repeats = F.col("own") - F.size("distinct")
+    enough = F.size(F.array_intersect("pairs", "distinct")) + repeats >= (F.col("bigrams") + F.col("own")) * (threshold / 2) - 1e-9
+    close = close.filter(enough)
     common = F.aggregate(F.col("bag"), F.lit(0), lambda sum_, g: sum_ + F.least(
         F.size(F.filter("pairs", lambda p: p == g["pair"])), g["n"]))
     dice = (common * F.lit(2.0)) / (F.col("bigrams") + F.col("own"))

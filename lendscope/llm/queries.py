@@ -96,15 +96,16 @@ bags AS (
   SELECT template, license, count(*) OVER (PARTITION BY template) AS own, w[i] || ' ' || w[i + 1] AS pair
   FROM (SELECT template, license, string_split(words, ' ') AS w FROM templates), unnest(range(1, len(w))) AS r(i)),
 known AS (SELECT template, license, own, pair, count(*) AS n FROM bags GROUP BY ALL),
-texts AS (
-  SELECT doc_id, 'line' AS unit, CAST(i AS INT) AS unit_no, string_split(coalesce(text, ''), chr(10))[i] AS part
-  FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS r(i)
-  UNION ALL
-  SELECT doc_id, 'block', CAST(i AS INT), string_split_regex(coalesce(text, ''), '\n[ \t\r]*\n')[i]
-  FROM documents, unnest(range(1, len(string_split_regex(coalesce(text, ''), '\n[ \t\r]*\n')) + 1)) AS r(i)
-  WHERE contains(string_split_regex(coalesce(text, ''), '\n[ \t\r]*\n')[i], chr(10))),
+cleaned AS (
+  SELECT doc_id, list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10)),
+                                lambda x: trim(x)) AS lines FROM documents),
+runs AS (SELECT doc_id, string_split_regex(trim(array_to_string(lines, chr(10)), chr(10)), '\n\n+') AS runs FROM cleaned),
 normal AS (
-  SELECT doc_id, unit, unit_no, string_split(trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM texts),
+  SELECT doc_id, 'line' AS unit, CAST(i AS INT) AS unit_no, string_split(lines[i], ' ') AS w
+  FROM cleaned, unnest(range(1, len(lines) + 1)) AS r(i)
+  UNION ALL
+  SELECT doc_id, 'block', CAST(i AS INT), string_split(replace(runs[i], chr(10), ' '), ' ')
+  FROM runs, unnest(range(1, len(runs) + 1)) AS r(i) WHERE contains(runs[i], chr(10))),
 pairs AS (
   SELECT doc_id, unit, unit_no, len(w) - 1 AS bigrams, w[i] || ' ' || w[i + 1] AS pair
   FROM normal, unnest(range(1, len(w))) AS r(i)),

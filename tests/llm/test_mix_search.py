@@ -121,8 +121,8 @@ def test_pruning_skips_blocks():
 def brute_licenses(rows, threshold=0.8):
     found = []
     for i, t, *_ in rows:
-        lines = (t or "").split("\n")
-        blocks = re.split(r"\n[ \t\r]*\n", t or "")
+        lines = [" ".join(licenses.template_words(line)) for line in (t or "").split("\n")]
+        blocks = re.split("\n\n+", "\n".join(lines).strip("\n"))
         units = [("line", n + 1, u) for n, u in enumerate(lines)] + [("block", n + 1, u) for n, u in enumerate(blocks) if "\n" in u]
         for unit, n, u in units:
             pairs = lambda text: Counter(zip(w := licenses.template_words(text), w[1:]))
