@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import add
@@ -58,6 +57,11 @@ def parse_timestamp(col: Column | str, fmt: str | None = None) -> Column:
     return parsed.cast("timestamp_ntz")
 
 
+def as_timestamp(df: DataFrame, name: str) -> Column:
+    """A date column as timestamp without zone, whatever its type; unreadable text gives null."""
+    return parse_timestamp(name) if df.schema[name].dataType.simpleString() == "string" else F.col(name).cast("timestamp_ntz")
+
+
 def bucket(col: Column, edges: Sequence[float], labels: Sequence[str], right: bool = False) -> Column:
     """Label of the interval holding the value; outside all intervals, null.
 
@@ -139,6 +143,17 @@ def find_column(df: DataFrame, name: str) -> str:
     raise KeyError(f"no column {name!r}; available: {sorted(df.columns)}")
 
 
+def order_number(df: DataFrame, key: str) -> Column:
+    """A 64-bit number for ``key_hash``: an integer key itself, else 60 bits of the MD5 of the key's text.
+
+    A missing key is replaced by the text of the whole row, so that rows without a key spread as well.
+    """
+    digits = lambda text: F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+    whole = digits(F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]))
+    integer = df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.coalesce(F.col(key).cast("long") if integer else digits(F.col(key).cast("string")), whole)
+
+
 def key_hash(key: Column, seed: Column | int = 0) -> Column:
     """Pseudo-random order value of an integer key, below ``HASH_MODULUS``.
 
@@ -154,24 +169,7 @@ def key_hash(key: Column, seed: Column | int = 0) -> Column:
     return square * square % p * x % p
 
 
-def equal_width_bin(value: Column, lo: float, hi: float, bins: int) -> Column:
-    """0-based bin of ``[lo, hi]`` cut in equal parts, last part closed; outside, null.
-
-    The value is compared with the edges themselves, so that a value on an edge never slips into
-    the neighbouring bin through rounding of a quotient.
-    """
-    if hi == lo:
-        lo, hi = lo - 0.5, hi + 0.5
-    width = (hi - lo) / bins
-    place = reduce(add, [F.when(value >= F.lit(i * width + lo), 1).otherwise(0) for i in range(1, bins)], F.lit(0))
-    return F.when((value >= F.lit(lo)) & (value <= F.lit(hi)), place)
-
-
 def edge_bin(value: Column, edges: Sequence[float]) -> Column:
     """1-based bin between sorted distinct edges, right-closed; the first bin holds the minimum."""
     passed = reduce(add, [F.when(value > F.lit(float(e)), 1).otherwise(0) for e in edges])
     return F.when(value.isNotNull(), F.greatest(F.lit(1), passed))
-
-
-def distinct_edges(edges: Sequence[float]) -> list[float]:
-    return sorted({float(e) for e in edges if e is not None and not math.isnan(e)})

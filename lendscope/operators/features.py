@@ -41,7 +41,7 @@ def share_features(df: DataFrame, specs: Iterable[Mapping]) -> DataFrame:
 def date_features(df: DataFrame, date_col: str, spec: Mapping) -> DataFrame:
     if date_col not in df.columns:
         return df
-    ts = F.col(date_col).cast("timestamp_ntz")
+    ts = E.as_timestamp(df, date_col)
     return add_missing(df, {
         spec.get("year_col", "year"): F.year(ts),
         spec.get("month_col", "month"): F.month(ts),

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lendscope.functions import constants as K
-from lendscope.functions.expressions import edge_bin
+from lendscope.functions.expressions import as_number, edge_bin
 from lendscope.operators.quantiles import collected_quantiles, even_probs
 from lendscope.operators.running import running_totals
 
@@ -22,10 +22,10 @@ CURVE_NAMES = {"cum_pos": "tp", "cum_neg": "fp", "total_pos": "p", "total_neg":
 
 
 def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = (), digits: int | None = None) -> DataFrame:
-    """Events and other rows per group and distinct score; rows without score or label are left out."""
+    """Events and other rows per group and distinct score; rows without score or label are left out, NaN scores too."""
     value = F.round(F.col(score), digits) if digits is not None else F.col(score)
     rows = df.select(*by, value.alias("score"), F.col(label).cast("int").alias("actual"))
-    rows = rows.where(F.col("score").isNotNull() & F.col("actual").isNotNull())
+    rows = rows.where(as_number("score").isNotNull() & F.col("actual").isNotNull())
     return rows.groupBy(*by, "score").agg(
         F.sum("actual").alias("pos"), F.sum(1 - F.col("actual")).alias("neg")
     )

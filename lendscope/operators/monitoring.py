@@ -12,8 +12,8 @@ from lendscope.functions import constants as K
 from lendscope.functions.expressions import month_key, psi_status
 from lendscope.operators.metrics import curve_areas, score_curve
 from lendscope.operators.profile import equal_width_place, histogram
-from lendscope.operators.quantiles import collected_quantiles, exact_quantiles, unpivot_numbers
-from lendscope.sources.workspace import settle
+from lendscope.operators.quantiles import exact_quantiles, unpivot_numbers
+from lendscope.sources.workspace import ensure_checkpoint_dir, settle
 
 log = logging.getLogger(__name__)
 EDGE_SLACK = 1e-9
@@ -79,13 +79,29 @@ def month_window(ts: Column) -> Column:
 
 
 def position_quarters(df: DataFrame, order_key: str, out: str = "window") -> DataFrame:
-    """Label rows ``Q1`` to ``Q4`` by their position in the order of a unique numeric key.
+    """Label rows ``Q1`` to ``Q4`` by their position in the order of a unique key of any orderable type.
 
-    Three order statistics of the key decide; no row numbers are needed.
+    Rows without a key come last. The keys are sorted in ranges and written once with their place in the
+    range; range sizes tell in which range and place the three cuts lie, so no task orders the whole table.
     """
-    cuts = collected_quantiles(df, [order_key], [0.25, 0.5, 0.75], lower=True)[order_key]
-    value = F.col(order_key).cast("double")
-    label = F.when(value <= cuts[0], "Q1").when(value <= cuts[1], "Q2").when(value <= cuts[2], "Q3").otherwise("Q4")
+    keys = df.select(F.col(order_key).alias("key"))
+    ranged = keys.repartitionByRange(F.asc_nulls_last("key")).sortWithinPartitions(F.asc_nulls_last("key"))
+    ensure_checkpoint_dir(df.sparkSession)
+    # The number holds the range in its upper bits and the place in the range in its lower ones.
+    placed = ranged.select("key", F.monotonically_increasing_id().alias("place")).checkpoint()
+    sizes = placed.groupBy(F.shiftright("place", 33).alias("range")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total = sum(r["n"] for r in sizes)
+    wanted, before = [], 0
+    cuts = [(total - 1) * q // 4 for q in (1, 2, 3)] if total else []
+    for r in sorted(sizes, key=lambda r: r["range"]):
+        wanted += [(r["range"] << 33) + c - before for c in cuts if before <= c < before + r["n"]]
+        before += r["n"]
+    found = {r["place"]: r["key"] for r in placed.where(F.col("place").isin(wanted)).collect()} if wanted else {}
+    value, label = F.col(order_key), F.lit("Q4")
+    for quarter, place in reversed(list(enumerate(wanted, 1))):
+        cut = found[place]
+        upto = F.lit(True) if cut is None else value.isNotNull() & (value <= F.lit(cut))
+        label = F.when(upto, f"Q{quarter}").otherwise(label)
     return df.withColumn(out, label)
 
 

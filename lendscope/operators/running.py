@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lendscope.sources.workspace import settle
+from lendscope.functions.expressions import as_number
+from lendscope.sources.workspace import ensure_checkpoint_dir, settle
 
 WINDOW_ROWS = 1_000_000
-MAX_RANGES = 10_000
 
 
 def running_totals(
@@ -29,19 +29,22 @@ def running_totals(
     ``counts`` holds one row per group and value. With ``levels``, a proven bound on the values per
     group, up to ``window_rows``, one window per group is used. Otherwise the number of rows is
     looked up first, and a larger table is cut into value ranges of even size, each summed on its
-    own and shifted by the totals of the ranges before it.
+    own and shifted by the totals of the ranges before it. Rows without a value, or with NaN, are left out
+    either way. The table is then written once to the shared folder, as it is read several times.
     """
     by = list(by)
+    counts = counts.where(as_number(value).isNotNull())
     direction = F.col(value).desc() if descending else F.col(value).asc()
     if levels is not None and levels <= window_rows:
         return _whole(counts, direction, totals, by)
-    counts = counts.persist()
+    ensure_checkpoint_dir(counts.sparkSession)
+    counts = counts.checkpoint()
     rows = counts.count()
     if rows <= window_rows:
         return _whole(counts, direction, totals, by)
     # Cut points come from a sketch and are constants from here on: a recomputed task places its
     # rows as before. A range holds few more rows than the sketch promises.
-    ranges = min(MAX_RANGES, -(-rows // window_rows) * 2)
+    ranges = -(-rows // window_rows) * 2
     probs = F.split(F.lit(",".join(str(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")
     inner = counts.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10 * ranges)).first()[0]
     splits = [float("-inf"), *sorted(set(inner)), float("inf")]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lendscope.functions.expressions import HASH_MODULUS, key_hash
+from lendscope.functions.expressions import HASH_MODULUS, as_timestamp, key_hash, order_number
 from lendscope.operators.running import running_totals
 from lendscope.sources.workspace import settle
 
@@ -16,7 +16,7 @@ from lendscope.sources.workspace import settle
 def temporal_split(df: DataFrame, date_col: str, cutoff: str) -> tuple[DataFrame, DataFrame]:
     """Rows up to and including the cutoff month, and rows after it. Undated rows are in neither."""
     start_of_next = F.add_months(F.lit(f"{cutoff}-01").cast("date"), 1).cast("timestamp_ntz")
-    ts = F.col(date_col).cast("timestamp_ntz")
+    ts = as_timestamp(df, date_col)
     return df.where(ts < start_of_next), df.where(ts >= start_of_next)
 
 
@@ -31,12 +31,12 @@ def hash_slices(
     """Number each row by the slice of its group's hash order it falls in.
 
     ``cuts`` maps a group's row count to ascending positions; slice ``i`` starts at the ``i``-th
-    cut. Sizes are exact. Hash counts (at most ``HASH_MODULUS`` per group) find the hash value at
-    each cut; only rows carrying exactly that hash value are ranked by key, all others are placed
+    cut. Sizes are exact for a key of any type, also where it is missing or
+    repeated (``order_number``). Hash counts (at most ``HASH_MODULUS`` per group) find the hash value at each cut; only rows carrying exactly that hash value are ranked by key, all others are placed
     by a comparison.
     """
     by = list(by)
-    tagged = df.withColumn("_hash", key_hash(F.col(key), seed))
+    tagged = df.withColumn("_hash", key_hash(order_number(df, key), seed))
     counts = tagged.groupBy(*by, "_hash").agg(F.count(F.lit(1)).alias("rows"))
     ranked = running_totals(counts, "_hash", ["rows"], by, descending=False, levels=HASH_MODULUS,
                             window_rows=HASH_MODULUS)
@@ -62,7 +62,7 @@ def hash_slices(
     on_edge = F.coalesce(F.array_contains("_hashes", F.col("_hash")), F.lit(False))
     clear = joined.where(~on_edge).withColumn("_rank", F.lit(0))
     edge = joined.where(on_edge).withColumn(
-        "_rank", F.row_number().over(W.partitionBy(*by, "_hash").orderBy(key))
+        "_rank", F.row_number().over(W.partitionBy(*by, "_hash").orderBy(key, *[F.col(f"`{c}`") for c in df.columns if c != key]))
     )
     most = len(cuts(F.lit(1)))
     passed = " + ".join(["0", *[

@@ -25,7 +25,6 @@ from lendscope.operators.splits import folds, repeated_shuffles
 from lendscope.sources.workspace import settle
 
 FEATURES, WEIGHT = "_features", "_weight"
-ROWS_PER_TASK = 50_000
 CV_METRICS = ("accuracy", "f1", "precision", "recall", "roc_auc")
 
 # The model catalogue used when none is given.
@@ -72,38 +71,59 @@ def class_weights(spec: Mapping, n0: int, n1: int) -> tuple[float, float]:
     return 1.0, 1.0
 
 
+_TREE = {"max_depth", "min_samples_leaf", "random_state"}
+KNOWN_PARAMS = {
+    "logistic_regression": {"max_iter", "C", "tol", "class_weight", "random_state"},
+    "decision_tree": {*_TREE, "class_weight"},
+    "random_forest": {*_TREE, "n_estimators", "max_features", "class_weight"},
+    "gradient_boosting": {*_TREE, "n_estimators", "learning_rate", "subsample", "max_features"},
+    "hist_gradient_boosting": {*_TREE, "max_iter", "learning_rate", "max_bins", "class_weight"},
+}
+DEEPEST = 30  # Spark's own limit
+
+
 def make_estimator(spec: Mapping, label: str, total_weight: float) -> Estimator:
-    """The Spark ML estimator for one catalogue entry."""
-    p = dict(spec.get("params", {}))
-    seed = p.get("random_state", 42)
+    """The Spark ML estimator for one catalogue entry; a parameter it would not use is refused.
+
+    Where a parameter is absent, each type has its usual default: trees and forests grow until their leaves are
+    pure (to Spark's depth limit), boosting stops at depth 3, histogram boosting keeps 20 rows a leaf.
+    """
+    kind, p = spec["type"], dict(spec.get("params", {}))
+    if kind not in KNOWN_PARAMS:
+        raise ValueError(f"unknown model type {kind!r}")
+    unknown = sorted(set(p) - KNOWN_PARAMS[kind])
+    if unknown:
+        raise ValueError(f"{kind} has no parameter {unknown}; known: {sorted(KNOWN_PARAMS[kind])}")
     common = dict(featuresCol=FEATURES, labelCol=label, weightCol=WEIGHT)
-    tree = dict(maxDepth=p.get("max_depth") or 30, minInstancesPerNode=p.get("min_samples_leaf", 1), seed=seed)
-    kind = spec["type"]
+
+    def tree(depth: int | None, leaf: int) -> dict:
+        return dict(maxDepth=p.get("max_depth", depth) or DEEPEST, minInstancesPerNode=p.get("min_samples_leaf", leaf),
+                    seed=p.get("random_state", 42))
+
+    def subset(default: str) -> str:
+        wanted = p.get("max_features", default)
+        return "all" if wanted is None else str(wanted)
+
     if kind == "logistic_regression":
         return LogisticRegression(
             maxIter=p.get("max_iter", 100), regParam=1.0 / (p.get("C", 1.0) * total_weight),
             elasticNetParam=0.0, standardization=False, tol=p.get("tol", 1e-6), **common,
         )
     if kind == "decision_tree":
-        return DecisionTreeClassifier(**tree, **common)
+        return DecisionTreeClassifier(**tree(None, 1), **common)
     if kind == "random_forest":
-        subset = p.get("max_features", "sqrt")
         return RandomForestClassifier(
-            numTrees=p.get("n_estimators", 100), featureSubsetStrategy="all" if subset is None else str(subset),
-            **tree, **common,
-        )
+            numTrees=p.get("n_estimators", 100), featureSubsetStrategy=subset("sqrt"), **tree(None, 1), **common)
     if kind == "gradient_boosting":
         return GBTClassifier(
             maxIter=p.get("n_estimators", 100), stepSize=p.get("learning_rate", 0.1),
-            subsamplingRate=p.get("subsample", 1.0), **tree, **common,
-        )
-    if kind == "hist_gradient_boosting":
-        # Spark's boosting bins its features too; it has no L2 penalty on the leaves.
-        return GBTClassifier(
-            maxIter=p.get("max_iter", 100), stepSize=p.get("learning_rate", 0.1),
-            maxBins=min(p.get("max_bins", 255), 255), **tree, **common,
+            subsamplingRate=p.get("subsample", 1.0), featureSubsetStrategy=subset("all"), **tree(3, 1), **common,
         )
-    raise ValueError(f"unknown model type {kind!r}")
+    # Spark's boosting bins its features too; it has no L2 penalty on the leaves.
+    return GBTClassifier(
+        maxIter=p.get("max_iter", 100), stepSize=p.get("learning_rate", 0.1),
+        maxBins=min(p.get("max_bins", 255), 255), **tree(None, 20), **common,
+    )
 
 
 def feature_columns(df: DataFrame, label: str, keep: Sequence[str] = ()) -> list[str]:
@@ -114,18 +134,21 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="error").transform(df)
 
 
-def fit_classifier(spec: Mapping, train: DataFrame, label: str, features: Sequence[str]) -> Model:
+def fit_classifier(
+    spec: Mapping, train: DataFrame, label: str, features: Sequence[str], partitions: int | None = None
+) -> Model:
     """Fit on assembled, weighted rows. The input is kept for the iterations, then released.
 
-    Every iteration is a job over all partitions, so few rows are gathered in few of them.
+    Every iteration is a job over all partitions. ``partitions`` gathers the rows in so many; bagging and
+    subsampling draw by partition, so a fit is repeated exactly only over the same partitions.
     """
     n0, n1 = class_counts(train, label)
     w0, w1 = class_weights(spec, n0, n1)
-    tasks = max(1, -(-(n0 + n1) // ROWS_PER_TASK))
     ready = assemble(train, features).select(
         FEATURES, F.col(label).cast("double").alias(label),
         F.when(F.col(label) == 1, w1).otherwise(w0).alias(WEIGHT),
-    ).coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    ready = (ready.coalesce(partitions) if partitions else ready).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return make_estimator(spec, label, n0 * w0 + n1 * w1).fit(ready)
     finally:

@@ -27,7 +27,7 @@ WHERE disbursed_at >= TIMESTAMP '2000-01-01 00:00:00'"""))
 def ingest_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     since = ingest.since_value("2000-01-03", None, None, lookback_days=2)
     source = {"type": "parquet", "path": L.loans_path(spark, sf_dir)}
-    where = F.col("disbursed_at") >= F.lit(since).cast("timestamp_ntz")
+    where = ingest.incremental_filter(spark.read.parquet(source["path"]), since, L.DATE)
     return readers.fetch(spark, source, ["loan_id", "credit_type", "principal"], where)
 
 
@@ -49,20 +49,54 @@ def high_water(spark, sf_dir):
     return ingest.high_water(L.loans(spark, sf_dir), L.DATE)
 
 
-@query("raw_merge", on_loans("""
+@query("raw_merge", on_loans(f"""
+, arriving AS ({L.ARRIVALS})
+, once AS (SELECT loan_id, disbursed_at FROM arriving WHERE NOT again OR loan_id IS NULL)
 SELECT coalesce(strftime(disbursed_at, '%Y-%m'), 'unknown') AS month, count(*) AS n,
-       CAST(sum(loan_id) AS BIGINT) AS ids FROM loans GROUP BY 1"""))
+       CAST(coalesce(sum(loan_id), 0) AS BIGINT) AS ids FROM once GROUP BY 1"""))
 def raw_merge(spark, sf_dir):
-    """First load up to a mid-month date, then an overlapping slice: nothing lost, nothing twice."""
-    rows = L.loans(spark, sf_dir).drop(L.EVENT)
+    """First load up to a mid-month date, then an overlapping slice with an unpadded cut-off: nothing lost, nothing twice.
+
+    Some rows have no key, and some keys come again a month later.
+    """
+    rows = L.arrivals(spark, sf_dir).drop("again")
     path = work_path(spark, "raw")
     early = rows.where((F.col(L.DATE) < F.lit("1999-06-20").cast("timestamp_ntz")) | F.col(L.DATE).isNull())
-    sinks.merge_slice(early, path, L.DATE, None)
-    since = "1999-06-10T00:00:00"
-    sinks.merge_slice(rows.where(F.col(L.DATE) >= F.lit(since).cast("timestamp_ntz")), path, L.DATE, since)
+    sinks.merge_slice(early, path, L.DATE, None, unique_key=L.KEY)
+    since = "1999-6-10"
+    late = rows.where(ingest.incremental_filter(rows, since, L.DATE))
+    sinks.merge_slice(late, path, L.DATE, since, unique_key=L.KEY)
     stored = spark.read.parquet(path)
     return stored.groupBy(F.col(sinks.MONTH).cast("string").alias("month")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("loan_id").alias("ids"))
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("loan_id"), F.lit(0)).alias("ids"))
+
+
+@query("text_dates", on_loans("""
+, f AS (SELECT loan_id, CASE WHEN loan_id % 7 <> 0 THEN disbursed_at END AS ts FROM loans)
+SELECT loan_id, CAST(year(ts) AS BIGINT) AS loan_year, CAST(month(ts) AS BIGINT) AS loan_month,
+       CASE WHEN ts < TIMESTAMP '2000-10-01' THEN 'train' ELSE 'test' END AS part
+FROM f WHERE ts IS NOT NULL"""))
+def text_dates(spark, sf_dir):
+    """Dates as text, every seventh unreadable: parsed inside the derived features and the split."""
+    text = F.when(F.col(L.KEY) % 7 == 0, "bad").otherwise(F.date_format(L.DATE, "yyyy-MM-dd HH:mm:ss"))
+    rows = features.stateless(L.loans(spark, sf_dir).withColumn(L.DATE, text), L.CONFIG)
+    train, test = splits.temporal_split(rows, L.DATE, L.CUTOFF)
+    pick = lambda df, part: df.select(L.KEY, "loan_year", "loan_month", F.lit(part).alias("part"))
+    return pick(train, "train").unionByName(pick(test, "test"))
+
+
+@query("split_text_key", on_loans(f"""
+, k AS (SELECT event, CAST('0x' || substr(md5('L-' || loan_id), 1, 15) AS BIGINT) AS num FROM lv)
+, h AS (SELECT *, {hash_sql('num', '42')} AS hash FROM k)
+, r AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY hash, num) AS place, count(*) OVER (PARTITION BY event) AS n FROM h)
+SELECT CAST(event AS BIGINT) AS event, CASE WHEN place > round(n * 0.2e0) THEN 'train' ELSE 'test' END AS part, count(*) AS n
+FROM r GROUP BY ALL"""))
+def split_text_key(spark, sf_dir):
+    """Stratified split on a key that is text."""
+    rows = L.loans(spark, sf_dir).select(F.concat(F.lit("L-"), L.KEY).alias("ref"), L.EVENT)
+    parts = splits.stratified_split(rows, "ref", L.EVENT)
+    both = parts[0].withColumn("part", F.lit("train")).unionByName(parts[1].withColumn("part", F.lit("test")))
+    return both.groupBy(L.EVENT, "part").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Stateless features --------------------------------------------------------------------------

@@ -137,6 +137,17 @@ def loans_path(spark: SparkSession, sf_dir: str) -> str:
     return _WRITTEN[key]
 
 
+# Loans as they could arrive: every 13th without a key, every 17th once more a month later.
+ARRIVALS = """SELECT CASE WHEN loan_id % 13 <> 0 THEN loan_id END AS loan_id, disbursed_at, principal, false AS again FROM loans
+UNION ALL SELECT CASE WHEN loan_id % 13 <> 0 THEN loan_id END, disbursed_at + INTERVAL 1 MONTH, principal, true
+FROM loans WHERE loan_id % 17 = 0"""
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(loans_path(spark, sf_dir)).createOrReplaceTempView("lendscope_arriving")
+    return spark.sql(ARRIVALS.replace("FROM loans", "FROM lendscope_arriving"))
+
+
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The loan table with the event column."""
     return add_event(spark.read.parquet(loans_path(spark, sf_dir)), "paid_on_time", EVENT)

@@ -207,13 +207,30 @@ def stream_months(spark, sf_dir):
     return streams.run_complete(result, checkpoint, target)
 
 
-@query("stream_ingest", on_loans("""
-SELECT strftime(disbursed_at, '%Y-%m') AS month, count(*) AS n, CAST(sum(loan_id) AS BIGINT) AS ids
-FROM loans WHERE disbursed_at >= TIMESTAMP '1998-03-10' GROUP BY 1"""))
+@query("stream_ingest", on_loans(f"""
+, arriving AS ({L.ARRIVALS})
+, due AS (SELECT loan_id, disbursed_at FROM arriving WHERE disbursed_at >= TIMESTAMP '1998-03-10')
+, once AS (SELECT loan_id, min(disbursed_at) AS disbursed_at FROM due WHERE loan_id IS NOT NULL GROUP BY 1
+  UNION ALL SELECT loan_id, disbursed_at FROM due WHERE loan_id IS NULL)
+SELECT strftime(disbursed_at, '%Y-%m') AS month, count(*) AS n, CAST(coalesce(sum(loan_id), 0) AS BIGINT) AS ids
+FROM once GROUP BY 1"""))
 def stream_ingest(spark, sf_dir):
-    path = L.loans_path(spark, sf_dir)
+    """Rows without a key are all kept, a key of two months is stored with its earlier row."""
+    arriving = L.arrivals(spark, sf_dir).drop("again")
+    source = work_path(spark, "arriving")
+    arriving.write.parquet(source)
     sink, checkpoint = streams.fresh_paths(spark, "stream-ingest")
-    schema = spark.read.parquet(path).schema
-    rows = streams.stream_ingest(spark, path, schema, L.KEY, L.DATE, "1998-03-10", sink, checkpoint)
+    rows = streams.stream_ingest(spark, source, arriving.schema, L.KEY, L.DATE, "1998-3-10", sink, checkpoint)
     return rows.groupBy(month_key(F.col(L.DATE)).alias("month")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(L.KEY).alias("ids"))
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(L.KEY), F.lit(0)).alias("ids"))
+
+
+@query("quarters_wide_key", on_loans("""
+, k AS (SELECT event, row_number() OVER (ORDER BY loan_id) - 1 AS p, count(*) OVER () AS n FROM lv)
+SELECT 'Q' || greatest(1, CAST(ceil(4 * p / (n - 1e0)) AS BIGINT)) AS "window", count(*) AS n, CAST(sum(event) AS BIGINT) AS events
+FROM k GROUP BY 1"""))
+def quarters_wide_key(spark, sf_dir):
+    """Position quarters by a 64-bit key of which a double cannot tell neighbours apart."""
+    rows = L.loans(spark, sf_dir).select((F.col(L.KEY) + F.lit(1 << 62)).alias("wide"), L.EVENT)
+    return monitoring.position_quarters(rows, "wide").groupBy("window").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(L.EVENT).alias("events"))

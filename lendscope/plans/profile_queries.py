@@ -25,10 +25,10 @@ def null_profile(spark, sf_dir):
 
 
 @query("dup_rows", """SELECT count(*) AS n_rows,
-  count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS duplicates
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicates
 FROM lineitem""")
 def dup_rows(spark, sf_dir):
-    return profile.duplicate_rows(L.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
+    return profile.duplicate_rows(L.table(spark, sf_dir, "lineitem"))
 
 
 @query("column_summary", on_loans(f", {LONG} SELECT name, {SUMMARY} FROM long GROUP BY name"), digits=4)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lendscope.functions import constants as K
 from lendscope.sources.readers import fetch, selected_columns
 from lendscope.sources.sinks import merge_slice, output_format, write_raw
+from lendscope.sources.workspace import ensure_checkpoint_dir
 
 log = logging.getLogger(__name__)
 
@@ -103,7 +104,8 @@ def ingest(spark: SparkSession, use_case: Mapping, since: str | None = None) ->
 
     ``use_case`` holds ``source``, ``ingestion`` (``select_columns``, ``expected_columns``,
     ``incremental_key``, ``incremental_start``, ``lookback_days``, ``unique_key``, ``write_format``)
-    and ``paths`` (``raw_data``, ``state``).
+    and ``paths`` (``raw_data``, ``state``). A source with ``dev_limit`` gives a sample: it is added to the raw
+    table, replaces nothing stored, and does not move the mark.
     """
     rules, paths, source = use_case["ingestion"], use_case["paths"], use_case["source"]
     key = rules.get("incremental_key")
@@ -113,12 +115,19 @@ def ingest(spark: SparkSession, use_case: Mapping, since: str | None = None) ->
     df = fetch(spark, source, columns)
     where = incremental_filter(df, first, key) if key else None
     df = df.where(where) if where is not None else df
-    df = df.limit(source["dev_limit"]) if source.get("dev_limit") else df
-    report = quality_gate(df, rules.get("expected_columns", ()), rules.get("unique_key"))
+    limited = bool(source.get("dev_limit"))
+    df = df.limit(source["dev_limit"]) if limited else df
+    # Gate, write and mark must see the same rows, however the source changes meanwhile.
+    ensure_checkpoint_dir(spark)
+    df = df.checkpoint()
+    unique = rules.get("unique_key")
+    unique = unique if unique in df.columns else None
+    report = quality_gate(df, rules.get("expected_columns", ()), unique)
     fmt = output_format(rules, paths["raw_data"])
     if key and df.schema[key].dataType.simpleString().startswith(("timestamp", "date")):
-        merge_slice(df, paths["raw_data"], key, first, fmt)
+        merge_slice(df, paths["raw_data"], key, first, fmt, unique, complete=not limited)
     else:
-        write_raw(df, paths["raw_data"], fmt)
-    report["mark"] = save_mark(df, key, paths["state"])
+        write_raw(df, paths["raw_data"], fmt, replace=not limited)
+    # A limited run leaves rows out, so the next run must start where this one did.
+    report["mark"] = None if limited else save_mark(df, key, paths["state"])
     return report

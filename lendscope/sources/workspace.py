@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,18 +15,21 @@ SMALL_ROWS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only for an unset local session."""
+    """Folder named by ``spark.checkpoint.dir``, which every executor must reach."""
     named = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise RuntimeError(
             f"set {CHECKPOINT_SETTING} to a folder every executor can reach; "
             "a machine-local folder would be lost with its machine"
         )
-    folder = tempfile.mkdtemp(prefix="lendscope-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    return named
+
+
+def use_local_folder(spark: SparkSession) -> None:
+    """For tests and benchmarks: give a local session that names no folder a temporary one."""
+    named = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
+    if not named and re.match(r"local(\[|$)", spark.sparkContext.master):
+        spark.conf.set(CHECKPOINT_SETTING, tempfile.mkdtemp(prefix="lendscope-"))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

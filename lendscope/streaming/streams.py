@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,11 @@ from lendscope.functions.expressions import month_key
 from lendscope.operators.metrics import CURVE_NAMES, curve_areas
 from lendscope.operators.monitoring import window_aggregates, with_window_rates
 from lendscope.operators.running import running_totals
-from lendscope.sources.sinks import MONTH, UNDATED
+from lendscope.sources.sinks import MONTH, UNDATED, one_per_key
 from lendscope.sources.workspace import work_path
 
 SCORE_DIGITS = 3
+BATCH = "part_batch"
 
 
 def read_files(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -111,28 +113,29 @@ def stream_ingest(
 ) -> DataFrame:
     """Pick up files that arrived since the last run, each key once, into a month-partitioned table.
 
-    A repeated key is recognised against the stored keys of the months it could be in, however late
-    it comes; a batch that is run again after a failure therefore adds nothing twice.
+    The rule is that of the batch merge (``one_per_key``): a stored key keeps its row, of several new rows the earliest
+    stays, and rows without a key are all kept. Keys are checked against all stored months, of which only the
+    key column is read. Rows of a batch that is run again after a failure are recognised by the batch number
+    they were stored with, so nothing is added twice.
     """
     rows = read_files(spark, source, schema)
     if since is not None:
-        rows = rows.where(F.col(ts) >= F.lit(since).cast("timestamp_ntz"))
+        rows = rows.where(F.col(ts) >= F.lit(since).cast(rows.schema[ts].dataType))
     rows = rows.withColumn(MONTH, F.coalesce(month_key(F.col(ts)), F.lit(UNDATED)))
+    kept = rows.schema.add(BATCH, "string")
+    run = sha256(checkpoint.encode()).hexdigest()[:16]
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        months = [r[0] for r in batch.select(MONTH).distinct().collect()]
-        stored = batch.sparkSession.read.schema(rows.schema).parquet(sink) if batch_id or _exists(spark, sink) else None
-        unique = batch.dropDuplicates([key])
-        if stored is not None:
-            known = stored.where(F.col(MONTH).isin(months)).select(key)
-            unique = unique.join(known, key, "left_anti")
-        unique.hint("rebalance", MONTH).write.partitionBy(MONTH).mode("append").parquet(sink)
-        batch.unpersist()
+        session, mark = batch.sparkSession, f"{run}-{batch_id}"
+        stored = session.read.schema(kept).parquet(sink) if _exists(session, sink) else None
+        if stored is not None and not stored.where(F.col(BATCH) == mark).isEmpty():
+            return
+        fresh = one_per_key(batch, key, ts, stored).withColumn(BATCH, F.lit(mark))
+        fresh.hint("rebalance", MONTH).write.partitionBy(MONTH).mode("append").parquet(sink)
 
     query = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     query.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(sink).drop(MONTH)
+    return spark.read.schema(kept).parquet(sink).drop(MONTH, BATCH)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
