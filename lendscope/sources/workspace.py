@@ -29,7 +29,7 @@ def use_local_folder(spark: SparkSession) -> None:
     """For tests and benchmarks: give a local session that names no folder a temporary one."""
     named = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not named and re.match(r"local(\[|$)", spark.sparkContext.master):
-        spark.conf.set(CHECKPOINT_SETTING, tempfile.mkdtemp(prefix="lendscope-"))
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lendscope-"))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
