@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendscope.llm import exact_dedup, mixing, near_dedup, pieces, quality
-from lendscope.llm.common import saved, table
+from lendscope.llm.common import saved, small_batches, table
+from lendscope.sources.workspace import use_local_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,6 +34,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """doc_id, source, n_tokens, the piece ids and the decoded text of every remaining row."""
     from lendscope.llm.queries import piece_model
 
+    small_batches(spark)
     coded = docs.select("doc_id", "source", pieces.encode_column(F.col("text"), piece_model()).alias("piece"))
     return coded.select("doc_id", "source", F.size("piece.ids").cast("long").alias("n_tokens"), "piece.ids", "piece.decoded")
 
@@ -51,6 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written to the shared folder and read again by the next."""
+    use_local_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")

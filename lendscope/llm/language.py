@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import in_fold
+from lendscope.llm.common import in_fold, small_batches
 from lendscope.llm.quality import bounded
 
 HIDDEN, WINDOW = 8, 64
@@ -228,6 +228,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     ``und`` with score 0, as is everything when there is nothing to learn from. A null id is not held out and not learned from; repeated
     rows give repeated rows; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     model = train_language(docs, ~in_fold(id_col, folds, held), id_col, text_col, lang_col, **options)
 
     def run(batches):

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import BLANK_BYTES, saved
+from lendscope.llm.common import BLANK_BYTES, saved, small_batches
 
 LEAST = 10
 #: Batches of a table, and runs of one level that are merged into one of the next.
@@ -92,6 +92,7 @@ def line_dedup(
     hashes gathered so far, and its new hashes form a run, so a hash is owned by the first batch that has it. A hot line
     is one row per batch before any join.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
 

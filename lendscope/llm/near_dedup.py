@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import saved
+from lendscope.llm.common import saved, small_batches
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -193,6 +193,7 @@ def near_classes(
     exact, on whole texts.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = [F.col(f"`{c}`").alias(c) for c in carry]
     schema = "row_no long, digest binary, n_shingles long, bands array<long>"
 
@@ -245,7 +246,7 @@ def near_classes(
                          "n_shingles", *(["row"] if own else []))
 
 
-def _bounded(texts: Sequence[str], most: int = 4_000_000) -> list[slice]:
+def _bounded(texts: Sequence[str], most: int = 500_000) -> list[slice]:
     """Consecutive parts of at most ``most`` characters, or of one longer text."""
     parts, begin, size = [], 0, 0
     for i, t in enumerate(texts):

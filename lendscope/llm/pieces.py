@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lendscope.llm.common import small_batches
+
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: Distinct segments a worker remembers before it starts afresh.
@@ -255,6 +257,7 @@ def piece_digests(
                     pa.array([hashlib.sha256(decoded.encode()).hexdigest() for _, _, decoded in found]),
                 ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import in_fold
+from lendscope.llm.common import in_fold, small_batches
 
 #: Bytes of one chunk, distance between chunk starts, numbers per symbol, filters.
 WIDTH, STRIDE, CHANNELS, FILTERS = 16, 4, 8, 24
@@ -202,6 +202,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Repeated ids are scored row by row; an id with several labels counts with the smallest. A null id is not held
     out, a null label is no label, further columns are not read, and an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     model = train_quality(docs, labels, ~in_fold(id_col, folds, held), id_col, text_col, **options)
     rows = docs.select(F.col(id_col).alias("doc_id"), in_fold(id_col, folds, held).alias("held_out"),
                        quality_score(F.col(text_col), model).alias("score"))
@@ -211,5 +212,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def kept_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5,
               held: int = 0, threshold: float = 0.3, **options) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
+    small_batches(docs.sparkSession)
     model = train_quality(docs, labels, ~in_fold(id_col, folds, held), id_col, text_col, **options)
     return docs.filter(quality_score(F.col(text_col), model) >= threshold)
