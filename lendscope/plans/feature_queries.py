@@ -102,11 +102,10 @@ def split_text_key(spark, sf_dir):
 # Stateless features --------------------------------------------------------------------------
 
 RATIO_SQL = """
-  installment / nullif(bureau_income, 0) AS installment_income,
-  principal / nullif(bureau_income, 0) AS principal_income,
-  other_loans / nullif(bureau_income, 0) AS other_income,
-  (installment + other_loans) / nullif(bureau_income, 0) AS dti,
-  inquiries / (active_loans + 1e0) AS inquiries_per_loan"""
+  other_loans / nullif(principal, 0) AS debt_to_principal,
+  bureau_income / nullif(installment, 0) AS income_cover,
+  (principal + other_loans) / nullif(bureau_income, 0) AS burden,
+  bureau_score / (inquiries + 2e0) AS score_per_inquiry"""
 RATIO_NAMES = [r["name"] for r in L.RATIOS]
 
 
@@ -197,12 +196,15 @@ IMPUTE_CTE = """
 med AS (SELECT employment, quantile_cont(bureau_income, 0.5) AS m FROM train
         WHERE employment IS NOT NULL GROUP BY employment),
 gmed AS (SELECT quantile_cont(bureau_income, 0.5) AS m FROM train)"""
-CAP_CTE = """
-cap AS (SELECT quantile_cont(principal, 0.99e0) AS c1, quantile_cont(other_loans, 0.99e0) AS c2,
-               quantile_cont(installment, 0.99e0) AS c3 FROM train)"""
-CAPPED = ", ".join(
-    f"CASE WHEN {c} > (SELECT {k} FROM cap) THEN (SELECT {k} FROM cap) ELSE {c} END AS {c}"
-    for c, k in (("principal", "c1"), ("other_loans", "c2"), ("installment", "c3")))
+def _caps(source: str) -> str:
+    return "cap AS (SELECT " + ", ".join(
+        f"quantile_cont({c}, {L.CONFIG['cap_quantile']!r}e0) AS c_{c}" for c in L.CONFIG["cap_columns"]) + f" FROM {source})"
+
+
+CAP_CTE = _caps("train")
+CAPPED = ", ".join(f"CASE WHEN {c} > (SELECT c_{c} FROM cap) THEN (SELECT c_{c} FROM cap) ELSE {c} END AS {c}"
+                   for c in L.CONFIG["cap_columns"])
+ROUNDED_CAPS = ", ".join(f"round({c}, 6) AS {c}" for c in L.CONFIG["cap_columns"])
 
 
 @query("impute_segmented", on_split(f""", {IMPUTE_CTE}
@@ -216,8 +218,7 @@ def impute_segmented(spark, sf_dir):
 
 @query("winsorise", on_split(f""", {CAP_CTE}
 , c AS (SELECT loan_id, {CAPPED} FROM lv)
-SELECT loan_id, round(principal, 6) AS principal, round(other_loans, 6) AS other_loans,
-       round(installment, 6) AS installment FROM c"""))
+SELECT loan_id, {ROUNDED_CAPS} FROM c"""))
 def winsorise(spark, sf_dir):
     rows, train = _train(spark, sf_dir)
     params = fitted.fit_caps(train, L.CONFIG["cap_columns"], L.CONFIG["cap_quantile"])
@@ -341,12 +342,10 @@ def feature_tables(spark, sf_dir):
 , gmed AS (SELECT quantile_cont(bureau_income, 0.5) AS m FROM lv)
 , med AS (SELECT employment, quantile_cont(bureau_income, 0.5) AS m FROM lv
           WHERE employment IS NOT NULL GROUP BY employment)
-, cap AS (SELECT quantile_cont(principal, 0.99e0) AS c1, quantile_cont(other_loans, 0.99e0) AS c2,
-                 quantile_cont(installment, 0.99e0) AS c3 FROM lv)
+, {_caps("lv")}
 , c AS (SELECT loan_id, coalesce(bureau_income, med.m, (SELECT m FROM gmed)) AS bureau_income, {CAPPED}
         FROM lv LEFT JOIN med ON lv.employment = med.employment)
-SELECT loan_id, round(bureau_income, 6) AS bureau_income, round(principal, 6) AS principal,
-       round(other_loans, 6) AS other_loans, round(installment, 6) AS installment FROM c"""))
+SELECT loan_id, round(bureau_income, 6) AS bureau_income, {ROUNDED_CAPS} FROM c"""))
 def combined_features(spark, sf_dir):
     base, _ = fitted.fit_combined(L.loans(spark, sf_dir), L.CONFIG)
     return base.select(L.KEY, "bureau_income", *L.CONFIG["cap_columns"])

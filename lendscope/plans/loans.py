@@ -57,29 +57,31 @@ EVENT = "event"
 KEY = "loan_id"
 DATE = "disbursed_at"
 
-AGE_BINS = [18, 26, 36, 46, 56, 66, 120]
-AGE_LABELS = ["18-25", "26-35", "36-45", "46-55", "56-65", "66+"]
-SCORE_BINS = [-10, 700, 750, 780, 800, 830, 1000]
-SCORE_LABELS = ["very_high", "high", "medium", "medium_low", "low", "very_low"]
+# Settings chosen from the loan view itself: bins leave values out on both sides, as ages run from 15 to 124 and
+# scores from -14 to 1000; the rules mark roughly a third, a half, a quarter and a fifth of the loans.
+AGE_BINS = [20, 40, 60, 80, 100]
+AGE_LABELS = [f"{lo} to {hi - 1}" for lo, hi in zip(AGE_BINS, AGE_BINS[1:])]
+SCORE_BINS = [0, 250, 500, 750, 1000]
+SCORE_LABELS = [f"from {lo}" for lo in SCORE_BINS[:-1]]
 TRENDS = ["down", "flat", "up"]
 
 RULES = [
-    {"col": "bureau_score", "op": "<", "threshold": 760},
-    {"col": "inquiries", "op": ">", "threshold": 5},
-    {"col": "term_months", "op": ">", "threshold": 12},
+    {"col": "term_months", "op": ">=", "threshold": 30},
+    {"col": "bureau_score", "op": "<=", "threshold": 500},
+    {"col": "inquiries", "op": ">", "threshold": 6},
+    {"col": "age", "op": "<", "threshold": 35},
 ]
 MIN_SIGNALS = 2
 
-NUMBERS = ["principal", "term_months", "age", "other_loans", "installment", "bureau_income",
-           "bureau_score", "active_loans", "inquiries"]
+NUMBERS = ["active_loans", "age", "bureau_income", "bureau_score", "inquiries", "installment", "other_loans",
+           "principal", "term_months"]
 CATEGORIES = ["credit_type", "employment"]
 
 RATIOS = [
-    {"name": "installment_income", "numerator": "installment", "denominator": "bureau_income"},
-    {"name": "principal_income", "numerator": "principal", "denominator": "bureau_income"},
-    {"name": "other_income", "numerator": "other_loans", "denominator": "bureau_income"},
-    {"name": "dti", "numerator_sum": ["installment", "other_loans"], "denominator": "bureau_income"},
-    {"name": "inquiries_per_loan", "numerator": "inquiries", "denominator": "active_loans", "denominator_add": 1},
+    {"name": "debt_to_principal", "numerator": "other_loans", "denominator": "principal"},
+    {"name": "income_cover", "numerator": "bureau_income", "denominator": "installment"},
+    {"name": "burden", "numerator_sum": ["principal", "other_loans"], "denominator": "bureau_income"},
+    {"name": "score_per_inquiry", "numerator": "bureau_score", "denominator": "inquiries", "denominator_add": 2},
 ]
 
 CONFIG = {
@@ -96,18 +98,16 @@ CONFIG = {
     },
     "catalogues": {"income_trend": TRENDS},
     "impute": {"bureau_income": "employment"},
-    "cap_columns": ["principal", "other_loans", "installment"],
+    "cap_columns": ["installment", "other_loans"],
     "cap_quantile": 0.99,
     "leakage": ["behaviour_score", "arrears_balance", "paid_on_time"],
     "drop": ["loan_age_days", "loan_year", "loan_month", "loan_weekday", "score"],
-    "numeric": ["inquiries", "term_months", "bureau_income", "principal", "other_loans", "installment",
-                "active_loans", "installment_income", "principal_income", "other_income", "dti",
-                "inquiries_per_loan"],
+    "numeric": [*[c for c in NUMBERS if c not in ("age", "bureau_score")], *[r["name"] for r in RATIOS]],
     "nominal": CATEGORIES,
     "ordinal": {"income_trend": TRENDS, "age_bucket": AGE_LABELS, "score_bucket": SCORE_LABELS},
 }
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,13 +123,23 @@ def loans_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nan_to_null(spark.sql(text))
 
 
+def input_state(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    """Path, size and time of every input file, so that a changed input is noticed."""
+    files = None
+    for name in TABLES:
+        one = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(
+            "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        files = one if files is None else files.unionByName(one)
+    return sorted(tuple(r) for r in files.collect())
+
+
 def loans_path(spark: SparkSession, sf_dir: str) -> str:
     """The loan table as written once per application to the shared folder.
 
     Every operator reads it one or more times; written, those reads are plain columnar scans with
     pruned columns instead of repeated joins, and they survive the loss of an executor.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, *input_state(spark, sf_dir))
     if key not in _WRITTEN:
         path = work_path(spark, "loans")
         loans_plan(spark, sf_dir).write.parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,10 +16,10 @@ from lendscope.plans.profile_queries import histogram_sql
 from lendscope.plans.registry import bin_sql, hash_sql, on_loans, on_split, prob_list, query
 
 THRESHOLD = 0.5
-RULE_SQL = """rl AS (SELECT *, r1 + r2 + r3 AS signals, (r1 + r2 + r3) / 3e0 AS rscore,
-                CASE WHEN r1 + r2 + r3 >= 2 THEN 1 ELSE 0 END AS pred
-  FROM (SELECT *, CASE WHEN bureau_score < 760 THEN 1 ELSE 0 END AS r1, CASE WHEN inquiries > 5 THEN 1 ELSE 0 END AS r2,
-               CASE WHEN term_months > 12 THEN 1 ELSE 0 END AS r3 FROM lv))"""
+_HITS = " + ".join(f"CASE WHEN {r['col']} {r['op']} {r['threshold']} THEN 1 ELSE 0 END" for r in L.RULES)
+RULE_SQL = f"""rl AS (SELECT *, signals / {len(L.RULES)}e0 AS rscore,
+                CASE WHEN signals >= {L.MIN_SIGNALS} THEN 1 ELSE 0 END AS pred
+  FROM (SELECT *, {_HITS} AS signals FROM lv))"""
 
 
 def curve_ctes(source: str, score: str, by: str = "", name: str = "cv", label: str = "event") -> str:
@@ -41,11 +42,14 @@ F1 = "CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END
 ACCURACY = "(tp + tn) / (tp + tn + fp + fn)"
 
 
+def _with_rules(rows: DataFrame) -> DataFrame:
+    columns = rules.rule_columns(rows, L.RULES, L.MIN_SIGNALS)
+    return rows.withColumns({"signals": columns["signals"], "rscore": columns["score"], "pred": columns["pred"]})
+
+
 def ruled(spark, sf_dir) -> DataFrame:
     """Loans with the rule model's signals, prediction and score (as ``rscore``)."""
-    columns = rules.rule_columns(L.loans(spark, sf_dir), L.RULES, L.MIN_SIGNALS)
-    return L.loans(spark, sf_dir).withColumns({
-        "signals": columns["signals"], "rscore": columns["score"], "pred": columns["pred"]})
+    return _with_rules(L.loans(spark, sf_dir))
 
 
 def by_split(df: DataFrame) -> DataFrame:
@@ -232,7 +236,7 @@ def rule_cv_summary(spark, sf_dir):
 
 
 @query("rule_learning_curve", on_loans(f""", {RULE_SQL}
-, {shuffle_cte('rl', 10)}
+, {shuffle_cte('rl', 30)}
 , k AS (SELECT repeat, part, count(*) FILTER (pred = 1 AND event = 1) AS tp, count(*) FILTER (event = 1) AS pos,
                count(*) AS rows FROM shuffled GROUP BY repeat, part)
 , g AS (SELECT a.repeat, s.size, sum(tp) AS tp, sum(pos) AS pos, sum(rows) AS rows
@@ -242,7 +246,7 @@ SELECT size, CAST(max(rows) AS BIGINT) AS train_rows, round(avg(tp / pos), 6) AS
        round(stddev_pop(tp / pos), 6) AS train_std, round(avg(ttp / tpos), 6) AS test_mean,
        round(stddev_pop(ttp / tpos), 6) AS test_std FROM j GROUP BY size"""))
 def rule_learning_curve(spark, sf_dir):
-    return training.rule_learning_curve(ruled(spark, sf_dir), L.EVENT, L.KEY, repeats=10)
+    return training.rule_learning_curve(ruled(spark, sf_dir), L.EVENT, L.KEY, repeats=30)
 
 
 # Comparison and selection --------------------------------------------------------------------
@@ -261,20 +265,20 @@ CAND_CTES = f"""{RULE_SQL}
 , sm AS (SELECT k.*, roc_auc, pr_auc, {RECALL} AS recall FROM k JOIN a USING (model, split))"""
 
 
-def _candidates(spark, sf_dir) -> DataFrame:
-    rows = ruled(spark, sf_dir).withColumn("ishare", F.col("inquiries") / F.lit(20.0))
-    parts = [
-        rows.select(L.KEY, L.DATE, L.EVENT, F.lit(name).alias("model"), F.col(score).alias("s"),
-                    decision(F.col(score), t).alias("pred"))
+def _candidates(spark, sf_dir, rows: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per loan and candidate, from one scan of the loans."""
+    rows = (ruled(spark, sf_dir) if rows is None else rows).withColumn("ishare", F.col("inquiries") / F.lit(20.0))
+    each = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("model"), F.col(score).alias("s"), decision(F.col(score), t).alias("pred"))
         for name, (score, t) in CANDIDATES.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    ]))
+    return rows.select(L.KEY, L.DATE, L.EVENT, *keep, each.alias("c")).select(L.KEY, L.DATE, L.EVENT, *keep, "c.*")
 
 
 def _summary(spark, sf_dir) -> DataFrame:
     rows = by_split(_candidates(spark, sf_dir))
     return metrics.classification_summary(
-        rows, "s", "pred", L.EVENT, ["model", "split"], digits=None, levels=10**6
+        rows, "s", "pred", L.EVENT, ["model", "split"], digits=None
     ).withColumnRenamed("avg_precision", "pr_auc")
 
 
@@ -297,9 +301,10 @@ def beats_baseline(spark, sf_dir):
 
 def _candidate_cv(spark, sf_dir) -> DataFrame:
     """ROC-AUC and recall of each candidate over five class-wise folds of the training rows."""
-    train = _candidates(spark, sf_dir).where(F.col(L.DATE) < F.lit(L.AFTER_CUTOFF).cast("timestamp_ntz"))
-    tagged = splits.folds(train, L.KEY, 5, ["model", L.EVENT])
-    scores = metrics.classification_summary(tagged, "s", "pred", L.EVENT, ["model", "fold"], levels=10**6)
+    # Folds depend on key and event only, so they are drawn once, before the candidates are laid side by side.
+    rows = L.loans(spark, sf_dir).where(F.col(L.DATE) < F.lit(L.AFTER_CUTOFF).cast("timestamp_ntz"))
+    tagged = _candidates(spark, sf_dir, _with_rules(splits.folds(rows, L.KEY, 5, [L.EVENT])), ["fold"])
+    scores = metrics.classification_summary(tagged, "s", "pred", L.EVENT, ["model", "fold"])
     return training.cv_summary(scores)
 
 

@@ -105,7 +105,7 @@ MONTH_SQL = "coalesce(strftime(disbursed_at, '%Y-%m'), 'unknown')"
 @query("perf_by_month", on_loans(perf_sql("lv", MONTH_SQL) + " SELECT * FROM perf"))
 def perf_by_month(spark, sf_dir):
     rows = L.loans(spark, sf_dir).withColumn("window", monitoring.month_window(F.col(L.DATE)))
-    return monitoring.performance_by_window(rows, "window", "score", L.EVENT, THRESHOLD, digits=6)
+    return monitoring.performance_by_window(rows, "window", "score", L.EVENT, THRESHOLD)
 
 
 @query("perf_by_quartile", on_loans(
@@ -114,7 +114,7 @@ def perf_by_month(spark, sf_dir):
     + " SELECT * FROM perf"))
 def perf_by_quartile(spark, sf_dir):
     rows = monitoring.position_quarters(L.loans(spark, sf_dir), L.KEY)
-    return monitoring.performance_by_window(rows, "window", "score", L.EVENT, THRESHOLD, digits=6)
+    return monitoring.performance_by_window(rows, "window", "score", L.EVENT, THRESHOLD)
 
 
 # Scoring -------------------------------------------------------------------------------------
@@ -127,12 +127,12 @@ PREDICTIONS_SQL = f"""SELECT loan_id, sha256(CAST(loan_id AS VARCHAR) || '|{VERS
     AS risk_level FROM rl"""
 
 
-def score_rules(df):
-    """Row-wise scoring with the rule model, the same in batch and stream."""
+def score_rules(df, features=()):
+    """Row-wise scoring with the rule model, the same in batch and stream; ``features`` stay beside the score."""
     share = rules.rule_columns(df, L.RULES, L.MIN_SIGNALS)["score"]
     columns = scoring.prediction_columns(
         share, F.col(L.KEY), L.EVENT, THRESHOLD, VERSION, F.lit(SCORED_AT).cast("timestamp_ntz"))
-    return df.select(L.KEY, L.DATE, *[c.alias(n) for n, c in columns.items()])
+    return df.select(L.KEY, L.DATE, *features, *[c.alias(n) for n, c in columns.items()])
 
 
 def _shown(df):
@@ -145,19 +145,21 @@ def batch_predictions(spark, sf_dir):
 
 
 @query("prediction_log", on_loans(f""", {RULE_SQL}
-SELECT {MONTH_SQL} AS month, count(*) AS n, round(sum(rscore), 4) AS score_sum FROM rl GROUP BY 1"""), digits=4)
+SELECT {MONTH_SQL} AS month, count(*) AS n, round(sum(rscore), 4) AS score_sum, round(sum(principal), 4) AS principal_sum,
+       count(bureau_income) AS incomes FROM rl GROUP BY 1"""), digits=4)
 def prediction_log(spark, sf_dir):
-    """Two batches appended to the month-partitioned log, then read back."""
+    """Two batches appended with their features to the month-partitioned log, then read back."""
     train, test = _sides(spark, sf_dir)
     undated = L.loans(spark, sf_dir).where(F.col(L.DATE).isNull())
     path = work_path(spark, "log")
     names = event_names(L.EVENT)
     for batch in (train, test.unionByName(undated)):
-        sinks.append_predictions(score_rules(batch), path, L.DATE)
+        sinks.append_predictions(score_rules(batch, [*L.NUMBERS, *L.CATEGORIES]), path, L.DATE)
     # The log keeps six digits; the sum is restored from the number of active rules behind them.
     share = F.round(F.col(names["score_col"]) * len(L.RULES)) / len(L.RULES)
     return spark.read.parquet(path).groupBy(F.col(sinks.MONTH).cast("string").alias("month")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(share).alias("score_sum"))
+        F.count(F.lit(1)).alias("n"), F.sum(share).alias("score_sum"), F.sum("principal").alias("principal_sum"),
+        F.count("bureau_income").alias("incomes"))
 
 
 # Streams -------------------------------------------------------------------------------------
@@ -186,17 +188,17 @@ def _event_stream(spark, sf_dir):
 def stream_monitor(spark, sf_dir):
     result = streams.windowed_performance(_event_stream(spark, sf_dir), "ts", "score", "actual", 0.5)
     target, checkpoint = streams.fresh_paths(spark, "stream-monitor")
-    return streams.run_complete(result, checkpoint, target)
+    return streams.run_updates(result, ["window_start"], checkpoint, target)
 
 
 @query("stream_areas", f"""WITH {EVENTS}
-, wr AS (SELECT {TEN_DAYS} AS window_start, round(score, 3) AS s, actual AS a FROM ev)
+, wr AS (SELECT {TEN_DAYS} AS window_start, score AS s, actual AS a FROM ev)
 , {curve_ctes('wr', 's', 'window_start', 'wc', 'a')}
 SELECT window_start, round({AUC}, 6) AS roc_auc, round({AP}, 6) AS avg_precision FROM wc GROUP BY window_start""")
 def stream_areas(spark, sf_dir):
-    counts = streams.windowed_score_counts(_event_stream(spark, sf_dir), "ts", "score", "actual")
+    counts = streams.windowed_score_counts(_event_stream(spark, sf_dir), "ts", "score", "actual", digits=None)
     target, checkpoint = streams.fresh_paths(spark, "stream-areas")
-    return streams.window_areas(streams.run_complete(counts, checkpoint, target))
+    return streams.window_areas(streams.run_updates(counts, ["window_start", "score"], checkpoint, target))
 
 
 @query("stream_months", f"WITH {EVENTS}" + perf_sql("ev", "strftime(ts, '%Y-%m')", "score", "actual", 0.5)

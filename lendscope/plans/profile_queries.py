@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lendscope.functions import constants as K
 from lendscope.operators import association, profile
 from lendscope.plans import loans as L
 from lendscope.plans.registry import bin_sql, on_loans, prob_list, query, union_all
@@ -242,7 +243,31 @@ def welch_t(spark, sf_dir):
     return association.welch_stats(L.loans(spark, sf_dir), L.NUMBERS, L.EVENT)
 
 
-@query("welch_significance")
+def _tail_sql(source: str, keep: str, start: str, log_density: str, times: int) -> str:
+    """Upper tail of a density from ``start`` on, by Simpson's rule over s with x = start + s / (1 - s)."""
+    steps = 4000
+    return f"""
+, tail_points AS (SELECT s.*, i, i / {steps}e0 AS s, {start} + i / {steps}e0 / (1 - i / {steps}e0) AS x
+  FROM {source} s, (SELECT unnest(range(0, {steps})) AS i))
+, tails AS (SELECT name, {', '.join(f'any_value({c}) AS {c}' for c in keep.split())},
+    {times} * sum((CASE WHEN i = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp({log_density}) / ((1 - s) * (1 - s))) / (3 * {steps}e0) AS p_value
+  FROM tail_points GROUP BY name)"""
+
+
+def _stars_sql(p: str) -> str:
+    return "CASE " + " ".join(f"WHEN {p} < {limit!r} THEN '{label}'" for limit, label in K.SIGNIFICANCE) + f" ELSE '{K.NOT_SIGNIFICANT}' END"
+
+
+T_DENSITY = "lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5e0 * ln(df * pi()) - (df + 1) / 2 * ln(1 + x * x / df)"
+CHI_DENSITY = "(df / 2e0 - 1) * ln(x) - x / 2 - df / 2e0 * ln(2e0) - lgamma(df / 2e0)"
+
+
+@query("welch_significance", on_loans(f"""{WELCH}
+, stat AS (SELECT name, mean0, mean1, (mean0 - mean1) / sqrt(e0 + e1) AS t_stat,
+    (e0 + e1) * (e0 + e1) / (e0 * e0 / (n0 - 1) + e1 * e1 / (n1 - 1)) AS df FROM p)
+{_tail_sql('stat', 'mean0 mean1 t_stat df', 'abs(t_stat)', T_DENSITY, 2)}
+SELECT name, round(mean0, 4) AS mean0, round(mean1, 4) AS mean1, round(t_stat, 4) AS t_stat, round(df, 4) AS df,
+       round(p_value, 4) AS p_value, {_stars_sql('p_value')} AS significance FROM tails"""), digits=4)
 def welch_significance(spark, sf_dir):
     return association.welch_test(L.loans(spark, sf_dir), L.NUMBERS, L.EVENT)
 
@@ -263,7 +288,15 @@ def chi2(spark, sf_dir):
     return association.chi2_stats(L.loans(spark, sf_dir), L.CATEGORIES + ["income_trend"], L.EVENT)
 
 
-@query("chi2_significance")
+@query("chi2_significance", on_loans(f""", {CAT_LONG}
+, o AS (SELECT name, category, count(*) FILTER (event = 0) AS o0, count(*) FILTER (event = 1) AS o1
+        FROM cl GROUP BY name, category)
+, t AS (SELECT name, sum(o0) AS t0, sum(o1) AS t1, count(*) AS k FROM o GROUP BY name)
+, e AS (SELECT o.*, k, (o0 + o1) * t0 / (t0 + t1) AS e0, (o0 + o1) * t1 / (t0 + t1) AS e1 FROM o JOIN t USING (name))
+, stat AS (SELECT name, sum((o0 - e0) * (o0 - e0) / e0 + (o1 - e1) * (o1 - e1) / e1) AS chi2, CAST(max(k) - 1 AS BIGINT) AS df
+  FROM e GROUP BY name)
+{_tail_sql('stat', 'chi2 df', 'chi2', CHI_DENSITY, 1)}
+SELECT name, round(chi2, 4) AS chi2, df, round(p_value, 4) AS p_value, {_stars_sql('p_value')} AS significance FROM tails"""), digits=4)
 def chi2_significance(spark, sf_dir):
     return association.chi2_test(L.loans(spark, sf_dir), L.CATEGORIES + ["income_trend"], L.EVENT)
 

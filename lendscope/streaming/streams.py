@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from hashlib import sha256
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lendscope.functions.expressions import month_key
 from lendscope.operators.metrics import CURVE_NAMES, curve_areas
@@ -53,9 +54,11 @@ def windowed_performance(
     stream: DataFrame, ts: str, score: str, actual: str, threshold: float,
     length: str = "10 days", lateness: str = "1 day",
 ) -> DataFrame:
-    """Score distribution and label counts per fixed window; rows later than ``lateness`` are dropped.
+    """Score distribution and label counts per fixed window.
 
-    The event time must be a zoned timestamp, as watermarks require.
+    The event time must be a zoned timestamp, as watermarks require. In update mode (``run_updates``) a window leaves the
+    state once the watermark, ``lateness`` behind the latest event, has passed its end, and rows for it that come
+    later are dropped. Complete mode keeps every window and drops nothing.
     """
     windows = stream.withWatermark(ts, lateness).groupBy(F.window(ts, length).alias("w"))
     found = with_window_rates(windows.agg(*window_aggregates(threshold, score, actual)))
@@ -63,13 +66,14 @@ def windowed_performance(
 
 
 def windowed_score_counts(
-    stream: DataFrame, ts: str, score: str, actual: str, length: str = "10 days", lateness: str = "1 day"
+    stream: DataFrame, ts: str, score: str, actual: str, length: str = "10 days", lateness: str = "1 day",
+    digits: int | None = SCORE_DIGITS,
 ) -> DataFrame:
-    """Events and other rows per window and rounded score, from which the areas follow.
+    """Events and other rows per window and score, from which the areas follow.
 
-    Rounding bounds the state by windows times distinct rounded scores.
+    Rounding to ``digits`` bounds the state by open windows times distinct rounded scores; None keeps scores as they are.
     """
-    rounded = F.round(F.col(score), SCORE_DIGITS)
+    rounded = F.col(score) if digits is None else F.round(F.col(score), digits)
     rows = stream.where(F.col(score).isNotNull() & F.col(actual).isNotNull())
     counts = rows.withWatermark(ts, lateness).groupBy(F.window(ts, length).alias("w"), rounded.alias("score")).agg(
         F.sum(F.col(actual).cast("long")).alias("pos"), F.sum(1 - F.col(actual).cast("long")).alias("neg")
@@ -97,14 +101,34 @@ def run_complete(result: DataFrame, checkpoint: str, target: str) -> DataFrame:
     )
     query.awaitTermination()
     spark = result.sparkSession
-    table = spark.read.schema(result.schema.add("batch", "long")).parquet(target)
+    table = spark.read.schema(_with_field(result.schema, "batch", T.LongType())).parquet(target)
     last = table.agg(F.max("batch")).first()[0]
     return table.where(F.col("batch") == F.lit(last)).drop("batch")
 
 
+def run_updates(result: DataFrame, keys: Sequence[str], checkpoint: str, target: str) -> DataFrame:
+    """Process everything available in update mode and return the latest row of every key.
+
+    A micro-batch writes only the rows it changed, under its own number, so a repeated batch replaces itself
+    and the state holds no more than the open windows. The highest batch number of a key is its latest row.
+    """
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    query = (
+        result.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        .foreachBatch(keep).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    table = result.sparkSession.read.schema(_with_field(result.schema, "batch", T.LongType())).parquet(target)
+    rest = [c for c in result.columns if c not in keys]
+    latest = table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return latest.select(*[F.col(c) if c in keys else F.col(f"_row.`{c}`") for c in result.columns])
+
+
 def window_areas(score_counts: DataFrame) -> DataFrame:
     """ROC-AUC and average precision per window from the streamed score counts."""
-    cum = running_totals(score_counts, "score", ["pos", "neg"], ["window_start"], levels=10**SCORE_DIGITS + 1)
+    cum = running_totals(score_counts, "score", ["pos", "neg"], ["window_start"])
     return curve_areas(cum.withColumnsRenamed(CURVE_NAMES), ["window_start"])
 
 
@@ -122,7 +146,7 @@ def stream_ingest(
     if since is not None:
         rows = rows.where(F.col(ts) >= F.lit(since).cast(rows.schema[ts].dataType))
     rows = rows.withColumn(MONTH, F.coalesce(month_key(F.col(ts)), F.lit(UNDATED)))
-    kept = rows.schema.add(BATCH, "string")
+    kept = _with_field(rows.schema, BATCH, T.StringType())
     run = sha256(checkpoint.encode()).hexdigest()[:16]
 
     def add(batch: DataFrame, batch_id: int) -> None:
@@ -138,6 +162,10 @@ def stream_ingest(
     return spark.read.schema(kept).parquet(sink).drop(MONTH, BATCH)
 
 
+def _with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(name, kind)])
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)
