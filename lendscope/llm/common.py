@@ -31,6 +31,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def clear_worker() -> None:
+    """Free what earlier tasks of a reused Python worker left: code shipped by value comes anew with every task, and
+    what it refers to lies in reference cycles."""
+    import gc
+
+    gc.collect()
+
+
 def full_text(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import in_fold, small_batches
+from lendscope.llm.common import clear_worker, in_fold, small_batches
 from lendscope.llm.quality import bounded
 
 HIDDEN, WINDOW = 8, 64
@@ -234,6 +234,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def run(batches):
         import pyarrow as pa
 
+        clear_worker()
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import BLANK_BYTES, saved, small_batches
+from lendscope.llm.common import BLANK_BYTES, clear_worker, saved, small_batches
 
 LEAST = 10
 #: Batches of a table, and runs of one level that are merged into one of the next.
@@ -99,6 +99,7 @@ def line_dedup(
     def hashes(batches):
         import pyarrow as pa
 
+        clear_worker()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)

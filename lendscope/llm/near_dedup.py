@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import saved, small_batches
+from lendscope.llm.common import clear_worker, saved, small_batches
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -41,7 +41,6 @@ def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
     return codes, word
 
 
-@functools.lru_cache(maxsize=2)
 def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(np.full(length, _ODD)), np.cumprod(np.full(length, _INVERSE))
 
@@ -59,9 +58,9 @@ def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     inside = in_word[data]
     edge = np.diff(inside.astype(np.int8), prepend=0)
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    powers, back = _powers(1 << len(data).bit_length())
+    powers, back = _powers(len(data))
     with np.errstate(over="ignore"):
-        running = np.concatenate([[np.uint64(0)], np.cumsum(codes[data] * powers[: len(data)])])
+        running = np.concatenate([[np.uint64(0)], np.cumsum(codes[data] * powers)])
         words = mixed((running[stop] - running[start]) * back[start] + (stop - start).astype(np.uint64) * _ODD)
     counts = np.diff(np.searchsorted(start, ends), prepend=0)
     return words, counts
@@ -200,6 +199,7 @@ def near_classes(
     def sign(batches):
         import pyarrow as pa
 
+        clear_worker()
         for whole in batches:
             for at in range(0, whole.num_rows, batch_rows):
                 batch = whole.slice(at, batch_rows)
@@ -308,6 +308,7 @@ class _Links:
         def verify(batches):
             import pandas as pd
 
+            clear_worker()
             for batch in batches:
                 memo: dict[int, np.ndarray] = {}
                 keep = []

@@ -12,12 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import small_batches
+from lendscope.llm.common import clear_worker, small_batches
 
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: Distinct segments a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Segments from this length on are merged one by one.
 LONG = 48
 NO_PAIR = 1 << 30
@@ -224,6 +224,7 @@ def encode_column(text: Column, model_file: str) -> Column:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if not codec:
+            clear_worker()
             codec.append(MergeCodec(model_file))
         for texts in batches:
             found = codec[0].encode_batch([t or "" for t in texts])
@@ -244,6 +245,7 @@ def piece_digests(
     def run(batches):
         import pyarrow as pa
 
+        clear_worker()
         codec = MergeCodec(model_file)
         for whole in batches:
             for at in range(0, whole.num_rows, rows_per_call):

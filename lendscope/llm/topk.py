@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lendscope.llm.common import saved
+from lendscope.llm.common import clear_worker, saved
 
 #: Vectors of one document-range block, blocks of one lane, and queries of one batch.
 BLOCK, LANE, BATCH = 1024, 32, 1024
@@ -180,6 +180,7 @@ def top_k(
     def run(own, queries):
         import pandas as pd
 
+        clear_worker()
         query, vec, score = search_lane(list(queries.itertuples()), list(own.sort_values("no").itertuples()), k)
         return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
 
