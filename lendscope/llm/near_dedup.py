@@ -174,9 +174,9 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> float:
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words: int = WORDS, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-    carry: Sequence[str] = (), batch_rows: int = 128,
+    carry: Sequence[str] = (), batch_rows: int = 128, kept_only: bool = False,
 ) -> DataFrame:
-    """One row per document: doc_id, class_id, kept, n_shingles.
+    """One row per document (per kept one with ``kept_only``): doc_id, class_id, kept, n_shingles.
 
     Two texts are linked when the weighted Jaccard similarity of their ``words``-word shingles reaches
     ``threshold``; a class is a connected component, named by its smallest id, and that row has ``kept`` (one
@@ -185,14 +185,12 @@ def near_classes(
     columns come back in the struct ``row``.
 
     Texts of equal words are first joined to one representative. Representatives that agree in a band share a
-    bucket. Not all pairs of a bucket are compared: in two rounds each member is compared with one leader, first
-    the smallest, then the largest that is in another component, and at last every pair of members that are still in
-    different components. Pairs inside a component need no comparison, so a large group of
+    bucket. Not all pairs of a bucket are compared: each member is compared with two leaders, the bucket's first and
+    last, and then every pair of members that are still in different components. Pairs inside a component need no comparison, so a large group of
     copies costs links in proportion to its size, and no pair sharing a bucket stays undecided. Comparison is
     exact, on whole texts.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     own = [F.col(f"`{c}`").alias(c) for c in carry]
     schema = "row_no long, digest binary, n_shingles long, bands array<long>"
 
@@ -217,10 +215,13 @@ def near_classes(
                         pa.array([list(k) if n else [] for k, n in zip(keys, number)], pa.list_(pa.int64())),
                     ], ["row_no", "digest", "n_shingles", "bands"])
 
+    # The whole text is written once, inside the carried row where that holds it.
+    inside = text_col in carry
     base = saved(docs.select(
-        F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-        *([F.struct(*own).alias("row")] if own else [])), "near-rows")
-    signed = saved(base.select("row_no", "text").mapInArrow(sign, schema), "near-signatures")
+        F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("doc_id"),
+        *([F.struct(*own).alias("row")] if own else []), *([] if inside else [F.col(text_col).alias("text")])), "near-rows")
+    texts = base.select("row_no", (F.col(f"row.`{text_col}`") if inside else F.col("text")).alias("text"))
+    signed = saved(texts.mapInArrow(sign, schema), "near-signatures")
     filled = signed.filter("n_shingles > 0")
     same = filled.groupBy("digest").agg(F.min("row_no").alias("rep"))
     members = filled.join(same, "digest").select("row_no", "rep")
@@ -229,21 +230,20 @@ def near_classes(
     sizes = spread.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     buckets = saved(spread.join(sizes, ["band", "key"]), "near-buckets")
 
-    texts = base.select(F.col("row_no").alias("node"), "text")
-    close = _Links(spark, texts, words, threshold)
-    label = None
-    for pick in ("min", "max"):
-        label = close.add(_leader_pairs(buckets, label, pick), label)
+    close = _Links(texts.withColumnRenamed("row_no", "node"), words, threshold)
+    label = close.add(_leader_pairs(buckets, "min").unionByName(_leader_pairs(buckets, "max")).distinct(), None)
     label = close.add(_open_pairs(buckets, label, close.seen), label)
 
     named = members.join(label, members.rep == label.node, "left").select(
         "row_no", F.coalesce("component", "rep").alias("component"))
-    rows_named = base.drop("text").join(named, "row_no", "left").withColumn("component", F.coalesce("component", "row_no"))
+    rows_named = base.select("row_no", "doc_id").join(signed.select("row_no", "n_shingles"), "row_no").join(named, "row_no", "left")
+    rows_named = rows_named.withColumn("component", F.coalesce("component", "row_no"))
     best = rows_named.groupBy("component").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_no")).alias("best"))
-    joined = rows_named.join(best, "component").join(signed.select("row_no", "n_shingles"), "row_no")
-    return joined.select("doc_id", F.col("best.doc_id").alias("class_id"), (F.col("row_no") == F.col("best.row_no")).alias("kept"),
-                         "n_shingles", *(["row"] if own else []))
+    result = rows_named.join(best, "component").select(
+        "row_no", "doc_id", F.col("best.doc_id").alias("class_id"), (F.col("row_no") == F.col("best.row_no")).alias("kept"), "n_shingles")
+    result = result.filter("kept") if kept_only else result
+    return (result.join(base.select("row_no", "row"), "row_no") if own else result).drop("row_no")
 
 
 def _bounded(texts: Sequence[str], most: int = 500_000) -> list[slice]:
@@ -257,11 +257,10 @@ def _bounded(texts: Sequence[str], most: int = 500_000) -> list[slice]:
     return parts + [slice(begin, len(texts))] if len(texts) > begin else parts
 
 
-def _leader_pairs(buckets: DataFrame, label: DataFrame | None, pick: str) -> DataFrame:
-    """Each member of a bucket beside the bucket's leader, if it is in another component."""
-    rows = _labelled(buckets, label)
-    leader = rows.groupBy("band", "key").agg(getattr(F, pick)(F.struct("node", "component", "n_shingles")).alias("leader"))
-    pairs = rows.join(leader, ["band", "key"]).filter(F.col("leader.component") != F.col("component"))
+def _leader_pairs(buckets: DataFrame, pick: str) -> DataFrame:
+    """Each other member of a bucket beside the bucket's first or last one."""
+    leader = buckets.groupBy("band", "key").agg(getattr(F, pick)(F.struct("node", "n_shingles")).alias("leader"))
+    pairs = buckets.join(leader, ["band", "key"]).filter(F.col("leader.node") != F.col("node"))
     return _pairs(pairs.select(F.col("leader.node").alias("a"), F.col("leader.n_shingles").alias("na"),
                                F.col("node").alias("b"), F.col("n_shingles").alias("nb")))
 
@@ -283,9 +282,7 @@ def _open_pairs(buckets: DataFrame, label: DataFrame, seen: Sequence[DataFrame])
     return pairs
 
 
-def _labelled(buckets: DataFrame, label: DataFrame | None) -> DataFrame:
-    if label is None:
-        return buckets.withColumn("component", F.col("node"))
+def _labelled(buckets: DataFrame, label: DataFrame) -> DataFrame:
     return buckets.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
@@ -297,8 +294,8 @@ def _pairs(pairs: DataFrame) -> DataFrame:
 class _Links:
     """Verified links so far and the components they make."""
 
-    def __init__(self, spark, texts: DataFrame, words: int, threshold: float):
-        self.spark, self.texts, self.words, self.threshold = spark, texts, words, threshold
+    def __init__(self, texts: DataFrame, words: int, threshold: float):
+        self.texts, self.words, self.threshold = texts, words, threshold
         self.seen: list[DataFrame] = []
 
     def add(self, pairs: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -364,4 +361,4 @@ def _shortened(hook: DataFrame) -> DataFrame:
 
 def kept_rows(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, with the input's own columns."""
-    return near_classes(docs, carry=docs.columns, **options).filter("kept").select("row.*")
+    return near_classes(docs, carry=docs.columns, kept_only=True, **options).select("row.*")
