@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import in_fold, small_batches
+from lendscope.llm.common import in_fold, small_batches, thinned
 
 #: Bytes of one chunk, distance between chunk starts, numbers per symbol, filters.
 WIDTH, STRIDE, CHANNELS, FILTERS = 16, 4, 8, 24
@@ -166,7 +166,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """Up to ``sample`` labelled texts of each class, in the order of a hash of the id."""
     known = (labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & train).groupBy(id_col)
              .agg(F.min(label_col).alias("label")))
-    parts = [known.filter(F.col("label") == c).orderBy(F.xxhash64(id_col), id_col).limit(sample) for c in (0, 1)]
+    order = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
+    parts = [thinned(known.filter(F.col("label") == c), id_col, sample).orderBy(order, id_col).limit(sample) for c in (0, 1)]
     chosen = parts[0].union(parts[1])  # a fixed number of rows, so the broadcast is bounded
     rows = (docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
             .filter(F.length("text") <= chars).groupBy(id_col, "label").agg(F.min("text").alias("text"))
