@@ -190,3 +190,16 @@ def test_secret_scan_with_own_findings_and_without_any(spark):
     docs = frame(spark, [(1, f"key={value} and internationalization", "en", "b.py"), (1, f"key={value} and internationalization", "en", "b.py")])
     got = collected(secret_scan.secret_scan(docs, findings=own), "doc_id", "begin", "length")
     assert got == [(1, 4, 20)] * 2
+
+
+def test_secret_scan_learns_from_all_documents(spark, monkeypatch):
+    """Secrets outside the sampled documents still teach the forest, and one label alone loses no candidate."""
+    monkeypatch.setattr(secret_scan, "SAMPLE_CHARS", 400)
+    rows = [(k, prose("en", 20, k) + " internationalization/incomprehensibilities", "en", "a.py") for k in range(60)]
+    value = "0f3a9c27b1d84e65a7c2"
+    rows += [(100 + k, prose("en", 200, k) + f" password={value} end", "en", "a.py") for k in range(12)]
+    got = secret_scan.secret_scan(frame(spark, rows)).collect()
+    assert {r.doc_id for r in got if r.length == len(value)} == set(range(100, 112))
+    only = [(k, f"token={value}", "en", "a.py") for k in range(3)]
+    got = secret_scan.secret_scan(frame(spark, only)).collect()
+    assert sorted((r.doc_id, r.begin, r.score) for r in got) == [(k, 6, secret_scan.UNDECIDED) for k in range(3)]
