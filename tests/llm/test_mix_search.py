@@ -251,3 +251,19 @@ def test_secret_scan_finds_issued_and_framed_keys(spark):
     got = {(x.doc_id, texts[x.doc_id][x.begin:x.end]) for x in secret_scan.secret_scan(frame(spark, rows)).collect()}
     assert set(keys.items()) | set(bodies.items()) <= got
     assert len({(i, v) for i, v in got if "internationalization" in v}) == 0
+
+
+def test_license_templates_cover_common_notices(spark):
+    gpl = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+           "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.")
+    mit = next(text for name, text in licenses.TEMPLATES[::-1] if name == "MIT")
+    notices = [("MIT", "Licensed under the MIT License"), ("GPL-3.0", gpl), ("GPL-2.0", gpl.replace("version 3", "version 2").replace("software:", "software;")),
+               ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+               ("Unlicense", "This is free and unencumbered software released into the public domain."), ("Zlib", "Released under the zlib license"),
+               ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"), ("MIT", "This project is released under the MIT License."),
+               ("MIT", mit.replace("\n", " ")), ("GPL-2.0", next(t for n, t in licenses.TEMPLATES[::-1] if n == "GPL-2.0").replace("\n", " "))]
+    rows = [(k, text, "en", "a") for k, (_, text) in enumerate(notices)]
+    got = {r.doc_id: r.license for r in licenses.license_scan(frame(spark, rows)).collect()}
+    assert got == {k: name for k, (name, _) in enumerate(notices)}
+    plain = [(k, " ".join(w for w in prose("en", 3 + k % 9, k).split()) + "\nthe public was here\ncreative commons", "en", "a") for k in range(30)]
+    assert licenses.license_scan(frame(spark, plain)).count() == len(brute_licenses(plain))
