@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendscope.llm import exact_dedup, language, licenses, line_dedup, mixing, near_dedup, pieces, quality, secret_scan, topk
+from lendscope.llm import exact_dedup, language, licenses, line_dedup, merkle, mixing, near_dedup, pieces, quality, secret_scan, topk
 from lendscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,6 +178,62 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+@query("op13_merkle_manifest", r"""
+WITH RECURSIVE framed AS (
+  SELECT doc_id, lang,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail, n_chars,
+         coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS plain,
+         coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS altered FROM documents),
+bits(doc_id, crc, byte_no, bytes) AS (
+  SELECT doc_id, CAST(4294967295 AS BIGINT), 1, encode(CAST(doc_id AS VARCHAR)) FROM documents
+  UNION ALL
+  SELECT doc_id, list_reduce(list_prepend(xor(crc, CAST(ord(substr(CAST(doc_id AS VARCHAR), byte_no, 1)) AS BIGINT)), [0, 0, 0, 0, 0, 0, 0, 0]),
+                             lambda c, z: xor(c >> 1, 3988292384 * (c & 1))), byte_no + 1, bytes
+  FROM bits WHERE byte_no <= octet_length(bytes)),
+hit AS (SELECT doc_id, xor(crc, 4294967295) % 7 = 0 AS hit FROM bits WHERE byte_no = octet_length(bytes) + 1),
+leaves AS (
+  SELECT f.doc_id, lang, sha256(head || plain || tail) AS leaf, sha256(head || CASE WHEN hit THEN altered ELSE plain END || tail) AS shown
+  FROM framed f JOIN hit USING (doc_id)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS pos FROM leaves),
+levels(lang, level, nodes) AS (
+  SELECT lang, 0, list(leaf ORDER BY pos) FROM placed GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], '')))
+  FROM levels WHERE len(nodes) > 1),
+roots AS (
+  SELECT lang, nodes[1] AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM levels WHERE len(nodes) = 1),
+over(level, nodes) AS (
+  SELECT 0, list(subroot ORDER BY place) FROM roots
+  UNION ALL
+  SELECT level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], '')))
+  FROM over WHERE len(nodes) > 1),
+steps AS (
+  SELECT p.doc_id, p.pos AS leaf_pos, l.level AS step, (p.pos >> l.level) % 2 AS slot,
+         coalesce(l.nodes[xor(p.pos >> l.level, 1) + 1], '') AS sibling
+  FROM placed p JOIN levels l ON p.lang IS NOT DISTINCT FROM l.lang WHERE len(l.nodes) > 1
+  UNION ALL
+  SELECT p.doc_id, p.pos, r.height + o.level, (r.place >> o.level) % 2, coalesce(o.nodes[xor(r.place >> o.level, 1) + 1], '')
+  FROM placed p JOIN roots r ON p.lang IS NOT DISTINCT FROM r.lang, over o WHERE len(o.nodes) > 1),
+ways AS (
+  SELECT doc_id, leaf_pos, list({'slot': slot, 'sibling': sibling} ORDER BY step) AS way, string_agg(sibling, '' ORDER BY step) AS proof
+  FROM steps GROUP BY doc_id, leaf_pos),
+walk(doc_id, leaf_pos, lang, leaf, node, step, way, proof) AS (
+  SELECT p.doc_id, pos, lang, leaf, shown, 1, coalesce(way, []), coalesce(proof, '')
+  FROM placed p LEFT JOIN ways w ON p.doc_id = w.doc_id AND p.pos = w.leaf_pos
+  UNION ALL
+  SELECT doc_id, leaf_pos, lang, leaf,
+         sha256(CASE WHEN way[step].slot = 0 THEN node || way[step].sibling ELSE way[step].sibling || node END), step + 1, way, proof
+  FROM walk WHERE step <= len(way))
+SELECT w.doc_id, w.leaf, r.subroot, o.nodes[1] AS root, sha256(w.proof) AS proof_sha256, w.node AS folded_root,
+       w.node = o.nodes[1] AS verified
+FROM walk w JOIN roots r ON w.lang IS NOT DISTINCT FROM r.lang, over o WHERE w.step = len(way) + 1 AND len(o.nodes) = 1""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
