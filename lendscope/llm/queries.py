@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendscope.llm import exact_dedup, language, licenses, line_dedup, merkle, mixing, near_dedup, pieces, quality, secret_scan, topk
+from lendscope.llm import exact_dedup, language, licenses, line_dedup, merkle, mixing, near_dedup, pieces, quality, runs, secret_scan, topk
 from lendscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,6 +178,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True, texts=False)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 @query("op13_merkle_manifest", r"""
 WITH RECURSIVE framed AS (
   SELECT doc_id, lang,
