@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendscope.llm import exact_dedup, language, licenses, line_dedup, merkle, mixing, near_dedup, pieces, quality, runs, secret_scan, topk
+from lendscope.llm import exact_dedup, language, licenses, line_dedup, merkle, mixing, near_dedup, pieces, quality, quality_rules, runs, secret_scan, topk
 from lendscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,6 +178,58 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def _rules_sql() -> str:
+    r = quality_rules
+    classes = ", ".join("length(text) - length(regexp_replace(text, '{}', '', 'g'))".format(c.replace("'", "''").replace('\\"', '"'))
+                        for c in r.CLASSES)
+    distance = """sqrt(greatest(0e0, list_sum(list_transform(range(1, len({p}) + 1), lambda i:
+    (CASE WHEN {p}[i] > 0 THEN ({p}[i] / list_sum({p})) * log2(({p}[i] / list_sum({p})) / (({p}[i] / list_sum({p}) + {q}[i] / list_sum({q})) / 2)) ELSE 0 END
+     + CASE WHEN {q}[i] > 0 THEN ({q}[i] / list_sum({q})) * log2(({q}[i] / list_sum({q})) / (({p}[i] / list_sum({p}) + {q}[i] / list_sum({q})) / 2)) ELSE 0 END) / 2))))"""
+    return rf"""
+WITH base AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         string_split(coalesce(text, ''), chr(10)) AS split_lines FROM documents),
+short AS (SELECT doc_id, lang, unnest(list_filter(list_transform(w, lambda x: lower(x)), lambda x: regexp_full_match(x, '\p{{L}}{{1,{r.SHORT}}}'))) AS word FROM base),
+ranked AS (
+  SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS place FROM short GROUP BY lang, word),
+common AS (SELECT lang, word, place FROM ranked WHERE place <= {r.COMMON}),
+cells AS (
+  SELECT doc_id, place, count(*) AS n FROM short s JOIN common c ON s.lang IS NOT DISTINCT FROM c.lang AND s.word = c.word GROUP BY ALL),
+hits AS (SELECT doc_id, list(place) AS places, list(n) AS ns, sum(n) AS total FROM cells GROUP BY doc_id),
+windows AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM base, unnest(range(1, len(w) - 1)) AS u(i)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS o(k) GROUP BY doc_id),
+counted AS (
+  SELECT b.doc_id, lang, text, CAST(length(text) AS BIGINT) AS n_chars, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         list_filter(split_lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         coalesce(c.n, 0) AS n_repeat_words, [{classes}] AS seen,
+         list_append(list_transform(range(1, {r.COMMON + 1}), lambda k: coalesce(h.ns[list_position(h.places, k)], 0)),
+                     len(w) - coalesce(h.total, 0)) AS words
+  FROM base b LEFT JOIN covered c USING (doc_id) LEFT JOIN hits h USING (doc_id)),
+judged AS (
+  SELECT *, list_append(seen, n_chars - list_sum(seen)) AS classes,
+         n_words < {r.LEAST_WORDS} OR 100 * n_repeat_words > {r.REPEAT_SHARE} * n_words AS base_failed FROM counted),
+refs AS (
+  SELECT lang, sum(n_words) AS ref_words, [{", ".join(f"sum(classes[{k + 1}])" for k in range(len(r.CLASSES) + 1))}] AS ref_classes,
+         [{", ".join(f"sum(words[{k + 1}])" for k in range(r.COMMON + 1))}] AS ref_common
+  FROM judged WHERE NOT base_failed GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+       n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(ref_words >= {r.REFERENCE_WORDS}
+         AND (n_chars >= {r.CLASS_CHARS} AND {distance.format(p="classes", q="ref_classes")} > {r.CLASS_LIMIT}
+              OR n_words >= {r.WORD_WORDS} AND {distance.format(p="words", q="ref_common")} > {r.WORD_LIMIT}), false) AS kept
+FROM judged j LEFT JOIN refs r ON j.lang IS NOT DISTINCT FROM r.lang"""
+
+
+@query("op11_quality_rules", _rules_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op12_periodic_runs")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True, texts=False)
