@@ -14,21 +14,23 @@ from lendscope.functions.expressions import month_key
 from lendscope.operators.metrics import CURVE_NAMES, curve_areas
 from lendscope.operators.monitoring import window_aggregates, with_window_rates
 from lendscope.operators.running import running_totals
-from lendscope.sources.sinks import MONTH, UNDATED, one_per_key
+from lendscope.sources.sinks import MONTH, UNDATED
 from lendscope.sources.workspace import work_path
+from lendscope.streaming.first_rows import first_rows, keyed_state
 
 SCORE_DIGITS = 3
 BATCH = "part_batch"
 
 
-def read_files(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Stream the files of a folder, or one file ending in ``.parquet``.
+def read_files(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """Stream the files of a folder, or one file ending in ``.parquet``; at most ``files_per_batch`` at a time.
 
     A file stream takes a plain path for a folder; written as a pattern it may also be a single file.
     """
     if path.endswith(".parquet"):
         path = path[:-1] + "[t]"
-    return spark.readStream.schema(schema).parquet(path)
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str, partition: str | None = None) -> None:
@@ -133,33 +135,42 @@ def window_areas(score_counts: DataFrame) -> DataFrame:
 
 
 def stream_ingest(
-    spark: SparkSession, source: str, schema, key: str, ts: str, since: str | None, sink: str, checkpoint: str
+    spark: SparkSession, source: str, schema, key: str, ts: str, since: str | None, sink: str, checkpoint: str,
+    files_per_batch: int | None = None,
 ) -> DataFrame:
     """Pick up files that arrived since the last run, each key once, into a month-partitioned table.
 
     The rule is that of the batch merge (``one_per_key``): a stored key keeps its row, of several new rows the earliest
-    stays, and rows without a key are all kept. Keys are checked against all stored months, of which only the
-    key column is read. Rows of a batch that is run again after a failure are recognised by the batch number
-    they were stored with, so nothing is added twice.
+    stays, and rows without a key are all kept. Stored keys live in the query's state, so a batch costs what its own
+    rows cost, however large the table is. Rows that lay in ``sink`` before the first run count as stored;
+    from then on the stream is the table's only writer. A batch that is run again after a failure takes up its state before it and
+    replaces the files of its own number, so nothing is added twice.
     """
-    rows = read_files(spark, source, schema)
+    rows = read_files(spark, source, schema, files_per_batch)
     if since is not None:
         rows = rows.where(F.col(ts) >= F.lit(since).cast(rows.schema[ts].dataType))
     rows = rows.withColumn(MONTH, F.coalesce(month_key(F.col(ts)), F.lit(UNDATED)))
     kept = _with_field(rows.schema, BATCH, T.StringType())
     run = sha256(checkpoint.encode()).hexdigest()[:16]
+    begun = _exists(spark, f"{checkpoint}/commits/0")
+    own = F.col("_metadata.file_path").contains(f"/{BATCH}={run}-")  # of a first batch that did not end
+    stored = read_table(spark, kept, sink).where(~own) if not begun and _exists(spark, sink) else None
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        session, mark = batch.sparkSession, f"{run}-{batch_id}"
-        stored = session.read.schema(kept).parquet(sink) if _exists(session, sink) else None
-        if stored is not None and not stored.where(F.col(BATCH) == mark).isEmpty():
-            return
-        fresh = one_per_key(batch, key, ts, stored).withColumn(BATCH, F.lit(mark))
-        fresh.hint("rebalance", MONTH).write.partitionBy(MONTH).mode("append").parquet(sink)
+        marked = batch.withColumn(BATCH, F.lit(f"{run}-{batch_id}"))
+        writer = marked.hint("rebalance", MONTH).write.partitionBy(MONTH, BATCH).mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").parquet(sink)
 
-    query = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
-    query.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(kept).parquet(sink).drop(MONTH, BATCH)
+    with keyed_state(spark):
+        query = first_rows(rows, key, ts, stored).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+        running = query.trigger(availableNow=True).start()
+    running.awaitTermination()
+    return read_table(spark, kept, sink).drop(MONTH, BATCH)
+
+
+def read_table(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    """Files at any depth of partitions: those of the stream lie one folder below those of a batch merge."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
 def _with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
@@ -168,7 +179,7 @@ def _with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructTy
 
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
-        spark.read.parquet(path)
+        spark.read.text(path)
     except AnalysisException:
         return False
     return True
