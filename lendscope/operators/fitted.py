@@ -1,8 +1,8 @@
 """Two-phase features: ``fit_*`` learns a small parameter table, ``apply_*`` uses it.
 
 All learned values live in one table ``(step, feature, key, value, place)``, saved and loaded as
-parquet. Rows per feature are few, except segment medians, which number as many as the segments
-and are therefore joined, never collected.
+parquet. Rows per feature are few, except segment medians and the categories of wide columns, which
+are therefore joined, never collected.
 """
 
 from __future__ import annotations
@@ -17,10 +17,13 @@ from lendscope.functions.expressions import as_number
 from lendscope.operators.features import drop_columns, require_columns, stateless
 from lendscope.operators.quantiles import collected_quantiles, exact_quantiles, unpivot_numbers
 from lendscope.operators.splits import split_frame
-from lendscope.sources.workspace import settle
+from lendscope.operators.wide import join_places, number_categories, sparse_vector, wide_columns
+from lendscope.sources.workspace import ensure_checkpoint_dir, settle
 
 SCHEMA = "step string, feature string, key string, value double, place int"
 SEGMENT_MEDIAN = "segment_median"
+WIDE_CATEGORY, WIDE_SIZE, WIDE_ROWS = "wide_category", "wide_size", "wide_rows"
+#: Categories that become a column each, over all nominal columns; the widest columns beyond become sparse vectors.
 MAX_CATEGORIES = 10_000
 
 
@@ -29,9 +32,9 @@ def _local(spark, rows: Sequence[tuple]) -> DataFrame:
 
 
 def _rows(params: DataFrame) -> dict[str, dict[str, list]]:
-    """Collected parameters without the segment table: ``{step: {feature: rows by place}}``."""
+    """Collected parameters without the large tables: ``{step: {feature: rows by place}}``."""
     out: dict[str, dict[str, list]] = {}
-    for r in params.where(F.col("step") != SEGMENT_MEDIAN).collect():
+    for r in params.where(~F.col("step").isin(SEGMENT_MEDIAN, WIDE_CATEGORY)).collect():
         out.setdefault(r["step"], {}).setdefault(r["feature"], []).append(r)
     for features in out.values():
         for rows in features.values():
@@ -160,33 +163,50 @@ def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("name", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _fit_categories(df: DataFrame, nominal: Sequence[str], ordinal: Mapping[str, Sequence[str]]) -> list[tuple]:
+def _fit_categories(
+    df: DataFrame, nominal: Sequence[str], ordinal: Mapping[str, Sequence[str]], most: int
+) -> tuple[list[tuple], list[DataFrame]]:
+    """Parameter rows, and the tables of the wide columns' categories."""
     columns = [*nominal, *ordinal]
     if not columns:
-        return []
+        return [], []
     counts = settle(category_counts(df, columns))
     modes = counts.groupBy("name").agg(F.min(F.struct(-F.col("n"), F.col("key")))["key"].alias("key"))
     rows = [("mode", r["name"], r["key"], None, 0) for r in modes.collect()]
+    tables = []
     if nominal:
-        seen = counts.where(F.col("name").isin(list(nominal))).select("name", "key")
-        found = seen.orderBy("name", "key").limit(MAX_CATEGORIES + 1).collect()
-        if len(found) > MAX_CATEGORIES:
-            raise ValueError(f"nominal columns hold over {MAX_CATEGORIES} categories; one column each is needed")
-        for c in nominal:
+        wide = wide_columns(counts, nominal, most)
+        narrow = [c for c in nominal if c not in wide]
+        found = counts.where(F.col("name").isin(narrow)).select("name", "key").orderBy("name", "key").collect()
+        for c in narrow:
             keys = [r["key"] for r in found if r["name"] == c]
             rows += [("category", c, key, None, i) for i, key in enumerate(keys)]
+        if wide:
+            numbered = number_categories(counts.where(F.col("name").isin(wide)))
+            ensure_checkpoint_dir(df.sparkSession)
+            numbered = numbered.checkpoint()
+            for r in numbered.groupBy("name").agg(F.max("size").alias("size"), F.sum("n").alias("n")).collect():
+                rows += [(WIDE_SIZE, r["name"], None, float(r["size"]), 0), (WIDE_ROWS, r["name"], None, float(r["n"]), 0)]
+            tables.append(numbered.select(
+                F.lit(WIDE_CATEGORY).alias("step"), F.col("name").alias("feature"), "key", F.col("n").cast("double").alias("value"), "place"))
     for c, levels in ordinal.items():
         rows += [("level", c, level, None, i) for i, level in enumerate(levels)]
-    return rows
+    return rows, tables
 
 
 def fit_encoder(
-    train: DataFrame, numeric: Sequence[str], nominal: Sequence[str], ordinal: Mapping[str, Sequence[str]]
+    train: DataFrame, numeric: Sequence[str], nominal: Sequence[str], ordinal: Mapping[str, Sequence[str]],
+    most: int = MAX_CATEGORIES,
 ) -> DataFrame:
-    """Fill values, scales, modes and categories for ``apply_encoder``."""
+    """Fill values, scales, modes and categories for ``apply_encoder``.
+
+    Nominal columns with at most ``most`` categories together become 0/1 columns. Where there are more, the widest
+    columns are encoded as sparse vectors, whose categories are a table of any length.
+    """
     require_columns(train, [*numeric, *nominal, *ordinal])
-    rows = _fit_numeric(train, list(numeric)) + _fit_categories(train, list(nominal), ordinal)
-    return _local(train.sparkSession, rows)
+    rows, tables = _fit_categories(train, list(nominal), ordinal, most)
+    small = _local(train.sparkSession, _fit_numeric(train, list(numeric)) + rows)
+    return reduce(DataFrame.unionByName, [small, *tables])
 
 
 def encoder_expressions(
@@ -196,7 +216,7 @@ def encoder_expressions(
 
     Numbers are filled with the median and standardised by the population spread. Nominal columns
     become one 0/1 column per category, the first (in sorted order) left out. Ordinal columns become
-    their 0-based position, -1 for an unknown level.
+    their 0-based position, -1 for an unknown level. Wide nominal columns are left to ``apply_encoder``.
     """
     known = _rows(params)
     out = {}
@@ -221,8 +241,22 @@ def encoder_expressions(
 
 
 def apply_encoder(df: DataFrame, params: DataFrame, config: Mapping, keep: Sequence[str] = ()) -> DataFrame:
-    """The feature table: encoded columns, all others dropped but those in ``keep``."""
+    """The feature table: encoded columns, all others dropped but those in ``keep``.
+
+    A wide nominal column becomes one sparse vector ``categoric__<name>`` with a slot per category but the first; an
+    unknown category has no slot.
+    """
     exprs = encoder_expressions(params, config["numeric"], config["nominal"], config["ordinal"])
+    known = _rows(params)
+    wide = [c for c in config["nominal"] if c in known.get(WIDE_SIZE, {})]
+    for c in wide:
+        categories = params.where((F.col("step") == WIDE_CATEGORY) & (F.col("feature") == c)).select(
+            "key", F.col("value").alias("n"), "place")
+        value = F.coalesce(F.col(c).cast("string"), F.lit(known["mode"][c][0]["key"]))
+        df = join_places(df, value, categories, int(known[WIDE_ROWS][c][0]["value"]), f"_place_{c}")
+        size = int(known[WIDE_SIZE][c][0]["value"]) - 1
+        place = F.col(f"_place_{c}")
+        exprs[f"categoric__{c}"] = sparse_vector(size, F.when(place > 0, place - 1))
     return df.select(*keep, *[x.alias(name) for name, x in exprs.items()])
 
 

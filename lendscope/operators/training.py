@@ -16,12 +16,14 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendscope.functions.expressions import decision
 from lendscope.operators.metrics import classification_summary, confusion, pick_threshold, rates, score_curve
 from lendscope.operators.splits import folds, repeated_shuffles
+from lendscope.operators.wide import filled_slots
 from lendscope.sources.workspace import settle
 
 FEATURES, WEIGHT = "_features", "_weight"
@@ -55,6 +57,7 @@ class Fitted:
     threshold: float
     fit_time: float = 0.0
     summary: DataFrame | None = field(default=None, repr=False)
+    slots: list[str] = field(default_factory=list, repr=False)
 
 
 def class_counts(df: DataFrame, label: str) -> tuple[int, int]:
@@ -130,6 +133,13 @@ def feature_columns(df: DataFrame, label: str, keep: Sequence[str] = ()) -> list
     return [c for c in df.columns if c != label and c not in keep]
 
 
+def slot_names(df: DataFrame, features: Sequence[str]) -> list[str]:
+    """A name for each slot of the assembled vector; slots of a vector column are numbered from 0."""
+    wide = [c for c in features if isinstance(df.schema[c].dataType, VectorUDT)]
+    sizes = df.select(*[filled_slots(c)["size"].alias(c) for c in wide]).first() if wide else {}
+    return [name for c in features for name in ([f"{c}[{i}]" for i in range(sizes[c])] if c in wide else [c])]
+
+
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="error").transform(df)
 
@@ -188,7 +198,7 @@ def train_model(
     )
     summary = settle(summary)
     both.unpersist()
-    return Fitted(spec.get("name", spec["type"]), model, list(features), threshold, fit_time, summary)
+    return Fitted(spec.get("name", spec["type"]), model, list(features), threshold, fit_time, summary, slot_names(train, features))
 
 
 def cross_validate(
@@ -323,7 +333,7 @@ def importances(fitted: Fitted, spark, top: int = 20) -> DataFrame | None:
         values = abs(fitted.model.coefficients.toArray())
     else:
         return None
-    rows = [(f, float(v)) for f, v in zip(fitted.features, values)]
+    rows = [(f, float(v)) for f, v in zip(fitted.slots or fitted.features, values)]
     table = spark.createDataFrame(rows, "feature string, importance double")
     return table.orderBy(F.col("importance").desc(), "feature").limit(top)
 

@@ -206,7 +206,7 @@ def stream_areas(spark, sf_dir):
 def stream_months(spark, sf_dir):
     result = streams.calendar_month_performance(_event_stream(spark, sf_dir), "ts", "score", "actual", 0.5)
     target, checkpoint = streams.fresh_paths(spark, "stream-months")
-    return streams.run_complete(result, checkpoint, target)
+    return streams.run_updates(result, ["window"], checkpoint, target)
 
 
 @query("stream_ingest", on_loans(f"""

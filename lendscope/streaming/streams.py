@@ -20,6 +20,8 @@ from lendscope.streaming.first_rows import first_rows, keyed_state
 
 SCORE_DIGITS = 3
 BATCH = "part_batch"
+#: Fixed value: the column property by which Spark knows an event time and its allowed lateness (milliseconds).
+WATERMARK = "spark.watermarkDelayMs"
 
 
 def read_files(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -83,10 +85,24 @@ def windowed_score_counts(
     return counts.withColumn("window_start", F.date_format("w.start", "yyyy-MM-dd")).drop("w")
 
 
-def calendar_month_performance(stream: DataFrame, ts: str, score: str, actual: str, threshold: float) -> DataFrame:
-    """The same aggregates per calendar month; run in update or complete mode."""
-    months = stream.groupBy(F.date_format(ts, "yyyy-MM").alias("window"))
-    return with_window_rates(months.agg(*window_aggregates(threshold, score, actual)))
+def calendar_month_performance(
+    stream: DataFrame, ts: str, score: str, actual: str, threshold: float, lateness: str = "1 day",
+) -> DataFrame:
+    """The same aggregates per calendar month; run in update or complete mode.
+
+    Months are of uneven length, so no window function makes them. The grouping key is the instant at which a month ends, and it
+    is marked as an event time: in update mode a month leaves the state once the watermark, ``lateness`` behind
+    the latest event, has reached that instant, and rows for it that come later are dropped. The state holds the
+    months still open. Rows without a time have no month and are left out. Complete mode keeps every month and drops nothing.
+    """
+    marked = stream.withWatermark(ts, lateness)
+    delay = marked.select(ts).schema[0].metadata[WATERMARK]
+    start = F.date_trunc("month", F.col(ts))
+    end = (start + F.expr("INTERVAL 1 MONTH")).alias("_end", metadata={WATERMARK: delay})
+    months = marked.where(F.col(ts).isNotNull()).select(end, *{score, actual}).groupBy("_end").agg(
+        *window_aggregates(threshold, score, actual))
+    found = with_window_rates(months)
+    return found.withColumn("window", F.date_format(F.col("_end") - F.expr("INTERVAL 1 MONTH"), "yyyy-MM")).drop("_end")
 
 
 def run_complete(result: DataFrame, checkpoint: str, target: str) -> DataFrame:
