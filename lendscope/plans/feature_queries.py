@@ -271,13 +271,13 @@ MODE_CTE = "modev AS (SELECT " + ", ".join(
 @query("wide_one_hot", """
 WITH k AS (SELECT CAST(l_partkey AS VARCHAR) AS key, count(*) AS n FROM lineitem GROUP BY 1),
 p AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS place, count(*) OVER () - 1 AS size FROM k)
-SELECT l_orderkey, l_linenumber, CAST(size AS INT) AS size, CAST(nullif(place, 0) - 1 AS INT) AS slot
+SELECT l_orderkey, l_linenumber, size, nullif(place, 0) - 1 AS slot
 FROM lineitem JOIN p ON key = CAST(l_partkey AS VARCHAR)""")
 def wide_one_hot(spark, sf_dir):
     """A column of thousands of categories as a sparse vector, the others of its table as columns."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipmode")
-    params = fitted.fit_encoder(rows, [], ["l_partkey", "l_shipmode"], {}, most=100)
-    config = {"numeric": [], "nominal": ["l_partkey", "l_shipmode"], "ordinal": {}}
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus")
+    params = fitted.fit_encoder(rows, [], ["l_partkey", "l_linestatus"], {}, most=100)
+    config = {"numeric": [], "nominal": ["l_partkey", "l_linestatus"], "ordinal": {}}
     coded = fitted.apply_encoder(rows, params, config, ["l_orderkey", "l_linenumber"])
     slots = filled_slots("categoric__l_partkey")
     return coded.select("l_orderkey", "l_linenumber", slots["size"].alias("size"), F.get(slots["indices"], F.lit(0)).alias("slot"))
