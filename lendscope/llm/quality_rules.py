@@ -12,7 +12,7 @@ WORD = BLANK.replace("[", "[^") + "+"
 #: Characters that count as symbols, and the base rule.
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, REPEAT_SHARE = 50, 50
-#: Character classes of the first histogram; whatever is in none of them is the last one.
+#: Character classes of the first histogram, vowels and consonants first; whatever is in none of them is the last one.
 CLASSES = ("[aeiou]", "[b-df-hj-np-tv-z]", "[A-Z]", "[0-9]", BLANK, r"[.,;:!?'\"()-]", r"[^\x00-\x7F]")
 #: The second histogram counts the COMMON most frequent words of the language that have up to SHORT letters, and all others.
 COMMON, SHORT = 24, 5
@@ -22,9 +22,24 @@ WORD_LIMIT, WORD_WORDS = 0.28, 100
 REFERENCE_WORDS = 1000
 
 
-def removed(text: Column, pattern: str) -> Column:
-    """How many code points the matches of ``pattern`` hold."""
-    return (F.length(text) - F.length(F.regexp_replace(text, pattern + "+", ""))).cast("long")
+def class_counts(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``classes``, the code points of ``text`` in each of CLASSES and in none, and ``n_symbols``.
+
+    Classes are taken away one after the other, letters first, so each pass reads only what the ones before have left.
+    """
+    text, blank = F.col("text"), CLASSES.index(BLANK)
+    rows = rows.withColumns({"_vowels": F.length(F.regexp_replace(text, CLASSES[0].replace("[", "[^") + "+", "")),
+                             "_left": F.regexp_replace(text, CLASSES[0][:-1] + CLASSES[1][1:] + "+", "")})
+    counts = {0: F.col("_vowels"), 1: F.length(text) - F.length("_left") - F.col("_vowels")}
+    left = "_left"
+    for k in (blank, *(k for k in range(len(CLASSES) - 1, 1, -1) if k != blank)):
+        rows = rows.withColumn(f"_left{k}", F.regexp_replace(left, CLASSES[k] + "+", ""))
+        counts[k] = F.length(left) - F.length(f"_left{k}")
+        left = f"_left{k}"
+    return rows.withColumns({
+        "classes": F.array(*[counts[k].cast("long") for k in range(len(CLASSES))], F.length(left).cast("long")),
+        "n_symbols": (F.length(left) - F.length(F.regexp_replace(left, f"[{SYMBOLS}]+", ""))).cast("long"),
+    })
 
 
 def short_words(text: Column, letters: int = SHORT) -> Column:
@@ -74,24 +89,25 @@ def counted(docs: DataFrame, common: int = COMMON) -> DataFrame:
     rows = docs.join(listed.withColumnRenamed("lang", "known"), F.col("lang").eqNullSafe(F.col("known")), "left").select(
         "doc_id", "lang", "text", "common", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("split"),
         short_words(F.col("text")).alias("short"), F.split("text", "\n", -1).alias("split_lines"))
-    blank, seen = removed(F.col("text"), BLANK), F.lit(0).cast("long")
-    classes = [blank if c == BLANK else removed(F.col("text"), c) for c in CLASSES]
-    for c in classes:
-        seen = seen + c
-    windows = F.transform("split", lambda w, k: F.struct(
-        F.concat_ws(" ", w, F.get("split", k + 1), F.get("split", k + 2)).alias("window"), k.alias("place")))
+    after = lambda k: F.get("split", k)
+    full = F.greatest(F.size("split") - 2, F.lit(0))
+    codes = F.slice(F.transform("split", lambda w, k: F.xxhash64(w, after(k + 1), after(k + 2))), 1, full)
+    # Windows whose codes all differ are all different; only other documents have theirs written out and sorted.
+    rows = class_counts(rows).withColumn("codes", codes)
+    windows = F.transform("split", lambda w, k: F.struct(F.concat_ws(" ", w, after(k + 1), after(k + 2)).alias("window"), k.alias("place")))
+    windows = F.sort_array(F.slice(windows, 1, full))
+    blank = F.get("classes", F.lit(CLASSES.index(BLANK)))
     rows = rows.select(
         "doc_id", "lang", F.length("text").cast("long").alias("n_chars"), F.size("split").cast("long").alias("n_words"),
-        (F.length("text") - blank).cast("long").alias("word_chars"), removed(F.col("text"), f"[{SYMBOLS}]").alias("n_symbols"),
+        (F.length("text") - blank).cast("long").alias("word_chars"), "n_symbols", "classes",
         F.filter("split_lines", lambda line: line.rlike(WORD)).alias("lines"),
-        F.sort_array(F.slice(windows, 1, F.greatest(F.size("split") - 2, F.lit(0)))).alias("windows"),
-        F.array(*classes, F.length("text") - seen).alias("classes"),
+        F.when(F.size("codes") > F.size(F.array_distinct("codes")), windows).alias("windows"),
         F.array(*[(F.size("short") - F.size(F.array_remove("short", F.coalesce(F.get("common", F.lit(k)), F.lit("")))))
                   .cast("long") for k in range(common)]).alias("words"))
     return rows.select(
         "doc_id", "lang", "n_chars", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("windows")).alias("n_repeat_words"), "classes",
+        F.when(F.col("windows").isNull(), F.lit(0).cast("long")).otherwise(repeated_words(F.col("windows"))).alias("n_repeat_words"), "classes",
         F.concat("words", F.array(F.col("n_words") - F.aggregate("words", F.lit(0).cast("long"), lambda s, x: s + x))).alias("words"))
 
 
