@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendscope.functions import constants as K
 from lendscope.functions.expressions import decision, event_names, parse_timestamp, risk_band
+from lendscope.operators.boosting import BoostedTrees
 from lendscope.operators.features import drop_columns
 from lendscope.operators.fitted import apply_fitted
 from lendscope.operators.training import Fitted, add_probability
@@ -76,8 +78,16 @@ def score_batch(
 
 
 def save_model(fitted: Fitted, path: str) -> None:
-    PipelineModel([fitted.model]).write().overwrite().save(path)
+    if isinstance(fitted.model, BoostedTrees):
+        fitted.model.save(SparkSession.active(), path)
+    else:
+        PipelineModel([fitted.model]).write().overwrite().save(path)
 
 
 def load_model(path: str, name: str, features: list[str], threshold: float) -> Fitted:
-    return Fitted(name, PipelineModel.load(path).stages[0], features, threshold)
+    """A saved model under its own path; boosted trees are two tables, every other model a Spark ML pipeline."""
+    try:
+        model = BoostedTrees.load(SparkSession.active(), path)
+    except AnalysisException:
+        model = PipelineModel.load(path).stages[0]
+    return Fitted(name, model, features, threshold)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendscope.functions.expressions import decision
+from lendscope.operators.boosting import BoostedTrees, HistogramBoosting
 from lendscope.operators.metrics import classification_summary, confusion, pick_threshold, rates, score_curve
 from lendscope.operators.splits import folds, repeated_shuffles
 from lendscope.operators.wide import filled_slots
@@ -52,7 +53,7 @@ class Fitted:
     """A fitted classifier with its decision threshold and metrics per split."""
 
     name: str
-    model: Model
+    model: Model | BoostedTrees
     features: list[str]
     threshold: float
     fit_time: float = 0.0
@@ -80,13 +81,13 @@ KNOWN_PARAMS = {
     "decision_tree": {*_TREE, "class_weight"},
     "random_forest": {*_TREE, "n_estimators", "max_features", "class_weight"},
     "gradient_boosting": {*_TREE, "n_estimators", "learning_rate", "subsample", "max_features"},
-    "hist_gradient_boosting": {*_TREE, "max_iter", "learning_rate", "max_bins", "class_weight"},
+    "hist_gradient_boosting": {*_TREE, "max_iter", "learning_rate", "max_bins", "max_leaf_nodes", "l2_regularization", "class_weight"},
 }
 DEEPEST = 30  # Spark's own limit
 
 
-def make_estimator(spec: Mapping, label: str, total_weight: float) -> Estimator:
-    """The Spark ML estimator for one catalogue entry; a parameter it would not use is refused.
+def make_estimator(spec: Mapping, label: str, total_weight: float) -> Estimator | HistogramBoosting:
+    """The estimator for one catalogue entry; a parameter it would not use is refused.
 
     Where a parameter is absent, each type has its usual default: trees and forests grow until their leaves are
     pure (to Spark's depth limit), boosting stops at depth 3, histogram boosting keeps 20 rows a leaf.
@@ -122,10 +123,10 @@ def make_estimator(spec: Mapping, label: str, total_weight: float) -> Estimator:
             maxIter=p.get("n_estimators", 100), stepSize=p.get("learning_rate", 0.1),
             subsamplingRate=p.get("subsample", 1.0), featureSubsetStrategy=subset("all"), **tree(3, 1), **common,
         )
-    # Spark's boosting bins its features too; it has no L2 penalty on the leaves.
-    return GBTClassifier(
-        maxIter=p.get("max_iter", 100), stepSize=p.get("learning_rate", 0.1),
-        maxBins=min(p.get("max_bins", 255), 255), **tree(None, 20), **common,
+    return HistogramBoosting(
+        FEATURES, label, WEIGHT, trees=p.get("max_iter", 100), learning_rate=p.get("learning_rate", 0.1), max_depth=p.get("max_depth"),
+        max_leaf_nodes=p.get("max_leaf_nodes", 31), min_samples_leaf=p.get("min_samples_leaf", 20),
+        max_bins=min(p.get("max_bins", 255), 255), l2=p.get("l2_regularization", 0.0),
     )
 
 
