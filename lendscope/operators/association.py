@@ -6,6 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,21 +20,63 @@ from lendscope.operators.profile import quantile_bins, quantile_edges
 from lendscope.operators.quantiles import unpivot_numbers
 from lendscope.sources.workspace import settle
 
+#: Columns of a block; a pass over two blocks folds each task into a square matrix of six times as many rows.
+BLOCK, SHIFT_ROWS = 150, 1_000
+
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(a, b, corr)`` for each pair, over the rows where both are present, in one pass.
+    """``(a, b, corr)`` for each pair, over the rows where both are present; null where one of them does not vary.
 
-    Each row is spread into its pairs and folded map-side; one aggregate per pair side by side
-    would outgrow what can be compiled.
+    One pass: each task folds its rows into a matrix of pairwise counts, sums and products, and the matrices are merged in a
+    tree. Only beyond BLOCK columns are there several passes, one per pair of blocks.
     """
     return _correlations(df, columns, list(combinations(columns, 2)))
 
 
 def _correlations(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
     numbers = df.selectExpr(*[f"nanvl(try_cast(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)) AS `{c}`" for c in columns])
-    cells = ", ".join(f"'{a}', '{b}', `{a}`, `{b}`" for a, b in pairs)
-    long = numbers.selectExpr(f"stack({len(pairs)}, {cells}) AS (a, b, x, y)")
-    return long.groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
+    place = {c: i // BLOCK for i, c in enumerate(columns)}
+    together: dict[tuple[int, int], list[tuple[str, str]]] = {}
+    for a, b in pairs:
+        together.setdefault((min(place[a], place[b]), max(place[a], place[b])), []).append((a, b))
+    # A pair of two blocks is covered by the pass over both, which then needs no pass over either alone.
+    for one in [k for k in together if k[0] == k[1]]:
+        wider = next((k for k in together if one[0] in k and k != one), None)
+        if wider:
+            together[wider] += together.pop(one)
+    rows: list[tuple] = []
+    for blocks, wanted in together.items():
+        used = [c for c in columns if place[c] in blocks]
+        found = _pairwise(numbers.select(*[F.col(f"`{c}`") for c in used]), used)
+        at = {c: i for i, c in enumerate(used)}
+        rows += [(a, b, None if np.isnan(r := found[at[a], at[b]]) else float(r)) for a, b in wanted]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
+
+
+def _pairwise(numbers: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Correlation matrix over pairwise complete rows, NaN where undefined.
+
+    A row becomes the vector (values, squares, presence), with zeros for what is missing and values counted from one
+    present value of their column, which keeps the products small. The products of these vectors with themselves, summed
+    over all rows, hold every pair's count, sums, squares and product.
+    """
+    sample = numbers.limit(SHIFT_ROWS).agg(*[F.first(F.col(f"`{c}`"), ignorenulls=True).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    shift = F.array(*[F.lit(sample[i] or 0.0) for i in range(len(columns))])
+    values = F.zip_with(F.array(*[F.col(f"`{c}`") for c in columns]), shift, lambda x, s: x - s)
+    arrays = numbers.select(values.alias("x"))
+    zero = lambda of: F.transform("x", lambda x: F.coalesce(of(x), F.lit(0.0)))
+    vectors = arrays.select(array_to_vector(F.concat(
+        zero(lambda x: x), zero(lambda x: x * x), F.transform("x", lambda x: x.isNotNull().cast("double")))).alias("v"))
+    if vectors.isEmpty():
+        return np.full((len(columns), len(columns)), np.nan)
+    products = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v")).computeGramianMatrix().toArray()
+    k = len(columns)
+    part = lambda i, j: products[i * k:(i + 1) * k, j * k:(j + 1) * k]
+    n, sums, squares, both = part(2, 2), part(0, 2), part(1, 2), part(0, 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = squares - sums * sums / n
+        spread[spread <= 1e-13 * squares] = np.nan  # a column that does not vary over the pair's rows
+        return (both - sums * sums.T / n) / np.sqrt(spread * spread.T)
 
 
 def correlation_ranking(df: DataFrame, columns: Sequence[str], event: str) -> DataFrame:
