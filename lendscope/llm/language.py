@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -16,10 +15,14 @@ from lendscope.llm.quality import bounded
 HIDDEN, WINDOW = 8, 64
 #: Windows run side by side.
 SLAB = 4096
-#: Training sample: languages (the most frequent), documents of each, windows of a document.
-LANGUAGES, SAMPLE, WINDOWS = 64, 300, 12
+#: Training sample: documents of each language, of all languages together (with LEAST of each all the same), windows of a document.
+SAMPLE, ALL, LEAST, WINDOWS = 300, 20_000, 20, 12
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the Unicode letter categories occurs: the rule that ``\\p{L}`` is for the rows to learn from."""
+    return any(c.isalpha() for c in text)
 
 
 def windows(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,20 +196,22 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def train_language(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                    sample: int = SAMPLE, per_doc: int = WINDOWS, steps: int = 320, batch: int = 160, rate: float = 0.02,
                    seed: int = 3) -> LanguageNet | None:
-    """A network from up to ``sample`` documents of each of the most frequent languages, ``per_doc`` windows spread
-    evenly over each; None if nothing can be learned from."""
+    """A network from up to ``sample`` documents of every language, ``per_doc`` windows spread evenly over each; None if
+    nothing can be learned from. With many languages the documents of each are fewer, so that about ALL are read in all."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label"), train.alias("train"))
     known = docs.filter(F.col("train") & F.col("label").isNotNull() & F.col("id").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    frequent = [r[0] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()]
-    if not frequent:
+    languages = known.select("label").distinct().count()
+    if not languages:
         return None
+    each = min(sample, max(LEAST, ALL // languages))
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    chosen = (known.filter(F.col("label").isin(frequent)).select("id", "label").distinct()
-              .withColumn("place", place).filter(F.col("place") <= sample).drop("place"))  # at most LANGUAGES * sample rows
+    chosen = (known.select("id", "label").distinct()
+              .withColumn("place", place).filter(F.col("place") <= each).drop("place"))  # at most max(ALL, LEAST * languages) rows
+    chosen = F.broadcast(chosen) if LEAST * languages <= ALL else chosen
     bytes_ = F.lower("text").cast("binary")
     pieces = F.ceil(F.length(bytes_) / WINDOW)
     spread = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(per_doc - 1)), lambda i: F.floor(i * pieces / per_doc)))
-    rows = (known.join(F.broadcast(chosen), ["id", "label"])
+    rows = (known.join(chosen, ["id", "label"])
             .select("id", "label", F.transform(spread, lambda i: F.substring(bytes_, (i * WINDOW + 1).cast("int"), F.lit(WINDOW))).alias("cut"))
             .groupBy("label", "id").agg(F.min("cut").alias("cut")).orderBy("label", "id").toArrow())
     languages = sorted(set(rows.column("label").to_pylist()))
@@ -240,7 +245,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 batch = whole.slice(at, 2048)
                 texts = [t or "" for t in batch.column(2).to_pylist()]
                 names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                some = [i for i, t in enumerate(texts) if LETTER.search(t)] if model else []
+                some = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
                 if some:
                     pooled = model.documents([texts[i] for i in some])
                     for i, chance in zip(some, pooled):

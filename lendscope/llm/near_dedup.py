@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Sequence
 
@@ -33,7 +32,6 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-@functools.cache
 def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
     codes = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
     text = np.arange(256)

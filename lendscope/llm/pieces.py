@@ -56,7 +56,6 @@ class MergeCodec:
         self.id_text = [str(i) for i in range(len(self.surfaces))]
         self.local = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.solved: dict[str, str] = {}
-        self.spoken: dict[str, str] = {}  # where it differs from the segment after its mark
         self._tables()
 
     @staticmethod
@@ -187,31 +186,34 @@ class MergeCodec:
             if own != other and segment:
                 raise ValueError(f"segment {segment!r}: agenda {own}, library {other}")
             self.solved[segment] = ",".join([self.id_text[i] for i in own])
-            spoken = b"".join([self.surfaces[i] for i in own]).decode("utf-8", "replace")
-            if spoken != " " + segment.replace(SPACE, " "):
-                self.spoken[segment] = spoken
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[str, int, str]]:
-        """(ids joined by commas, number of ids, text decoded from them) of each text."""
+    def encode_batch(self, texts: list[str]) -> list[tuple[str, list[int], str]]:
+        """(ids joined by commas, ids, text decoded from them) of each text.
+
+        Whole texts are decoded from all their ids, by the pieces' surfaces, and compared with the library; a difference
+        ends the job with both results.
+        """
         cut = [self.segments(t) for t in texts]
         words = {s for segments in cut for s in segments}
         fresh = words - self.solved.keys()
         if len(self.solved) + len(fresh) > REMEMBERED:
             self.solved.clear()
-            self.spoken.clear()
             fresh = words
         self.learn(list(fresh))
-        solved, odd = self.solved.__getitem__, self.spoken
-        found = []
-        for text, segments in zip(texts, cut):
-            joined = ",".join(map(solved, segments))
-            decoded = "".join([odd.get(s) or " " + s.replace(SPACE, " ") for s in segments])[1:] if odd and not odd.keys().isdisjoint(segments) else text.replace(SPACE, " ")
-            found.append((joined, joined.count(",") + 1 if joined else 0, decoded))
-        return found
+        joined = [",".join(map(self.solved.__getitem__, segments)) for segments in cut]
+        ids = [list(map(int, j.split(","))) if j else [] for j in joined]
+        spoken = [self.speak(own) for own in ids]
+        for text, own, other in zip(texts, spoken, self.library.decode(ids, num_threads=1) if ids else []):
+            if own != other:
+                raise ValueError(f"ids of {text[:200]!r}: surfaces give {own[:200]!r}, library {other[:200]!r}")
+        return list(zip(joined, ids, spoken))
+
+    def speak(self, ids: list[int]) -> str:
+        """The text of ids: bytes side by side form characters, and the first mark is left out."""
+        return b"".join(map(self.surfaces.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
     def encode(self, text: str | None) -> list[int]:
-        joined = self.encode_batch([text or ""])[0][0]
-        return [int(i) for i in joined.split(",")] if joined else []
+        return self.encode_batch([text or ""])[0][1]
 
     def decode(self, ids: list[int]) -> str:
         """The text of any ids: byte ids side by side form characters, and the first mark is left out."""
@@ -228,8 +230,7 @@ def encode_column(text: Column, model_file: str) -> Column:
             codec.append(MergeCodec(model_file))
         for texts in batches:
             found = codec[0].encode_batch([t or "" for t in texts])
-            yield pd.DataFrame({"ids": [[int(i) for i in f[0].split(",")] if f[0] else [] for f in found],
-                                "decoded": [f[2] for f in found]})
+            yield pd.DataFrame({"ids": [f[1] for f in found], "decoded": [f[2] for f in found]})
 
     return F.pandas_udf(run, "ids array<int>, decoded string")(text)
 
@@ -254,7 +255,7 @@ def piece_digests(
                 found = codec.encode_batch(texts)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0),
-                    pa.array([n for _, n, _ in found], pa.int64()),
+                    pa.array([len(ids) for _, ids, _ in found], pa.int64()),
                     pa.array([hashlib.sha256(joined.encode()).hexdigest() for joined, _, _ in found]),
                     pa.array([hashlib.sha256(decoded.encode()).hexdigest() for _, _, decoded in found]),
                 ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -36,24 +36,37 @@ def byte_symbols(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     place = np.cumsum(room) - room
     for begin, n in zip(place, size):
         real[begin: begin + n] = True
-    symbols = data.astype(np.int16) + 1 + 256 * _repeating(data).astype(np.int16)
+    symbols = data.astype(np.int16) + 1 + 256 * _repeating(data, place, room).astype(np.int16)
     symbols[~real] = 0
     return symbols, chunks
 
 
-def _repeating(data: np.ndarray) -> np.ndarray:
+def _repeating(data: np.ndarray, place: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Marks of all texts, each text's from its own bytes alone; ``place`` and ``room`` say where they lie in ``data``."""
     found = np.zeros(len(data), bool)
     for lag in range(NEAR, FAR + 1):
         if len(data) < lag + RUN:
             break
-        one = data[lag:] == data[:-lag]
-        two = one[1:] & one[:-1]
-        four = two[2:] & two[:-2]
-        six = four[2:] & two[:-4]
-        found[lag + RUN - 1:] |= six
+        found[lag + RUN - 1:] |= _six(data[lag:] == data[:-lag])
+    # Only the first bytes of a text can have met those of the text before: they are marked again, by rows.
+    head = np.arange(FAR + RUN - 1)
+    own = head[None, :] < room[:, None]
+    at = np.minimum(place[:, None] + head[None, :], len(data) - 1)
+    first = data[at]
+    marks = np.zeros(first.shape, bool)
+    for lag in range(NEAR, FAR):
+        marks[:, lag + RUN - 1:] |= _six((first[:, lag:] == first[:, :-lag]).T).T
+    found[at[own]] = marks[own]
     return found
 
 
+def _six(one: np.ndarray) -> np.ndarray:
+    """Where RUN true values in a row end, along the first axis."""
+    two = one[1:] & one[:-1]
+    four = two[2:] & two[:-2]
+    return four[2:] & two[:-4]
+
+
 @dataclass
 class ConvNet:
     """Score = sigmoid(out . max over chunks of relu(chunk . filters + shift) + bias)."""

@@ -1,10 +1,14 @@
 """Trained models: gradients, held-out accuracy and awkward rows; piece codec beside the library; pipeline stages."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lendscope.llm import language, mixing, pieces, quality
@@ -14,6 +18,9 @@ from tests.llm.frames import collected, edge_rows, frame, prose
 from tests.llm.test_dedup import brute_exact, brute_near
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def held(i, folds, fold):
     import zlib
 
@@ -61,6 +68,41 @@ def test_pooling_covers_the_whole_text():
     assert quality.byte_symbols(["x" * 17])[1][0] == 2  # the last byte is in a chunk
 
 
+def test_scores_do_not_depend_on_the_neighbours():
+    """A text is marked and scored alike alone and behind a text that ends as it begins."""
+    texts = ["abcdefgh" * 9, "abcdefgh and more of it", "efghabcd", "", "x", "y" * 60, "the end of the end of the end", "of the end of the"]
+    whole, _ = quality.byte_symbols(texts)
+    assert np.array_equal(whole, np.concatenate([quality.byte_symbols([t])[0] for t in texts]))
+    assert not np.array_equal(whole, np.where(whole > 256, whole - 256, whole))
+    net = quality.ConvNet.fresh()
+    assert np.allclose(net.scores(texts), np.concatenate([net.scores([t]) for t in texts]), atol=1e-6)
+
+
+def test_every_language_is_learned_and_letters_decide(spark):
+    """Seventy languages of a few documents each; digits and signs that only count as word characters are no letters."""
+    names = [f"l{k:02d}" for k in range(70)]
+    rows = [(k * 5 + j, f"{chr(0x3041 + k)}{chr(0x4E00 + k)} " * 60, names[k], "a") for k in range(70) for j in range(5)]
+    rows += [(9000, "\u00b2 \u00bd \u2460 12_", "en", "a"), (9001, "\u00aa", "en", "a")]
+    found = {r.doc_id: r for r in language.identify(frame(spark, rows), steps=40).collect()}
+    net = language.train_language(frame(spark, rows), F.lit(True), steps=1)
+    assert set(net.languages) == {*names, "en"} and found[9000].lang_pred == "und" and found[9001].lang_pred != "und"
+
+
+def test_worker_functions_load_without_the_package():
+    """What is sent to executors carries its code: it is read by a process that cannot import the library."""
+    from pyspark import cloudpickle
+
+    from lendscope.llm import line_dedup, near_dedup, runs, secret_scan, topk
+
+    for fn in (quality.byte_symbols, language.windows, line_dedup.line_hashes, near_dedup.word_hashes, near_dedup.dart_signatures,
+               runs.all_runs, topk.search_lane, secret_scan.features, pieces.MergeCodec):
+        code = ("import sys, pickle; sys.path[:] = [p for p in sys.path if p not in ('', %r)]; "
+                "f = pickle.loads(sys.stdin.buffer.read()); f.__name__" % ROOT)
+        done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(fn), cwd="/", capture_output=True, env={
+            k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+        assert done.returncode == 0, (fn, done.stderr.decode()[-500:])
+
+
 def test_recurrent_gradients_match_differences():
     random_ = np.random.default_rng(0)
     layer = language.LanguageNet.fresh(["a", "b"], 1).forward
@@ -116,9 +158,20 @@ def test_codec_equals_the_library(codec):
     r = random.Random(0)
     parts = [*" ▁\n\tabcdeßéñ,.!漢字😀\x00\x01<>s/0123‍", "  ", "   ", " the", "<s>", "<unk>", "<0x41>", "�", "ation", "x" * 60]
     texts = ["", " ", "▁", "a ", " a", *("".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(3000))]
-    for (joined, n, decoded), text in zip(codec.encode_batch(texts), texts):
+    for (joined, own, decoded), text in zip(codec.encode_batch(texts), texts):
         ids = codec.library.encode(text)
-        assert joined == ",".join(map(str, ids)) and n == len(ids) and decoded == codec.library.decode(ids), repr(text)
+        assert joined == ",".join(map(str, ids)) and own == ids and decoded == codec.library.decode(ids), repr(text)
+
+
+def test_decoding_starts_from_the_ids(codec, monkeypatch):
+    """Wrong ids give their own text, and the comparison with the library notices a wrong surface."""
+    ids = codec.encode("the water runs")
+    assert codec.speak(ids[::-1]) == codec.library.decode(ids[::-1]) != "the water runs"
+    wrong = list(codec.surfaces)
+    wrong[ids[0]] = b" else"
+    monkeypatch.setattr(codec, "surfaces", wrong)
+    with pytest.raises(ValueError, match="surfaces give"):
+        codec.encode_batch(["the water runs"])
 
 
 def test_side_by_side_merging_equals_the_agenda(codec):
