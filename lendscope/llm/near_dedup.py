@@ -14,6 +14,8 @@ from lendscope.llm.common import clear_worker, saved, small_batches
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
+#: Further leaders that members of a divided bucket are compared with.
+LEADERS = 4
 #: Width of the first rank slab; each later slab doubles the ranks covered.
 FIRST_SLAB, WIDEST_SLAB = 1 / 64, 64.0
 
@@ -172,7 +174,7 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> float:
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words: int = WORDS, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-    carry: Sequence[str] = (), batch_rows: int = 128, kept_only: bool = False,
+    carry: Sequence[str] = (), batch_rows: int = 128, kept_only: bool = False, leaders: int = LEADERS,
 ) -> DataFrame:
     """One row per document (per kept one with ``kept_only``): doc_id, class_id, kept, n_shingles.
 
@@ -184,9 +186,10 @@ def near_classes(
 
     Texts of equal words are first joined to one representative. Representatives that agree in a band share a
     bucket. Not all pairs of a bucket are compared: each member is compared with two leaders, the bucket's first and
-    last, and then every pair of members that are still in different components. Pairs inside a component need no comparison, so a large group of
-    copies costs links in proportion to its size, and no pair sharing a bucket stays undecided. Comparison is
-    exact, on whole texts.
+    last, and, while that still links something, with up to ``leaders`` more drawn ones. Pairs inside a component need no comparison, so
+    a large group of copies costs links in proportion to its size. What shares a bucket and is still in different
+    components meets once more over its rare cells (``prefix_pairs``), so no pair sharing a bucket stays undecided, and texts that have
+    only a common passage in common are not compared at all. Comparison is exact, on whole texts.
     """
     small_batches(docs.sparkSession)
     own = [F.col(f"`{c}`").alias(c) for c in carry]
@@ -229,8 +232,14 @@ def near_classes(
     buckets = saved(spread.join(sizes, ["band", "key"]), "near-buckets")
 
     close = _Links(texts.withColumnRenamed("row_no", "node"), words, threshold)
-    label = close.add(_leader_pairs(buckets, "min").unionByName(_leader_pairs(buckets, "max")).distinct(), None)
-    label = close.add(_open_pairs(buckets, label, close.seen), label)
+    label = close.add(_leader_pairs(buckets, F.min).unionByName(_leader_pairs(buckets, F.max)).distinct(), None)
+    for turn in range(leaders):
+        pairs = _fresh(_turn_pairs(_split(buckets, label), turn), close.seen)
+        found = close.add(pairs, label)
+        label, linked = found, not close.seen[-1].filter("linked").isEmpty()
+        if not linked:
+            break
+    label = close.add_cells(_split(buckets, label).select("node", "n_shingles", "component").distinct(), label)
 
     named = members.join(label, members.rep == label.node, "left").select(
         "row_no", F.coalesce("component", "rep").alias("component"))
@@ -255,31 +264,63 @@ def _bounded(texts: Sequence[str], most: int = 500_000) -> list[slice]:
     return parts + [slice(begin, len(texts))] if len(texts) > begin else parts
 
 
-def _leader_pairs(buckets: DataFrame, pick: str) -> DataFrame:
+def _leader_pairs(buckets: DataFrame, pick) -> DataFrame:
     """Each other member of a bucket beside the bucket's first or last one."""
-    leader = buckets.groupBy("band", "key").agg(getattr(F, pick)(F.struct("node", "n_shingles")).alias("leader"))
+    leader = buckets.groupBy("band", "key").agg(pick(F.struct("node", "n_shingles")).alias("leader"))
     pairs = buckets.join(leader, ["band", "key"]).filter(F.col("leader.node") != F.col("node"))
     return _pairs(pairs.select(F.col("leader.node").alias("a"), F.col("leader.n_shingles").alias("na"),
                                F.col("node").alias("b"), F.col("n_shingles").alias("nb")))
 
 
-def _open_pairs(buckets: DataFrame, label: DataFrame, seen: Sequence[DataFrame]) -> DataFrame:
-    """All pairs of a bucket whose members are in different components and were not compared before."""
+def _split(buckets: DataFrame, label: DataFrame) -> DataFrame:
+    """The members of buckets that span several components, with their component."""
     rows = _labelled(buckets, label)
     split = rows.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-    rows = rows.join(split, ["band", "key"])
-    # A pair needs one member outside the bucket's lowest component.
-    other = rows.filter(F.col("component") != F.col("low"))
-    pairs = (rows.alias("x").join(other.alias("y"), ["band", "key"])
-             .filter((F.col("x.component") < F.col("y.component")))
-             .select(F.col("x.node").alias("a"), F.col("x.n_shingles").alias("na"),
-                     F.col("y.node").alias("b"), F.col("y.n_shingles").alias("nb")))
-    pairs = _pairs(pairs)
+    return rows.join(split, ["band", "key"])
+
+
+def _turn_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """Each member of a split bucket beside one more of its members, drawn by a hash, if that is of another component."""
+    drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n_shingles", "component")
+    leader = rows.groupBy("band", "key").agg(F.min(drawn).alias("leader"))
+    pairs = rows.join(leader, ["band", "key"]).filter(F.col("leader.component") != F.col("component"))
+    return _pairs(pairs.select(F.col("leader.node").alias("a"), F.col("leader.n_shingles").alias("na"),
+                               F.col("node").alias("b"), F.col("n_shingles").alias("nb")))
+
+
+def _fresh(pairs: DataFrame, seen: Sequence[DataFrame]) -> DataFrame:
     for done in seen:
         pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
     return pairs
 
 
+def prefix_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of all nodes (node, component, cells) of different components whose cells can reach the similarity.
+
+    Cells are ordered by how few nodes hold them. Of n cells, two texts of that similarity share one among the rarest
+    n - ceil(threshold * n) + 1 of each, so only these are joined; a passage that many texts share stands last and joins none of them.
+    From the places of the first shared cell follows how many cells can be common at most, and sizes must be near enough. Nodes of
+    a cell's lowest component are not paired with each other.
+    """
+    cells = nodes.select("node", F.explode("cells").alias("cell"))
+    counts = cells.groupBy("cell").agg(F.count("*").alias("held"))
+    ranked = cells.join(counts, "cell").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "cell"))).alias("order"))
+    size = F.size("order")
+    short = ranked.select("node", size.alias("n"), F.slice("order", F.lit(1), (size - F.ceil(threshold * size - 1e-9) + 1).cast("int")).alias("order"))
+    places = short.join(nodes.select("node", "component"), "node").select(
+        "node", "component", "n", F.posexplode("order").alias("pos", "x")).filter("x.held > 1").select(
+        "node", "component", "n", "pos", F.col("x.cell").alias("cell"))
+    places = saved(places, "near-prefixes")
+    split = places.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+    open_ = places.join(split, "cell")
+    x, y = open_.alias("x"), open_.filter("component != low").alias("y")
+    least = (F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - 1e-9
+    most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))  # this cell and all after it
+    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.component") < F.col("y.component"))
+                 & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold - 1e-9) & (most >= least))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def _labelled(buckets: DataFrame, label: DataFrame) -> DataFrame:
     return buckets.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
@@ -319,7 +360,33 @@ class _Links:
         sides = possible.select("a", "b").join(right, "b").join(left, "a")
         checked = saved(sides.select("a", "b", "left", "right").mapInPandas(verify, "a long, b long, linked boolean"), "near-pairs")
         self.seen.append(checked)
-        edges = checked.filter("linked").select("a", "b")
+        return self._joined(checked.filter("linked").select("a", "b"), label)
+
+    def add_cells(self, nodes: DataFrame, label: DataFrame) -> DataFrame:
+        """Link what is left between components: shared rare cells bring pairs together, whole sets of cells decide."""
+        words, threshold = self.words, self.threshold
+
+        def cut(batches):
+            import pyarrow as pa
+
+            clear_worker()
+            for whole in batches:
+                for at in range(0, whole.num_rows, 128):
+                    batch = whole.slice(at, 128)
+                    sets = [_cells(*shingles(*word_hashes([t]), words)).view(np.int64) for t in batch.column(2).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))],
+                                                     ["node", "component", "cells"])
+
+        with_text = nodes.select("node", "component").join(self.texts, "node").select("node", "component", "text")
+        held = saved(with_text.mapInArrow(cut, "node long, component long, cells array<long>"), "near-cells")
+        pairs = _fresh(prefix_pairs(held, threshold), self.seen)
+        side = lambda n: held.select(F.col("node").alias(n), F.col("cells").alias(f"cells_{n}"))
+        common = F.size(F.array_intersect("cells_a", "cells_b"))
+        whole = F.size("cells_a") + F.size("cells_b") - common
+        linked = pairs.join(side("a"), "a").join(side("b"), "b").filter(common / whole >= threshold).select("a", "b")
+        return self._joined(linked, label)
+
+    def _joined(self, edges: DataFrame, label: DataFrame | None) -> DataFrame:
         if label is not None:
             edges = edges.union(label.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b")))
         return components(edges)

@@ -115,6 +115,41 @@ def test_chain_of_links_is_one_class(spark):
     assert {c for _, c in collected(near_dedup.near_classes(frame(spark, rows)), "doc_id", "class_id")} == {0}
 
 
+def test_texts_with_only_a_passage_in_common_are_not_paired(spark):
+    """A hundred texts around one passage: rare cells pair none of them, but the two that are copies."""
+    passage = prose("en", 50, "shared")
+    rows = [(k, f"{prose('de', 30, k)} {passage} {prose('de', 30, -k)}", "en", "a") for k in range(1, 100)]
+    rows += [(500, rows[7][1] + " one more word", "en", "a")]
+    cells = [near_dedup._cells(*near_dedup.shingles(*near_dedup.word_hashes([t]))).view(np.int64).tolist() for _, t, *_ in rows]
+    nodes = spark.createDataFrame([(i, i, c) for (i, *_), c in zip(rows, cells)], "node long, component long, cells array<long>")
+    assert [tuple(r) for r in near_dedup.prefix_pairs(nodes, 0.8).collect()] == [(8, 500)]
+    assert collected(near_dedup.near_classes(frame(spark, rows)), "doc_id", "class_id") == brute_near(rows)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_rare_cells_lose_no_pair(spark, threshold):
+    r = random.Random(int(threshold * 10))
+    sets = []
+    for k in range(90):
+        base = set(range(100)) if k % 3 else {100 * k + j for j in range(r.randrange(1, 40))}
+        sets.append(sorted(base - set(r.sample(range(100), r.randrange(0, 40))) | {10**6 + r.randrange(10**5) for _ in range(r.randrange(0, 30))}) or [k])
+    component = [r.randrange(40) for _ in sets]
+    nodes = spark.createDataFrame([(k, c, s) for k, (c, s) in enumerate(zip(component, sets))], "node long, component long, cells array<long>")
+    found = {tuple(p) for p in near_dedup.prefix_pairs(nodes, threshold).collect()}
+    alike = lambda a, b: len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= threshold
+    every = {(a, b) for b in range(len(sets)) for a in range(b) if component[a] != component[b]}
+    assert {p for p in every if alike(*p)} <= found <= every and len(found) < len(every)
+
+
+@pytest.mark.parametrize("leaders", [0, 2])
+def test_members_unlike_every_leader_still_meet(spark, leaders):
+    rows = []
+    for group in range(3):
+        base = prose("en", 120, f"h{group}")
+        rows += [(group * 100 + k, edited(base, 2 + k % 4, f"{group}-{k}"), "en", "a") for k in range(25)]
+    assert collected(near_dedup.near_classes(frame(spark, rows), leaders=leaders), "doc_id", "class_id") == brute_near(rows)
+
+
 def test_near_classes_of_an_empty_table(spark):
     assert near_dedup.near_classes(frame(spark, edge_rows()).limit(0)).count() == 0
 
