@@ -143,15 +143,19 @@ def find_column(df: DataFrame, name: str) -> str:
     raise KeyError(f"no column {name!r}; available: {sorted(df.columns)}")
 
 
-def order_number(df: DataFrame, key: str) -> Column:
+def order_number(df: DataFrame, key: str, whole_row: bool = True) -> Column:
     """A 64-bit number for ``key_hash``: an integer key itself, else 60 bits of the MD5 of the key's text.
 
-    A missing key is replaced by the text of the whole row, so that rows without a key spread as well.
+    With ``whole_row`` a missing key is replaced by the text of the row, so that rows without a key spread as well; then every column
+    is read. Without it a missing key has no number.
     """
     digits = lambda text: F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
-    whole = digits(F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]))
     integer = df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
-    return F.coalesce(F.col(key).cast("long") if integer else digits(F.col(key).cast("string")), whole)
+    number = F.col(f"`{key}`").cast("long") if integer else digits(F.col(f"`{key}`").cast("string"))
+    if not whole_row:
+        return number
+    row = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns])
+    return F.when(number.isNull(), digits(row)).otherwise(number)
 
 
 def key_hash(key: Column, seed: Column | int = 0) -> Column:

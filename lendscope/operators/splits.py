@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 
 from lendscope.functions.expressions import HASH_MODULUS, as_timestamp, key_hash, order_number
 from lendscope.operators.running import running_totals
-from lendscope.sources.workspace import settle
+from lendscope.sources.workspace import ensure_checkpoint_dir, settle
+
+#: Buckets of hash values that are counted per repeat, and rows of one hash at a cut that are told apart by their keys on the driver.
+HASH_BUCKETS, MOST_ALIKE = 1024, 1000
 
 
 def temporal_split(df: DataFrame, date_col: str, cutoff: str) -> tuple[DataFrame, DataFrame]:
@@ -33,10 +37,11 @@ def hash_slices(
     ``cuts`` maps a group's row count to ascending positions; slice ``i`` starts at the ``i``-th
     cut. Sizes are exact for a key of any type, also where it is missing or
     repeated (``order_number``). Hash counts (at most ``HASH_MODULUS`` per group) find the hash value at each cut; only rows carrying exactly that hash value are ranked by key, all others are placed
-    by a comparison.
+    by a comparison. Columns beside the key are read only where a key is missing, or repeats at a cut.
     """
     by = list(by)
-    tagged = df.withColumn("_hash", key_hash(order_number(df, key), seed))
+    missing = has_missing(df, key)
+    tagged = df.withColumn("_hash", key_hash(order_number(df, key, missing), seed))
     counts = tagged.groupBy(*by, "_hash").agg(F.count(F.lit(1)).alias("rows"))
     ranked = running_totals(counts, "_hash", ["rows"], by, descending=False, levels=HASH_MODULUS,
                             window_rows=HASH_MODULUS)
@@ -61,9 +66,10 @@ def hash_slices(
         joined = tagged.withColumns({"_hashes": constant("_hashes"), "_keeps": constant("_keeps")})
     on_edge = F.coalesce(F.array_contains("_hashes", F.col("_hash")), F.lit(False))
     clear = joined.where(~on_edge).withColumn("_rank", F.lit(0))
-    edge = joined.where(on_edge).withColumn(
-        "_rank", F.row_number().over(W.partitionBy(*by, "_hash").orderBy(key, *[F.col(f"`{c}`") for c in df.columns if c != key]))
-    )
+    edge = joined.where(on_edge)
+    alike = missing or not edge.groupBy(*by, key).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").isEmpty()
+    rest = [F.col(f"`{c}`") for c in df.columns if c != key] if alike else []
+    edge = edge.withColumn("_rank", F.row_number().over(W.partitionBy(*by, "_hash").orderBy(key, *rest)))
     most = len(cuts(F.lit(1)))
     passed = " + ".join(["0", *[
         f"IF(get(_hashes, {i}) < _hash OR (get(_hashes, {i}) = _hash AND _rank > get(_keeps, {i})), 1, 0)"
@@ -72,6 +78,10 @@ def hash_slices(
     return clear.unionByName(edge).select(*df.columns, F.expr(passed).alias(out))
 
 
+def has_missing(df: DataFrame, key: str) -> bool:
+    return df.schema[key].nullable and not df.where(F.col(f"`{key}`").isNull()).select(key).isEmpty()
+
+
 def stratified_split(
     df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
@@ -117,10 +127,92 @@ def folds(df: DataFrame, key: str, k: int, strata: Sequence[str] = (), seed: int
     return hash_slices(df, key, fold_starts(k), strata, seed, "fold")
 
 
+def shuffle_cuts(rows: int, sizes: Sequence[float], test_size: float) -> list[int]:
+    """Rows below the end of the test part, and below the end of each training part but the last."""
+    test = math.ceil(rows * float(test_size))
+    return [test] + [test + math.floor((rows - test) * float(s)) for s in sizes[:-1]]
+
+
+def shuffle_parts(
+    df: DataFrame, key: str, repeats: int, sizes: Sequence[float], test_size: float = 0.2, seed: int = 42, out: str = "parts",
+) -> DataFrame:
+    """Add an array with the row's part in every repeat: 0 = test, ``i`` = enters training at size ``i``.
+
+    Rows are not copied. Of each repeat only the hash of the key is counted: first by buckets of hash values, then by value in the
+    few buckets that hold a cut. What comes back are the values at the cuts, a few per repeat, and each row compares its own hashes
+    with them. Keys that share the hash at a cut are told apart by the key; where keys are missing, or repeat at a cut, whole rows
+    must be, and the copies of ``hash_slices`` do that.
+    """
+    total = df.count()
+    cuts = sorted({c for c in shuffle_cuts(total, sizes, test_size) if c > 0})
+    if has_missing(df, key):
+        return _parts_from_copies(df, key, repeats, sizes, test_size, seed, out)
+    number = order_number(df, key, whole_row=False)
+    hashes = F.transform(F.sequence(F.lit(1), F.lit(repeats)), lambda r: key_hash(number, F.lit(seed) + r))
+    hashed = df.select(F.col(f"`{key}`").alias("_key"), F.posexplode(hashes).alias("_r", "_hash"))
+    width = -(-HASH_MODULUS // HASH_BUCKETS)
+    coarse = hashed.groupBy("_r", F.floor(F.col("_hash") / width).cast("int").alias("_b")).agg(F.count(F.lit(1)).alias("n"))
+    wanted: dict[tuple[int, int], int] = {}
+    sofar: dict[int, int] = {}
+    for r in sorted(coarse.collect(), key=lambda r: (r["_r"], r["_b"])):  # at most HASH_BUCKETS counts a repeat
+        low = sofar.get(r["_r"], 0)
+        sofar[r["_r"]] = low + r["n"]
+        if any(low < c <= low + r["n"] for c in cuts):
+            wanted[r["_r"], r["_b"]] = low
+    listed = F.array(*[F.lit(b * HASH_BUCKETS * 2 + r).cast("long") for r, b in wanted]) if wanted else F.array().cast("array<bigint>")
+    code = F.floor(F.col("_hash") / width).cast("long") * (HASH_BUCKETS * 2) + F.col("_r")
+    fine = hashed.where(F.array_contains(listed, code)).groupBy("_r", "_hash").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high"))
+    marks: list[list[tuple[int, int, int]]] = [[] for _ in range(repeats)]  # (hash, rows of it below the cut, its rows)
+    running, last = 0, None
+    for r in sorted(fine.collect(), key=lambda r: (r["_r"], r["_hash"])):  # the rows of a few buckets out of many
+        place = (r["_r"], r["_hash"] // width)
+        running = wanted[place] if place != last else running
+        last = place
+        marks[r["_r"]] += [(r["_hash"], c - running, r["n"]) for c in cuts if running < c <= running + r["n"]]
+        running += r["n"]
+    shared = {(r, h) for r, own in enumerate(marks) for h, below, n in own if below < n}
+    ends: dict[tuple[int, int], list] = {}
+    if shared:
+        if max(n for own in marks for _, _, n in own) > MOST_ALIKE:
+            return _parts_from_copies(df, key, repeats, sizes, test_size, seed, out)
+        pairs = df.sparkSession.createDataFrame(sorted(shared), "_r int, _hash long")
+        for r in hashed.join(F.broadcast(pairs), ["_r", "_hash"]).select("_r", "_hash", "_key").collect():
+            ends.setdefault((r["_r"], r["_hash"]), []).append(r["_key"])
+        if any(len(set(keys)) < len(keys) for keys in ends.values()):
+            return _parts_from_copies(df, key, repeats, sizes, test_size, seed, out)
+    kind = df.schema[key].dataType
+    bounds = F.array(*[F.array(*[F.struct(
+        F.lit(h).cast("long").alias("hash"),
+        F.lit(sorted(ends[r, h])[below - 1] if (r, h) in shared else None).cast(kind).alias("key")) for h, below, _ in own])
+        for r, own in enumerate(marks)]) if cuts else F.array()
+    above = lambda h: lambda c: (c["hash"] < h) | (c["hash"].eqNullSafe(h) & F.coalesce(F.col(f"`{key}`") > c["key"], F.lit(False)))
+    parts = F.zip_with(hashes, bounds, lambda h, own: F.size(F.filter(own, above(h)))) if cuts else F.transform(hashes, lambda h: F.lit(0))
+    # Cuts at 0 rows stand below every row; equal cuts count as often as they occur.
+    every = shuffle_cuts(total, sizes, test_size)
+    steps = F.array(*[F.lit(sum(c <= 0 or c in cuts[:i] for c in every)) for i in range(len(cuts) + 1)])
+    return df.withColumn(out, F.transform(parts, lambda p: F.get(steps, p)))
+
+
+def _parts_from_copies(df: DataFrame, key: str, repeats: int, sizes, test_size: float, seed: int, out: str) -> DataFrame:
+    marked = df.withColumn("_row", F.monotonically_increasing_id())
+    ensure_checkpoint_dir(df.sparkSession)
+    marked = marked.checkpoint()
+    parts = _copies(marked, key, repeats, sizes, test_size, seed).groupBy("_row").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("repeat", "part"))), lambda x: x["part"]).alias(out))
+    return marked.join(parts, "_row").select(*[F.col(f"`{c}`") for c in df.columns], out)
+
+
 def repeated_shuffles(
     df: DataFrame, key: str, repeats: int, sizes: Sequence[float], test_size: float = 0.2, seed: int = 42
 ) -> DataFrame:
-    """One copy of each row per repeat with ``part``: 0 = test, ``i`` = enters training at size ``i``."""
+    """One copy of each row per repeat with ``part``, see ``shuffle_parts``."""
+    marked = shuffle_parts(df, key, repeats, sizes, test_size, seed, "_parts")
+    return marked.select(*[F.col(f"`{c}`") for c in df.columns], F.posexplode("_parts").alias("repeat", "part")).withColumn(
+        "repeat", F.col("repeat") + 1)
+
+
+def _copies(df: DataFrame, key: str, repeats: int, sizes: Sequence[float], test_size: float, seed: int) -> DataFrame:
     copies = df.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
 
     def cuts(n: Column) -> list[Column]:

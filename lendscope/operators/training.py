@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lendscope.functions.expressions import decision
 from lendscope.operators.boosting import BoostedTrees, HistogramBoosting
 from lendscope.operators.metrics import classification_summary, confusion, pick_threshold, rates, score_curve
-from lendscope.operators.splits import folds, repeated_shuffles
+from lendscope.operators.splits import folds, shuffle_parts
 from lendscope.operators.wide import filled_slots
 from lendscope.sources.workspace import settle
 
@@ -237,11 +237,11 @@ def learning_curve(
 
     Predictions use the plain one-half rule. Every size and repeat needs its own fit.
     """
-    tagged = repeated_shuffles(train, key, repeats, sizes, test_size).persist(StorageLevel.MEMORY_AND_DISK)
+    tagged = shuffle_parts(train, key, repeats, sizes, test_size).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     for r in range(1, repeats + 1):
         for i in range(1, len(sizes) + 1):
-            used = tagged.where((F.col("repeat") == r) & (F.col("part") <= i))
+            used = tagged.withColumn("part", F.get("parts", F.lit(r - 1))).where(F.col("part") <= i)
             started = time.time()
             model = fit_classifier(spec, used.where("part > 0"), label, features)
             fit_time = time.time() - started
@@ -279,8 +279,9 @@ def rule_learning_curve(
 ) -> DataFrame:
     """Recall of a rule model on growing parts; one grouped pass over all repeats and sizes."""
     slim = scored.select(key, label, "pred")
-    tagged = repeated_shuffles(slim, key, repeats, sizes, test_size)
-    cells = tagged.groupBy("repeat", "part").agg(
+    tagged = shuffle_parts(slim, key, repeats, sizes, test_size)
+    each = tagged.select(label, "pred", F.posexplode("parts").alias("repeat", "part"))  # three small numbers, folded before the shuffle
+    cells = each.groupBy("repeat", "part").agg(
         F.count_if((F.col("pred") == 1) & (F.col(label) == 1)).alias("tp"),
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count(F.lit(1)).alias("rows"),

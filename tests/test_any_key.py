@@ -61,4 +61,4 @@ def test_every_model_type_fits_and_refuses_unknown_parameters(spark, kind, extra
 def test_defaults_follow_the_type():
     depth = lambda kind, **p: training.make_estimator({"type": kind, "params": p}, "event", 1.0).getMaxDepth()
     assert depth("gradient_boosting") == 3 and depth("decision_tree") == 30 and depth("gradient_boosting", max_depth=None) == 30
-    assert training.make_estimator({"type": "hist_gradient_boosting"}, "event", 1.0).getMinInstancesPerNode() == 20
+    assert training.make_estimator({"type": "hist_gradient_boosting"}, "event", 1.0).min_samples_leaf == 20
