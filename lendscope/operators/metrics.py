@@ -142,15 +142,15 @@ def pr_points(curve: DataFrame) -> DataFrame:
     return table.unionByName(last)
 
 
-def pick_threshold(curve: DataFrame, strategy: str = "f1", min_precision: float = 0.05) -> DataFrame:
-    """One row ``threshold``; equal candidates resolve to the lowest.
+def pick_threshold(curve: DataFrame, strategy: str = "f1", min_precision: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., threshold)``, one row per group; equal candidates resolve to the lowest.
 
     ``f1``: best F1. ``recall``: best recall among thresholds with enough precision, else the event
     rate. Both are kept within fixed limits. ``prior``: the event rate, unlimited.
     """
     prior = F.expr("sum(pos) / CAST(sum(pos + neg) AS DOUBLE)")
     if strategy == "prior":
-        return curve.agg(prior.alias("threshold"))
+        return curve.groupBy(*by).agg(prior.alias("threshold"))
     if strategy not in ("f1", "recall"):
         raise ValueError(f"unknown strategy {strategy!r}; known: f1, recall, prior")
     # The same quotients as in the threshold table, so that near-equal candidates rank alike.
@@ -162,10 +162,10 @@ def pick_threshold(curve: DataFrame, strategy: str = "f1", min_precision: float
     else:
         rank, valid = recall, precision >= F.lit(float(min_precision))
     best = F.max(F.when(valid, F.struct(rank.alias("rank"), (-F.col("score")).alias("low"))))
-    picked = curve.agg(best.alias("best"), prior.alias("prior"))
+    picked = curve.groupBy(*by).agg(best.alias("best"), prior.alias("prior"))
     threshold = F.coalesce(-F.col("best")["low"], F.col("prior"))
     limited = F.least(F.greatest(threshold, F.lit(K.THRESHOLD_FLOOR)), F.lit(K.THRESHOLD_CEILING))
-    return picked.select(limited.alias("threshold"))
+    return picked.select(*by, limited.alias("threshold"))
 
 
 def nearest_threshold(curve: DataFrame, current: float) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -17,7 +19,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendscope.functions.expressions import decision
@@ -29,6 +31,14 @@ from lendscope.sources.workspace import settle
 
 FEATURES, WEIGHT = "_features", "_weight"
 CV_METRICS = ("accuracy", "f1", "precision", "recall", "roc_auc")
+#: Independent fits whose jobs run side by side.
+FITS_AT_ONCE = 4
+CURVE_METRICS = {
+    "accuracy": lambda tn, fp, fn, tp: (tp + tn) / max(tn + fp + fn + tp, 1),
+    "precision": lambda tn, fp, fn, tp: tp / max(tp + fp, 1),
+    "recall": lambda tn, fp, fn, tp: tp / max(tp + fn, 1),
+    "f1": lambda tn, fp, fn, tp: 2 * tp / max(2 * tp + fp + fn, 1),
+}
 
 # The model catalogue used when none is given.
 DEFAULT_MODELS = [
@@ -145,27 +155,63 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="error").transform(df)
 
 
+def fit_assembled(spec: Mapping, rows: DataFrame, label: str, n0: int, n1: int) -> Model | BoostedTrees:
+    """Fit on rows that hold the feature vector and the label, ``n0`` and ``n1`` of them in the two classes."""
+    w0, w1 = class_weights(spec, n0, n1)
+    return make_estimator(spec, label, n0 * w0 + n1 * w1).fit(rows.withColumn(WEIGHT, F.when(F.col(label) == 1, w1).otherwise(w0)))
+
+
 def fit_classifier(
     spec: Mapping, train: DataFrame, label: str, features: Sequence[str], partitions: int | None = None
-) -> Model:
+) -> Model | BoostedTrees:
     """Fit on assembled, weighted rows. The input is kept for the iterations, then released.
 
     Every iteration is a job over all partitions. ``partitions`` gathers the rows in so many; bagging and
     subsampling draw by partition, so a fit is repeated exactly only over the same partitions.
     """
     n0, n1 = class_counts(train, label)
-    w0, w1 = class_weights(spec, n0, n1)
-    ready = assemble(train, features).select(
-        FEATURES, F.col(label).cast("double").alias(label),
-        F.when(F.col(label) == 1, w1).otherwise(w0).alias(WEIGHT),
-    )
+    ready = assemble(train, features).select(FEATURES, F.col(label).cast("double").alias(label))
     ready = (ready.coalesce(partitions) if partitions else ready).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return make_estimator(spec, label, n0 * w0 + n1 * w1).fit(ready)
+        return fit_assembled(spec, ready, label, n0, n1)
     finally:
         ready.unpersist()
 
 
+def together(work: Callable, items: Sequence, at_once: int = FITS_AT_ONCE) -> list:
+    """``work`` of every item, at most ``at_once`` at a time: the jobs of independent fits fill each other's gaps."""
+    with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(work), items))
+
+
+@dataclass
+class FoldMatrix:
+    """The assembled training rows with their fold, kept once for all models and folds."""
+
+    rows: DataFrame
+    label: str
+    k: int
+    counts: dict[tuple[int, int], int]
+
+    def classes(self, without: int | None = None) -> tuple[int, int]:
+        """Rows of the two classes outside one fold."""
+        n0, n1 = (sum(n for (fold, c), n in self.counts.items() if c == of and fold != without) for of in (0, 1))
+        return n0, n1
+
+    def release(self) -> None:
+        self.rows.unpersist()
+
+
+def fold_matrix(
+    train: DataFrame, label: str, features: Sequence[str], key: str, k: int = 5, partitions: int | None = None
+) -> FoldMatrix:
+    """Class-wise folds over the assembled rows, persisted; ``partitions`` as in ``fit_classifier``."""
+    tagged = assemble(folds(train, key, k, [label]), features).select(FEATURES, F.col(label).cast("double").alias(label), "fold")
+    rows = (tagged.coalesce(partitions) if partitions else tagged).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = {(r["fold"], int(r[label])): r["count"] for r in rows.where(F.col(label).isNotNull()).groupBy("fold", label).count().collect()}
+    return FoldMatrix(rows, label, k, counts)
+
+
 def add_probability(model: Model, df: DataFrame, features: Sequence[str], out: str = "score") -> DataFrame:
     scored = model.transform(assemble(df, features))
     return scored.select(*df.columns, vector_to_array("probability")[1].alias(out))
@@ -178,11 +224,11 @@ def choose_threshold(scored: DataFrame, label: str, strategy: str, min_precision
 
 def train_model(
     spec: Mapping, train: DataFrame, test: DataFrame, label: str, features: Sequence[str],
-    strategy: str = "f1", min_precision: float = 0.05,
+    strategy: str = "f1", min_precision: float = 0.05, matrix: FoldMatrix | None = None,
 ) -> Fitted:
-    """Fit, calibrate the threshold on train alone, and measure both splits."""
+    """Fit, calibrate the threshold on train alone, and measure both splits. ``matrix`` holds the training rows where they are assembled already."""
     started = time.time()
-    model = fit_classifier(spec, train, label, features)
+    model = fit_assembled(spec, matrix.rows, label, *matrix.classes()) if matrix else fit_classifier(spec, train, label, features)
     fit_time = round(time.time() - started, 2)
     parts = [
         add_probability(model, part, features).select(F.lit(name).alias("split"), label, "score")
@@ -204,23 +250,34 @@ def train_model(
 
 def cross_validate(
     spec: Mapping, train: DataFrame, label: str, features: Sequence[str], key: str, k: int = 5,
-    strategy: str = "f1", min_precision: float = 0.05,
+    strategy: str = "f1", min_precision: float = 0.05, matrix: FoldMatrix | None = None, at_once: int = FITS_AT_ONCE,
 ) -> DataFrame:
     """``(model, fold, accuracy, f1, precision, recall, roc_auc)``: class-wise folds, each with the
-    threshold calibrated on its own training rows."""
-    tagged = folds(train, key, k, [label]).persist(StorageLevel.MEMORY_AND_DISK)
-    parts = None
-    for i in range(k):
-        fit_rows = tagged.where(F.col("fold") != i)
-        model = fit_classifier(spec, fit_rows, label, features)
-        scored = add_probability(model, tagged, features).select("fold", label, "score")
-        threshold = choose_threshold(scored.where(F.col("fold") != i), label, strategy, min_precision)
-        held = scored.where(F.col("fold") == i).withColumn("pred", decision(F.col("score"), threshold))
-        parts = held if parts is None else parts.unionByName(held)
-    result = classification_summary(parts, "score", "pred", label, ["fold"])
-    result = settle(result.select(F.lit(spec.get("name", spec["type"])).alias("model"), "fold", *CV_METRICS))
-    tagged.unpersist()
-    return result
+    threshold calibrated on its own training rows.
+
+    All folds are fitted on one assembled matrix (``matrix``, where several models share it), ``at_once`` at a time. One pass then
+    scores every row by every fold's model, and curves, thresholds and metrics are grouped by fit.
+    """
+    own = matrix or fold_matrix(train, label, features, key, k)
+    models = together(lambda i: fit_assembled(spec, own.rows.where(F.col("fold") != i), label, *own.classes(i)), range(own.k), at_once)
+    scored = own.rows.withColumn("_scores", F.array().cast("array<double>"))
+    for model in models:
+        scored = model.transform(scored).select(
+            FEATURES, label, "fold", F.concat("_scores", F.array(vector_to_array("probability")[1])).alias("_scores"))
+    scored = scored.select(label, "fold", "_scores").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = scored.select(label, "fold", F.posexplode("_scores").alias("fit", "score")).where(F.col("fold") != F.col("fit"))
+        picked = pick_threshold(score_curve(fitted, "score", label, ["fit"]), strategy, min_precision, ["fit"])
+        cuts = {r["fit"]: float(r["threshold"]) for r in picked.collect()}
+        limits = F.array(*[F.lit(cuts.get(i)).cast("double") for i in range(own.k)])
+        held = scored.select(label, "fold", F.get("_scores", F.col("fold").cast("int")).alias("score"), F.get(limits, F.col("fold").cast("int")).alias("cut"))
+        held = held.withColumn("pred", (F.col("score") >= F.col("cut")).cast("int"))
+        result = classification_summary(held, "score", "pred", label, ["fold"])
+        return settle(result.select(F.lit(spec.get("name", spec["type"])).alias("model"), "fold", *CV_METRICS))
+    finally:
+        scored.unpersist()
+        if matrix is None:
+            own.release()
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:
@@ -231,27 +288,42 @@ def cv_summary(scores: DataFrame) -> DataFrame:
 
 def learning_curve(
     spec: Mapping, train: DataFrame, label: str, features: Sequence[str], key: str, repeats: int = 30,
-    sizes: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0), test_size: float = 0.2,
+    sizes: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0), test_size: float = 0.2, metric: str = "recall",
+    partitions: int | None = None, at_once: int = FITS_AT_ONCE,
 ) -> DataFrame:
-    """Recall on growing training parts and on the held-out part, with spread and fit time.
+    """``metric`` on growing training parts and on the held-out part, with spread and fit time.
 
-    Predictions use the plain one-half rule. Every size and repeat needs its own fit.
+    Predictions use the plain one-half rule. Every size and repeat needs its own fit; all take their rows from one
+    assembled matrix, by the row's part in that repeat. ``metric`` is accuracy, precision, recall or f1. A part without an event cannot be
+    fitted and counts 0.
     """
-    tagged = shuffle_parts(train, key, repeats, sizes, test_size).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    for r in range(1, repeats + 1):
-        for i in range(1, len(sizes) + 1):
-            used = tagged.withColumn("part", F.get("parts", F.lit(r - 1))).where(F.col("part") <= i)
-            started = time.time()
-            model = fit_classifier(spec, used.where("part > 0"), label, features)
-            fit_time = time.time() - started
-            scored = add_probability(model, used, features).withColumn("pred", decision(F.col("score"), 0.5))
-            recall = lambda of: F.count_if(of & (F.col("pred") == 1) & (F.col(label) == 1)) / F.greatest(
-                F.count_if(of & (F.col(label) == 1)), F.lit(1))
-            got = scored.agg(recall(F.col("part") > 0).alias("train"), recall(F.col("part") == 0).alias("test")).first()
-            rows.append((i, got["train"], got["test"], fit_time))
-    tagged.unpersist()
-    table = train.sparkSession.createDataFrame(rows, "size int, train double, test double, fit_time double")
+    if metric not in CURVE_METRICS:
+        raise ValueError(f"unknown metric {metric!r}; known: {sorted(CURVE_METRICS)}")
+    parts = shuffle_parts(train, key, repeats, sizes, test_size)
+    rows = assemble(parts, features).select(FEATURES, F.col(label).cast("double").alias(label), "parts")
+    rows = (rows.coalesce(partitions) if partitions else rows).persist(StorageLevel.MEMORY_AND_DISK)
+    cells = rows.where(F.col(label).isNotNull()).select(label, F.posexplode("parts").alias("r", "part")).groupBy("r", "part", label).count()
+    counts = {(c["r"], c["part"], int(c[label])): c["count"] for c in cells.collect()}
+
+    def one(fit: tuple[int, int]) -> tuple:
+        r, size = fit
+        used = rows.withColumn("part", F.get("parts", F.lit(r))).where(F.col("part") <= size)
+        n0, n1 = (sum(counts.get((r, p, c), 0) for p in range(1, size + 1)) for c in (0, 1))
+        if not n0 or not n1:
+            return size, 0.0, 0.0, 0.0
+        started = time.time()
+        model = fit_assembled(spec, used.where("part > 0"), label, n0, n1)
+        fit_time = time.time() - started
+        judged = model.transform(used).select(label, (F.col("part") > 0).alias("known"), (vector_to_array("probability")[1] >= 0.5).cast("int").alias("pred"))
+        found = {c["known"]: c for c in confusion(judged, "pred", label, ["known"]).collect()}
+        return size, *(CURVE_METRICS[metric](*(found[side][c] for c in ("tn", "fp", "fn", "tp"))) if side in found else 0.0
+                       for side in (True, False)), fit_time
+
+    try:
+        measured = together(one, [(r, i) for r in range(repeats) for i in range(1, len(sizes) + 1)], at_once)
+    finally:
+        rows.unpersist()
+    table = train.sparkSession.createDataFrame(measured, "size int, train double, test double, fit_time double")
     return table.groupBy("size").agg(*[
         agg(c).alias(f"{c}_{n}") for c in ("train", "test", "fit_time")
         for n, agg in (("mean", F.avg), ("std", F.stddev_pop))
@@ -364,20 +436,18 @@ def model_record(
 def train_catalogue(
     specs: Sequence[Mapping] | None, train: DataFrame, test: DataFrame, label: str, features: Sequence[str],
     key: str, k: int = 5, strategy: str = "f1", min_precision: float = 0.05,
-    weights: Mapping[str, float] | None = None,
+    weights: Mapping[str, float] | None = None, partitions: int | None = None,
 ) -> dict:
-    """Fit and cross-validate every entry and choose the best one."""
+    """Fit and cross-validate every entry on one matrix and choose the best one."""
     specs = list(specs or DEFAULT_MODELS)
-    fitted = {s.get("name", s["type"]): train_model(s, train, test, label, features, strategy, min_precision)
-              for s in specs}
-    cv = None
-    for s in specs:
-        one = cross_validate(s, train, label, features, key, k, strategy, min_precision)
-        cv = one if cv is None else cv.unionByName(one)
-    summary = None
-    for f in fitted.values():
-        summary = f.summary if summary is None else summary.unionByName(f.summary)
-    means = cv_summary(cv)
+    matrix = fold_matrix(train, label, features, key, k, partitions)
+    try:
+        fitted = {s.get("name", s["type"]): train_model(s, train, test, label, features, strategy, min_precision, matrix) for s in specs}
+        folded = [cross_validate(s, train, label, features, key, k, strategy, min_precision, matrix) for s in specs]
+    finally:
+        matrix.release()
+    means = cv_summary(reduce(DataFrame.unionByName, folded))
+    summary = reduce(DataFrame.unionByName, [f.summary for f in fitted.values()])
     scores = selection_scores(summary, means, weights)
     name = best_model(scores, list(fitted)).first()["model"]
     return {"fitted": fitted, "summary": summary, "cv": means, "scores": scores, "best": fitted[name]}
