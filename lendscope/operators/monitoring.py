@@ -181,6 +181,23 @@ def drift_summary(report: DataFrame, score_psi: float, alert_at: float = K.PSI_M
     ).withColumns({"psi_score": F.lit(float(score_psi)), "status": overall})
 
 
+def monitoring_summary(
+    report: DataFrame, score_psi: float, reference: DataFrame, production: DataFrame, use_case: str, event: str, model: str,
+    alert_at: float = K.PSI_MONITOR_BELOW,
+) -> DataFrame:
+    """The stored record of one monitoring run: what was compared, how many rows on each side, the score's index with its
+    threshold, columns per status, and the overall status."""
+    rows = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
+    found = drift_summary(report, score_psi, alert_at).withColumns({
+        "use_case": F.lit(use_case), "event_col": F.lit(event), "model_name": F.lit(model), "psi_threshold": F.lit(float(alert_at))})
+    # Three tables of one row each.
+    one = F.lit(1)
+    joined = found.withColumn("_one", one).join(rows(reference, "n_reference").withColumn("_one", one), "_one").join(
+        rows(production, "n_production").withColumn("_one", one), "_one")
+    return joined.select("use_case", "event_col", "model_name", "psi_score", "psi_threshold", "n_drift", "n_monitor", "n_stable",
+                         "n_reference", "n_production", "status")
+
+
 def enough_rows(df: DataFrame, minimum: int = K.MONITOR_MIN_ROWS) -> bool:
     """Whether there are enough production rows; only that many are looked at."""
     found = df.limit(minimum).count()

@@ -158,6 +158,43 @@ def threshold_recall(spark, sf_dir):
     return metrics.pick_threshold(_curve(spark, sf_dir), "recall", 0.2)
 
 
+# The same over a score of full precision: nothing is rounded and no number of distinct values is assumed.
+RAW_SCORE = "installment / (principal + inquiries + 1e0)"
+RAW = f", raw AS (SELECT *, {RAW_SCORE} AS raw FROM lv), {curve_ctes('raw', 'raw')}"
+RAW_PR = PR.replace(CV, RAW)
+
+
+def _raw_curve(spark, sf_dir):
+    rows = L.loans(spark, sf_dir).withColumn("raw", F.expr(RAW_SCORE.replace("1e0", "1D")))
+    return metrics.score_curve(rows, "raw", L.EVENT)
+
+
+@query("roc_points_exact", on_loans(f"""{RAW}
+SELECT round(score, 9) AS threshold, round(fp / n, 9) AS fpr, round(tp / p, 9) AS tpr FROM cv
+UNION ALL SELECT NULL, 0e0, 0e0"""), digits=9)
+def roc_points_exact(spark, sf_dir):
+    return metrics.roc_points(_raw_curve(spark, sf_dir))
+
+
+@query("pr_points_exact", on_loans(f"""{RAW_PR}
+SELECT round(threshold, 9) AS threshold, round(precision, 9) AS precision, round(recall, 9) AS recall FROM tt
+UNION ALL SELECT NULL, 1e0, 0e0"""), digits=9)
+def pr_points_exact(spark, sf_dir):
+    return metrics.pr_points(_raw_curve(spark, sf_dir))
+
+
+@query("threshold_table_exact", on_loans(f"""{RAW_PR}
+SELECT round(threshold, 9) AS threshold, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM tt"""), digits=9)
+def threshold_table_exact(spark, sf_dir):
+    return metrics.threshold_table(_raw_curve(spark, sf_dir))
+
+
+@query("threshold_f1_exact", on_loans(f"""{RAW_PR}
+SELECT round(least(greatest(threshold, 0.01), 0.95), 9) AS threshold FROM tt ORDER BY f1 DESC, tt.threshold LIMIT 1"""), digits=9)
+def threshold_f1_exact(spark, sf_dir):
+    return metrics.pick_threshold(_raw_curve(spark, sf_dir), "f1")
+
+
 @query("threshold_prior", on_loans(" SELECT round(avg(event), 6) AS threshold FROM lv"))
 def threshold_prior(spark, sf_dir):
     return metrics.pick_threshold(_curve(spark, sf_dir), "prior")

@@ -70,6 +70,38 @@ def drift_histograms(spark, sf_dir):
     return monitoring.drift_histograms(*_sides(spark, sf_dir), ["principal", "bureau_score"])
 
 
+DATED_COLUMNS = [*DRIFT_COLUMNS, "days"]
+DATED = ", ".join(f"{t} AS (SELECT *, date_diff('day', DATE '1990-01-01', CAST(disbursed_at AS DATE)) AS days FROM {t[:-2]})" for t in ("train_d", "test_d"))
+
+
+@query("drift_histograms_chosen", on_split(f", {DATED}" + _psi_sql(DATED_COLUMNS).replace("FROM train ", "FROM train_d ").replace("FROM test ", "FROM test_d ") + """
+, chosen AS (SELECT name FROM st WHERE status <> 'Estable' ORDER BY psi DESC, name LIMIT 6)
+, every AS (""" + union_all(
+    "SELECT 'reference' AS side, '{c}' AS name, CAST({c} AS DOUBLE) AS value FROM train_d WHERE {c} IS NOT NULL "
+    "UNION ALL SELECT 'production', '{c}', CAST({c} AS DOUBLE) FROM test_d WHERE {c} IS NOT NULL", DATED_COLUMNS)
+    + f") , long AS (SELECT every.* FROM every JOIN chosen USING (name)) {histogram_sql('side, name', 25)} SELECT * FROM out"), digits=4)
+def drift_histograms_chosen(spark, sf_dir):
+    """Histograms of the columns that the drift report itself singles out, worst first; the date always drifts over a split by time."""
+    days = F.datediff(F.col(L.DATE).cast("date"), F.lit("1990-01-01").cast("date"))
+    sides = [side.withColumn("days", days) for side in _sides(spark, sf_dir)]
+    chosen = monitoring.drifting_columns(monitoring.psi_report(*sides, DATED_COLUMNS))
+    return monitoring.drift_histograms(*sides, chosen)
+
+
+@query("monitoring_summary", on_split(_psi_sql(DRIFT_COLUMNS) + """
+SELECT 'loans' AS use_case, 'event' AS event_col, 'rules' AS model_name, max(psi) FILTER (name = 'score') AS psi_score, 0.2e0 AS psi_threshold,
+       count(*) FILTER (status = 'Drift') AS n_drift, count(*) FILTER (status = 'Monitorear') AS n_monitor,
+       count(*) FILTER (status = 'Estable') AS n_stable,
+       (SELECT count(*) FROM train) AS n_reference, (SELECT count(*) FROM test) AS n_production,
+       CASE WHEN max(psi) FILTER (name = 'score') > 0.2 THEN 'ALERTA'
+            WHEN max(psi) FILTER (name = 'score') > 0.1 THEN 'Monitorear' ELSE 'Estable' END AS status FROM st"""))
+def monitoring_summary(spark, sf_dir):
+    sides = _sides(spark, sf_dir)
+    report = monitoring.psi_report(*sides, DRIFT_COLUMNS)
+    score = report.where("name = 'score'").first()["psi"]
+    return monitoring.monitoring_summary(report, score, *sides, "loans", L.EVENT, "rules")
+
+
 @query("score_summary", on_split(", b AS (SELECT 'reference' AS side, score FROM train "
                                  "UNION ALL SELECT 'production', score FROM test) "
                                  "SELECT side, round(avg(score), 6) AS mean, "
