@@ -37,7 +37,8 @@ def column_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row in every column; nulls equal each other."""
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies"))
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # whatever the columns are called
+    copies = plain.groupBy(*plain.columns).agg(F.count(F.lit(1)).alias("copies"))
     return copies.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("n_rows"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates"),
@@ -113,6 +114,18 @@ def category_frequencies(df: DataFrame, column: str) -> DataFrame:
         F.col("n").desc(), "value")
 
 
+def _texts(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``(keep..., name, value)`` with one row per present value, as text."""
+    texts = df.select(*keep, *[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
+    return texts.unpivot(list(keep), list(columns), "name", "value").where(F.col("value").isNotNull())
+
+
+def frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``category_frequencies`` of many columns in one pass, most frequent first within each."""
+    counts = _texts(df, columns).groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy("name", F.col("n").desc(), "value")
+
+
 def _ranges(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     long = unpivot_numbers(df, columns, by)
     ranges = long.groupBy(*by, "name").agg(
@@ -258,6 +271,14 @@ def rate_by_category(df: DataFrame, column: str, event: str) -> DataFrame:
     ).orderBy(F.col("event_pct").desc(), "value")
 
 
+def rates_by_category(df: DataFrame, columns: Sequence[str], event: str) -> DataFrame:
+    """``rate_by_category`` of many columns in one pass, highest rate first within each."""
+    rows = _texts(df.withColumn("_event", F.col(f"`{event}`")), columns, ["_event"])
+    return rows.groupBy("name", "value").agg(
+        F.count(F.lit(1)).alias("n"), (F.avg("_event") * 100).alias("event_pct")
+    ).orderBy("name", F.col("event_pct").desc(), "value")
+
+
 def quantile_edges(df: DataFrame, columns: Sequence[str], parts: int = 10) -> dict[str, list[float]]:
     """Distinct quantile edges per column; equal edges merge."""
     found = collected_quantiles(df, columns, even_probs(parts))

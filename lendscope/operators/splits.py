@@ -40,6 +40,8 @@ def hash_slices(
     by a comparison. Columns beside the key are read only where a key is missing, or repeats at a cut.
     """
     by = list(by)
+    if out in df.columns:
+        raise ValueError(f"the table has a column {out!r} already")
     missing = has_missing(df, key)
     tagged = df.withColumn("_hash", key_hash(order_number(df, key, missing), seed))
     counts = tagged.groupBy(*by, "_hash").agg(F.count(F.lit(1)).alias("rows"))
@@ -143,6 +145,8 @@ def shuffle_parts(
     with them. Keys that share the hash at a cut are told apart by the key; where keys are missing, or repeat at a cut, whole rows
     must be, and the copies of ``hash_slices`` do that.
     """
+    if out in df.columns:
+        raise ValueError(f"the table has a column {out!r} already")
     total = df.count()
     cuts = sorted({c for c in shuffle_cuts(total, sizes, test_size) if c > 0})
     if has_missing(df, key):

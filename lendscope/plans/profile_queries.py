@@ -199,6 +199,31 @@ def rate_by_category(spark, sf_dir):
     return profile.rate_by_category(L.loans(spark, sf_dir), "credit_type", L.EVENT)
 
 
+ALL_CATEGORIES = [*L.CATEGORIES, "income_trend"]
+_CELLS = ", cells AS (" + union_all("SELECT '{c}' AS name, CAST({c} AS VARCHAR) AS value, event FROM lv WHERE {c} IS NOT NULL", ALL_CATEGORIES) + ")"
+
+
+@query("category_frequencies_all", on_loans(_CELLS + " SELECT name, value, count(*) AS n FROM cells GROUP BY 1, 2"))
+def category_frequencies_all(spark, sf_dir):
+    return profile.frequencies(L.loans(spark, sf_dir), ALL_CATEGORIES)
+
+
+@query("rate_by_category_all", on_loans(
+    _CELLS + " SELECT name, value, count(*) AS n, round(100e0 * avg(event), 6) AS event_pct FROM cells GROUP BY 1, 2"))
+def rate_by_category_all(spark, sf_dir):
+    return profile.rates_by_category(L.loans(spark, sf_dir), ALL_CATEGORIES, L.EVENT)
+
+
+@query("histogram_by_class_all", on_loans(
+    ", long AS (" + union_all("SELECT event, '{c}' AS name, CAST({c} AS DOUBLE) AS value FROM lv WHERE {c} IS NOT NULL", L.NUMBERS) + ")"
+    f" {histogram_sql('event, name', 40)} SELECT * REPLACE (CAST(event AS BIGINT) AS event, round(bin_lo, 2) AS bin_lo, "
+    "round(bin_hi, 2) AS bin_hi) FROM out"), digits=4)
+def histogram_by_class_all(spark, sf_dir):
+    """Limits with two digits: with four, some limits of wide columns lie halfway between two texts."""
+    found = profile.histogram(L.loans(spark, sf_dir), L.NUMBERS, 40, [L.EVENT])
+    return found.withColumns({c: F.round(F.round(c, 4), 2) for c in ("bin_lo", "bin_hi")})
+
+
 EDGES = f"""
 , eg AS (SELECT name, list_sort(list_distinct(quantile_cont(value, {prob_list(10)}))) AS edges FROM long GROUP BY name)
 , bn AS (SELECT long.name, event, edges, {bin_sql('value', 'edges')} AS bin FROM long JOIN eg USING (name))"""

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lendscope.operators import association, profile
+from lendscope.operators import association, profile, splits
 
 
 @pytest.fixture(scope="module")
@@ -157,3 +157,14 @@ def test_weight_of_evidence_matches_pandas(df, data):
     assert bins[bins["name"] == "x"]["iv_bin"].sum() == pytest.approx(iv)
     ranked = association.iv_ranking(association.woe_bins(df, ["x"], "event", ["c"])).collect()
     assert ranked[0]["name"] == "x" and ranked[0]["iv"] == pytest.approx(iv)
+
+
+def test_names_that_clash(spark):
+    """Columns may be called like the operators' own; a name that is to be added must be free."""
+    df = spark.createDataFrame([(1, "x", 2), (1, "x", 2), (2, None, 3)], "copies int, name string, value int")
+    assert tuple(profile.duplicate_rows(df).first()) == (3, 1)
+    assert [tuple(r) for r in profile.frequencies(df, ["name", "value"]).collect()] == [("name", "x", 2), ("value", "2", 2), ("value", "3", 1)]
+    rates = profile.rates_by_category(df.withColumn("n", df["copies"] - 1), ["value"], "n").collect()
+    assert [tuple(r) for r in rates] == [("value", "3", 1, 100.0), ("value", "2", 2, 0.0)]
+    with pytest.raises(ValueError, match="already"):
+        splits.folds(df.withColumn("fold", df["copies"]), "copies", 2)
