@@ -216,12 +216,10 @@ def rate_by_category_all(spark, sf_dir):
 
 @query("histogram_by_class_all", on_loans(
     ", long AS (" + union_all("SELECT event, '{c}' AS name, CAST({c} AS DOUBLE) AS value FROM lv WHERE {c} IS NOT NULL", L.NUMBERS) + ")"
-    f" {histogram_sql('event, name', 40)} SELECT * REPLACE (CAST(event AS BIGINT) AS event, round(bin_lo, 2) AS bin_lo, "
-    "round(bin_hi, 2) AS bin_hi) FROM out"), digits=4)
+    f" {histogram_sql('event, name', 40)} SELECT name, CAST(event AS BIGINT) AS event, bin, n, density FROM out"), digits=4)
 def histogram_by_class_all(spark, sf_dir):
-    """Limits with two digits: with four, some limits of wide columns lie halfway between two texts."""
-    found = profile.histogram(L.loans(spark, sf_dir), L.NUMBERS, 40, [L.EVENT])
-    return found.withColumns({c: F.round(F.round(c, 4), 2) for c in ("bin_lo", "bin_hi")})
+    """Counts and densities; limits are compared in ``histogram`` and ``histogram_by_class``."""
+    return profile.histogram(L.loans(spark, sf_dir), L.NUMBERS, 40, [L.EVENT]).select("name", L.EVENT, "bin", "n", "density")
 
 
 EDGES = f"""
