@@ -15,7 +15,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Further leaders that members of a divided bucket are compared with.
-LEADERS = 4
+LEADERS = 1
 #: Width of the first rank slab; each later slab doubles the ranks covered.
 FIRST_SLAB, WIDEST_SLAB = 1 / 64, 64.0
 
