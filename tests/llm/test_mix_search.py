@@ -68,32 +68,45 @@ def test_mix_without_words(spark):
 
 
 def brute_top(rows, every, k):
-    best = {}
+    known = []
     for i, x in rows:
         if i is None or x is None or any(v is None or not math.isfinite(v) for v in x):
             continue
-        v = [math.floor(1024 * float(np.float32(c))) for c in x]
-        best[i] = min(best[i], v) if i in best else v
+        known.append((i, [math.floor(1024 * float(np.float32(c))) for c in x]))
     found = []
-    for q in best:
+    for at, (q, own) in enumerate(known):
         if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(best[q], best[c])), c) for c in best if c != q and len(best[c]) == len(best[q]))
+            scored = sorted((-sum(a * b for a, b in zip(own, v)), c) for n, (c, v) in enumerate(known) if n != at and len(v) == len(own))
             found += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scored[:k])]
     return sorted(found, key=repr)
 
 
-@pytest.mark.parametrize("scale", [1.0, 3e5])
+@pytest.mark.parametrize("scale", [1.0, 3e5, 6e5])
 def test_top_k_with_ties_and_unusable_vectors(spark, scale):
     r = random.Random(9)
     rows = [(i, [r.choice([-1.0, -0.25, 0.0, 0.5]) * scale for _ in range(5)]) for i in range(-20, 300)]
     rows += [(301, None), (302, [1.0, None, 0.0, 0.0, 0.0]), (303, [float("nan")] * 5), (304, [float("inf")] * 5), (None, [1.0] * 5),
-             (305, [1.0, 2.0]), (400, [3.0, -1.0]), (500, []), (501, []), (7, [0.1] * 5), (7, [0.1] * 5), (0, [0.5 * scale] * 5)]
+             (305, [1.0, 2.0]), (400, [3.0, -1.0]), (500, []), (501, []), (7, [0.1] * 5), (7, [0.1] * 5), (0, [0.5 * scale] * 5), (3, [2 * scale] * 5), (10, [2 * scale] * 5)]
     vectors = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, lane int").repartition(5)
     for block, lane, batch in ((16, 2, 3), (1024, 32, 1024)):
         got = topk.top_k(vectors, every=10, k=6, block=block, lane=lane, batch=batch)
         assert collected(got, "query_id", "rank", "vec_id", "score") == brute_top(rows, 10, 6)
 
 
+def test_rows_with_one_id_are_candidates_of_each_other(spark):
+    vectors = spark.createDataFrame([(1, [5.0, 0.0]), (1, [2.0, 0.0]), (100, [1.0, 0.0]), (100, [3.0, 0.0])], "vec_id long, embedding array<float>")
+    one = 1024 * 1024
+    want = [(100, 1, 1, 5 * one), (100, 2, 100, 3 * one), (100, 3, 1, 2 * one), (100, 1, 1, 15 * one), (100, 2, 1, 6 * one), (100, 3, 100, 3 * one)]
+    assert collected(topk.top_k(vectors), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
+def test_numbers_beyond_64_bits_are_refused(spark):
+    for x in (1e300, 1e16):
+        vectors = spark.createDataFrame([(100, [x]), (2, [x])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="64 bits"):
+            topk.top_k(vectors).collect()
+
+
 def test_top_k_of_few_and_of_none(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(empty).count() == 0
@@ -106,13 +119,13 @@ def test_pruning_skips_blocks():
 
     def block(no, ids, matrix):
         m = np.array(matrix, np.int64)
-        return SimpleNamespace(no=no, n=len(ids), dims=m.shape[1], bytes_each=8, ids=np.array(ids, np.int64).tobytes(), data=m.tobytes())
+        return SimpleNamespace(no=no, n=len(ids), dims=m.shape[1], bytes_each=8, ids=np.array(ids, np.int64).tobytes(), rows=np.array(ids, np.int64).tobytes(), data=m.tobytes())
 
     index = [block(n, range(n * 50, n * 50 + 50), [[100 - 30 * n + k % 3, 1] for k in range(50)]) for n in range(4)]
     asked, seen, real = [block(0, [1000], [[5, 1]])], [], topk._best
     topk._best = lambda score, *rest: seen.append(score.shape[1]) or real(score, *rest)
     try:
-        query, vec, score = topk.search_lane(asked, index, 3)
+        _, query, vec, score = topk.search_lane(asked, index, 3)
     finally:
         topk._best = real
     assert len(seen) == 1 and vec.tolist() == [2, 5, 8] and score.tolist() == [511] * 3
