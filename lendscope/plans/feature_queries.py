@@ -12,7 +12,7 @@ from lendscope.operators import features, fitted, splits
 from lendscope.operators.wide import filled_slots
 from lendscope.plans import loans as L
 from lendscope.plans.registry import case_bucket, hash_sql, on_loans, on_split, query, union_all
-from lendscope.sources import ingest, readers, sinks
+from lendscope.sources import ingest, readers, sinks, versions
 from lendscope.sources.workspace import work_path
 
 LOAN_COLUMNS = ["loan_id", "disbursed_at", "credit_type", "employment", "age", "principal", "term_months",
@@ -50,11 +50,14 @@ def high_water(spark, sf_dir):
     return ingest.high_water(L.loans(spark, sf_dir), L.DATE)
 
 
-@query("raw_merge", on_loans(f"""
+RAW_MERGE = on_loans(f"""
 , arriving AS ({L.ARRIVALS})
 , once AS (SELECT loan_id, disbursed_at FROM arriving WHERE NOT again OR loan_id IS NULL)
 SELECT coalesce(strftime(disbursed_at, '%Y-%m'), 'unknown') AS month, count(*) AS n,
-       CAST(coalesce(sum(loan_id), 0) AS BIGINT) AS ids FROM once GROUP BY 1"""))
+       CAST(coalesce(sum(loan_id), 0) AS BIGINT) AS ids FROM once GROUP BY 1""")
+
+
+@query("raw_merge", RAW_MERGE)
 def raw_merge(spark, sf_dir):
     """First load up to a mid-month date, then an overlapping slice with an unpadded cut-off: nothing lost, nothing twice.
 
@@ -67,7 +70,24 @@ def raw_merge(spark, sf_dir):
     since = "1999-6-10"
     late = rows.where(ingest.incremental_filter(rows, since, L.DATE))
     sinks.merge_slice(late, path, L.DATE, since, unique_key=L.KEY)
-    stored = spark.read.parquet(path)
+    return _by_month(spark.read.parquet(path))
+
+
+@query("raw_merge_published", RAW_MERGE)
+def raw_merge_published(spark, sf_dir):
+    """The same two slices, each published as a whole, with rows of a run that failed before its publication between them."""
+    rows = L.arrivals(spark, sf_dir).drop("again")
+    root = work_path(spark, "published")
+    early = rows.where((F.col(L.DATE) < F.lit("1999-06-20").cast("timestamp_ntz")) | F.col(L.DATE).isNull())
+    sinks.merge_published(early, root, L.DATE, None, unique_key=L.KEY)
+    rows.write.parquet(f"{root}/{versions.new_folder()}/{sinks.MONTH}=1999-06")
+    since = "1999-6-10"
+    late = rows.where(ingest.incremental_filter(rows, since, L.DATE))
+    sinks.merge_published(late, root, L.DATE, since, unique_key=L.KEY)
+    return _by_month(sinks.read_published(spark, root, rows.schema))
+
+
+def _by_month(stored: DataFrame) -> DataFrame:
     return stored.groupBy(F.col(sinks.MONTH).cast("string").alias("month")).agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("loan_id"), F.lit(0)).alias("ids"))
 

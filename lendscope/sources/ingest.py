@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lendscope.functions import constants as K
 from lendscope.sources.readers import fetch, selected_columns
-from lendscope.sources.sinks import merge_slice, output_format, write_raw
+from lendscope.sources.sinks import merge_published, merge_slice, output_format, write_raw
 from lendscope.sources.workspace import ensure_checkpoint_dir
 
 log = logging.getLogger(__name__)
@@ -103,8 +103,9 @@ def ingest(spark: SparkSession, use_case: Mapping, since: str | None = None) ->
     """Fetch the new slice, check it, write it to the raw table and move the mark.
 
     ``use_case`` holds ``source``, ``ingestion`` (``select_columns``, ``expected_columns``,
-    ``incremental_key``, ``incremental_start``, ``lookback_days``, ``unique_key``, ``write_format``)
-    and ``paths`` (``raw_data``, ``state``). A source with ``dev_limit`` gives a sample: it is added to the raw
+    ``incremental_key``, ``incremental_start``, ``lookback_days``, ``unique_key``, ``write_format``, ``publish``)
+    and ``paths`` (``raw_data``, ``state``). With ``publish`` readers see each run as a whole or not at all, see
+    ``merge_published``; it needs a date as incremental key. A source with ``dev_limit`` gives a sample: it is added to the raw
     table, replaces nothing stored, and does not move the mark.
     """
     rules, paths, source = use_case["ingestion"], use_case["paths"], use_case["source"]
@@ -124,7 +125,12 @@ def ingest(spark: SparkSession, use_case: Mapping, since: str | None = None) ->
     unique = unique if unique in df.columns else None
     report = quality_gate(df, rules.get("expected_columns", ()), unique)
     fmt = output_format(rules, paths["raw_data"])
-    if key and df.schema[key].dataType.simpleString().startswith(("timestamp", "date")):
+    dated = bool(key) and df.schema[key].dataType.simpleString().startswith(("timestamp", "date"))
+    if rules.get("publish"):
+        if not dated or fmt != "parquet":
+            raise ValueError("'publish' needs a date as 'incremental_key' and Parquet as format")
+        merge_published(df, paths["raw_data"], key, first, unique, complete=not limited)
+    elif dated:
         merge_slice(df, paths["raw_data"], key, first, fmt, unique, complete=not limited)
     else:
         write_raw(df, paths["raw_data"], fmt, replace=not limited)
