@@ -12,7 +12,7 @@ from lendscope.operators import features, fitted, splits
 from lendscope.operators.wide import filled_slots
 from lendscope.plans import loans as L
 from lendscope.plans.registry import case_bucket, hash_sql, on_loans, on_split, query, union_all
-from lendscope.sources import ingest, readers, sinks, versions
+from lendscope.sources import arrow_files, ingest, readers, sinks, versions
 from lendscope.sources.workspace import work_path
 
 LOAN_COLUMNS = ["loan_id", "disbursed_at", "credit_type", "employment", "age", "principal", "term_months",
@@ -39,6 +39,17 @@ def quality_gate(spark, sf_dir):
     return ingest.quality_counts(spark.read.parquet(L.loans_path(spark, sf_dir)))
 
 
+@query("arrow_since", on_loans("""
+ SELECT loan_id, disbursed_at, employment FROM loans WHERE disbursed_at >= TIMESTAMP '1999-06-10'"""))
+def arrow_since(spark, sf_dir):
+    """All loans written as Arrow files; the incremental filter is applied by the source itself."""
+    path = work_path(spark, "arrow")
+    rows = L.loans(spark, sf_dir).select(L.KEY, L.DATE, "employment")
+    arrow_files.write_arrow(rows, path)
+    df = readers.open_source(spark, {"type": "arrow", "path": path, "schema": rows.schema})
+    return df.where(ingest.incremental_filter(df, "1999-6-10", L.DATE))
+
+
 @query("duplicate_keys", "SELECT count(*) - count(DISTINCT l_orderkey) AS duplicates FROM lineitem")
 def duplicate_keys(spark, sf_dir):
     return ingest.duplicate_keys(L.table(spark, sf_dir, "lineitem"), "l_orderkey")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lendscope.sources.arrow_files import read_arrow
+
 Reader = Callable[[SparkSession, Mapping], DataFrame]
 
 
@@ -45,7 +47,7 @@ def read_table(spark: SparkSession, options: Mapping) -> DataFrame:
     return spark.table(".".join(p for p in parts if p))
 
 
-_READERS: dict[str, Reader] = {"csv": read_csv, "parquet": read_parquet, "table": read_table}
+_READERS: dict[str, Reader] = {"csv": read_csv, "parquet": read_parquet, "table": read_table, "arrow": read_arrow}
 
 
 def register_source(kind: str, reader: Reader) -> None:
