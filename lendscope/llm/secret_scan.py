@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import clear_worker, saved, small_batches, thinned
+from lendscope.llm.common import clear_worker, saved, small_batches
 
 #: One kind of candidate: a run of at least LEAST characters of the alphabets that keys are written in.
 LEAST = 16
@@ -36,8 +36,10 @@ FRAME_END = "-----END "
 #: Words that name a credential, and words that name other long values.
 NAMES = frozenset("password passwd pwd pass secret token key apikey api auth credential credentials access bearer private".split())
 OTHERS = frozenset("example sample test dummy placeholder hash checksum digest commit sha md5 uuid id url http https path file".split())
-#: Bounds: documents read for the dictionary, findings of each label to learn from, dictionary words.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE, DICTIONARY = 4000, 20_000, 3000, 20_000
+#: Bounds: dictionary words, and words a task counts before it passes them on.
+DICTIONARY, CELLS = 20_000, 200_000
+#: Limits nothing any more; a test still sets it.
+SAMPLE_CHARS = 20_000
 FEATURES = ("length", "transitions", "digits", "uppers", "distinct", "hex", "coverage", "path_depth", "path_other",
             "path_hash", "before_name", "before_other", "assigned", "quoted", "after_other")
 #: Score of every candidate where only one label, or none, is there to learn from.
@@ -137,24 +139,31 @@ def candidates(docs: DataFrame, dictionary: frozenset[str], id_col: str = "doc_i
     return rows.mapInArrow(run, f"doc_id {kind}, begin long, end long, " + ", ".join(f"{f} double" for f in (*FEATURES, "label")))
 
 
-def sample_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> list[tuple[str, str]]:
-    """(text, path) of up to SAMPLE_DOCS documents with a candidate, in the order of a hash of the id."""
-    path = F.col(path_col).cast("string") if path_col else F.lit("")
-    shape = f"[A-Za-z0-9+/_-]{{{LEAST},}}|[=:][ \\t]*\\S{{{SHORT},}}"
-    known = (docs.filter((F.length(text_col) <= SAMPLE_CHARS) & F.col(text_col).rlike(shape))
-             .select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path")))
-    order = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    rows = thinned(known, "id", SAMPLE_DOCS).orderBy(order, "text").limit(SAMPLE_DOCS).select("text", "path").collect()
-    return [(r.text, r.path or "") for r in rows]
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(word, n)``: in how many of all rows each word of 3 to 8 letters stands. A task adds up before the shuffle, CELLS words at a time."""
+    def run(batches):
+        import pyarrow as pa
+
+        clear_worker()
+        seen: dict[str, int] = {}
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        for batch in batches:
+            for text in batch.column(0):
+                for w in {w for w in WORD.findall((text.as_py() or "").lower()) if 3 <= len(w) <= 8 and w.isalpha()}:
+                    seen[w] = seen.get(w, 0) + 1
+                if len(seen) >= CELLS:
+                    yield rows()
+                    seen.clear()
+        yield rows()
+
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long")
+    return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_list(texts: Sequence[tuple[str, str]], size: int = DICTIONARY) -> frozenset[str]:
-    """The words of 3 to 8 letters that stand in at least three of the sampled texts, most frequent first."""
-    seen: dict[str, int] = {}
-    for text, _ in texts:
-        for w in {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 8 and w.isalpha()}:
-            seen[w] = seen.get(w, 0) + 1
-    return frozenset(sorted((w for w, n in seen.items() if n >= 3), key=lambda w: (-seen[w], w))[:size])
+def word_list(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> frozenset[str]:
+    """The ``size`` words of 3 to 8 letters that stand in most documents, in three of all rows at least; ties by the word."""
+    counts = word_counts(docs, text_col).filter(F.col("n") >= 3)
+    return frozenset(r["word"] for r in counts.orderBy(F.col("n").desc(), "word").limit(size).collect())
 
 
 def framed(text: str) -> list[tuple[int, int]]:
@@ -188,19 +197,10 @@ def evidence(value: str, row: Sequence[float], before: Sequence[str], after: Seq
     return 0.0 if other or plain else -1.0
 
 
-def labelled_findings(found: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """FEATURES and ``label`` of up to ``sample`` candidates of each clear label (``evidence``), in the order of a hash, out of
-    the candidates of all documents. ``forest`` takes any other labelled table of the same columns."""
-    known = found.filter(F.col("label").isin(0.0, 1.0))
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    order = F.pmod(F.xxhash64("doc_id", "begin", *FEATURES), F.lit(1 << 40))
-    rows = []
-    for label, n in sorted(counts.items()):
-        share = min(1.0, 1.25 * sample / n)
-        some = known.filter((F.col("label") == label) & (order < int(share * (1 << 40)))).orderBy(order, *FEATURES)
-        rows += some.select(*FEATURES, "label").limit(sample).collect()
-    schema = ", ".join(f"{f} double" for f in (*FEATURES, "label"))
-    return found.sparkSession.createDataFrame([tuple(r) for r in rows], schema).coalesce(4)  # a bounded sample
+def labelled_findings(found: DataFrame) -> DataFrame:
+    """FEATURES and ``label`` of every candidate with a clear label (``evidence``) in all documents. ``forest`` takes any other
+    labelled table of the same columns."""
+    return found.filter(F.col("label").isin(0.0, 1.0)).select(*FEATURES, "label")
 
 
 def forest(findings: DataFrame, trees: int = 30, depth: int = 6, seed: int = 11):
@@ -224,15 +224,15 @@ def secret_scan(
     characters of key alphabets, and values of SHORT characters or more that are given to a credential's name or stand as a
     URL's password (``spans``); one without such a name, shorter than LEAST or broken by punctuation, is none.
 
-    Without ``findings`` the forest learns from a bounded number of candidates of each label, drawn from those of
-    all documents (``labelled_findings``); the scan itself covers every whole text. Where one label does not occur at all, nothing
+    Without ``findings`` the forest learns from every candidate with a clear label in all documents (``labelled_findings``), and
+    the dictionary counts the words of all texts; the scan covers every whole text. Where one label does not occur at all, nothing
     can be told apart and every candidate is returned with the score ``UNDECIDED``, whatever the threshold. The secret is
     not repeated in the result. Null and empty texts have no candidates, a null path is an empty one, repeated rows give repeated
     findings, and an empty table gives an empty result. Candidates are worked out once and written without their text.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    dictionary = word_list(sample_texts(docs, id_col, text_col, path_col))
+    dictionary = word_list(docs, text_col)
     found = saved(candidates(docs, dictionary, id_col, text_col, path_col), "findings")
     if findings is None:
         findings = labelled_findings(found)

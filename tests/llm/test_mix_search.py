@@ -280,3 +280,14 @@ def test_license_templates_cover_common_notices(spark):
     assert got == {k: name for k, (name, _) in enumerate(notices)}
     plain = [(k, " ".join(w for w in prose("en", 3 + k % 9, k).split()) + "\nthe public was here\ncreative commons", "en", "a") for k in range(30)]
     assert licenses.license_scan(frame(spark, plain)).count() == len(brute_licenses(plain))
+
+
+def test_secret_scan_counts_and_learns_without_a_sample(spark):
+    """Words of long texts and of every row count, and all 7 500 labelled candidates are learned from (3 000 of a label before)."""
+    long = " ".join(["zebra"] + ["of"] * 9000)
+    docs = frame(spark, [(k, long, "en", "a.py") for k in range(3)] + [(None, "Quagga", None, None)] * 3 + [(9, None, "en", None), (10, "okapi okapi okapi", "en", "a")])
+    assert {r.word: r.n for r in secret_scan.word_counts(docs).collect()} == {"zebra": 3, "quagga": 3, "okapi": 1}
+    assert secret_scan.word_list(docs) == {"zebra", "quagga"} and secret_scan.word_list(docs, size=1) == {"quagga"}
+    row = [f"0D AS {f}" for f in secret_scan.FEATURES]
+    found = spark.range(8000).selectExpr("id AS doc_id", "0L AS begin", *row, "CASE WHEN id < 4000 THEN 0D WHEN id < 7500 THEN 1D ELSE -1D END AS label")
+    assert secret_scan.labelled_findings(found).groupBy("label").count().sort("label").collect() == [(0.0, 4000), (1.0, 3500)]
