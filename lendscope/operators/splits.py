@@ -152,8 +152,8 @@ def shuffle_parts(
     if has_missing(df, key):
         return _parts_from_copies(df, key, repeats, sizes, test_size, seed, out)
     number = order_number(df, key, whole_row=False)
-    hashes = F.transform(F.sequence(F.lit(1), F.lit(repeats)), lambda r: key_hash(number, F.lit(seed) + r))
-    hashed = df.select(F.col(f"`{key}`").alias("_key"), F.posexplode(hashes).alias("_r", "_hash"))
+    each = df.select(F.col(f"`{key}`").alias("_key"), number.alias("_number"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r"))
+    hashed = each.select("_key", "_r", key_hash(F.col("_number"), F.lit(seed + 1) + F.col("_r")).alias("_hash"))
     width = -(-HASH_MODULUS // HASH_BUCKETS)
     coarse = hashed.groupBy("_r", F.floor(F.col("_hash") / width).cast("int").alias("_b")).agg(F.count(F.lit(1)).alias("n"))
     wanted: dict[tuple[int, int], int] = {}
@@ -163,9 +163,8 @@ def shuffle_parts(
         sofar[r["_r"]] = low + r["n"]
         if any(low < c <= low + r["n"] for c in cuts):
             wanted[r["_r"], r["_b"]] = low
-    listed = F.array(*[F.lit(b * HASH_BUCKETS * 2 + r).cast("long") for r, b in wanted]) if wanted else F.array().cast("array<bigint>")
-    code = F.floor(F.col("_hash") / width).cast("long") * (HASH_BUCKETS * 2) + F.col("_r")
-    fine = hashed.where(F.array_contains(listed, code)).groupBy("_r", "_hash").agg(
+    code = (F.floor(F.col("_hash") / width).cast("int") * (HASH_BUCKETS * 2) + F.col("_r")).cast("int")
+    fine = hashed.where(code.isin([b * HASH_BUCKETS * 2 + r for r, b in wanted])).groupBy("_r", "_hash").agg(
         F.count(F.lit(1)).alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high"))
     marks: list[list[tuple[int, int, int]]] = [[] for _ in range(repeats)]  # (hash, rows of it below the cut, its rows)
     running, last = 0, None
@@ -186,16 +185,20 @@ def shuffle_parts(
         if any(len(set(keys)) < len(keys) for keys in ends.values()):
             return _parts_from_copies(df, key, repeats, sizes, test_size, seed, out)
     kind = df.schema[key].dataType
-    bounds = F.array(*[F.array(*[F.struct(
-        F.lit(h).cast("long").alias("hash"),
-        F.lit(sorted(ends[r, h])[below - 1] if (r, h) in shared else None).cast(kind).alias("key")) for h, below, _ in own])
-        for r, own in enumerate(marks)]) if cuts else F.array()
-    above = lambda h: lambda c: (c["hash"] < h) | (c["hash"].eqNullSafe(h) & F.coalesce(F.col(f"`{key}`") > c["key"], F.lit(False)))
-    parts = F.zip_with(hashes, bounds, lambda h, own: F.size(F.filter(own, above(h)))) if cuts else F.transform(hashes, lambda h: F.lit(0))
+    # Hashes are columns, and comparisons written out, so that both compile with the scan.
+    marked = df.select("*", *[F.coalesce(key_hash(number, seed + 1 + r), F.lit(-1).cast("long")).alias(f"_shuffle_hash{r}") for r in range(repeats)])
+
+    def above(r: int, hash_: int, below: int) -> Column:
+        own = F.col(f"_shuffle_hash{r}")
+        if (r, hash_) not in shared:
+            return own > hash_
+        return (own > hash_) | ((own == hash_) & F.coalesce(F.col(f"`{key}`") > F.lit(sorted(ends[r, hash_])[below - 1]).cast(kind), F.lit(False)))
+
+    parts = [sum((F.when(above(r, h, below), 1).otherwise(0) for h, below, _ in own), F.lit(0)) for r, own in enumerate(marks)]
     # Cuts at 0 rows stand below every row; equal cuts count as often as they occur.
     every = shuffle_cuts(total, sizes, test_size)
     steps = F.array(*[F.lit(sum(c <= 0 or c in cuts[:i] for c in every)) for i in range(len(cuts) + 1)])
-    return df.withColumn(out, F.transform(parts, lambda p: F.get(steps, p)))
+    return marked.select(*[F.col(f"`{c}`") for c in df.columns], F.array(*[F.get(steps, p) for p in parts]).alias(out))
 
 
 def _parts_from_copies(df: DataFrame, key: str, repeats: int, sizes, test_size: float, seed: int, out: str) -> DataFrame:

@@ -358,6 +358,7 @@ def rule_learning_curve(
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count(F.lit(1)).alias("rows"),
     )
+    cells = settle(cells)  # a row per repeat and part, read twice
     # A training part of size i is made of the slices 1 to i.
     grown = cells.where("part > 0").select(
         "repeat", F.explode(F.sequence(F.col("part"), F.lit(len(sizes)))).alias("size"), "tp", "pos", "rows"
