@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lendscope.operators import splits
+from lendscope.plans import model_queries
 
 
 def test_shuffles_are_compiled_with_the_scan(spark):
@@ -10,3 +11,7 @@ def test_shuffles_are_compiled_with_the_scan(spark):
     assert "lambda" not in parts._jdf.queryExecution().toString()
     counts = parts.select(F.posexplode("parts").alias("r", "part")).groupBy("r", "part").count()
     assert sorted(tuple(r) for r in counts.collect()) == [(r, p, n) for r in range(3) for p, n in ((0, 100), (1, 200), (2, 200))]
+
+
+def test_partitions_of_a_matrix_grow_with_its_rows(spark):
+    assert [model_queries.partitions(spark.range(n)) for n in (0, 10, 950_000)] == [4, 4, 10]
