@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lendscope.operators.features import add_event
@@ -50,6 +52,8 @@ loans AS (
 """
 
 TABLES = ("lineitem", "orders", "customer")
+#: Line items are grouped, and customers joined, in one task per so many bytes of all input files.
+JOINED_BY, PART_BYTES = {"lineitem": "l_orderkey", "customer": "c_custkey"}, 8 << 20
 CUTOFF = "2000-09"
 AFTER_CUTOFF = "2000-10-01"
 REFERENCE_DATE = "2001-12-31"
@@ -114,11 +118,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return nan_to_null(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def loans_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def loans_plan(spark: SparkSession, sf_dir: str, parts: int = 1) -> DataFrame:
+    """The loans; with several ``parts`` line items and customers are dealt by the keys of the joins into as many tasks."""
     text = f"WITH {LOAN_CTES} SELECT * FROM loans"
     for name in TABLES:
-        view = f"lendscope_{name}"
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(view)
+        view, rows = f"lendscope_{name}", spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        (rows.repartition(parts, JOINED_BY[name]) if parts > 1 and name in JOINED_BY else rows).createOrReplaceTempView(view)
         text = text.replace(f"FROM {name} ", f"FROM {view} ").replace(f"JOIN {name} ", f"JOIN {view} ")
     return nan_to_null(spark.sql(text))
 
@@ -133,6 +138,12 @@ def input_state(spark: SparkSession, sf_dir: str) -> list[tuple]:
     return sorted(tuple(r) for r in files.collect())
 
 
+def loan_parts(spark: SparkSession, files: Sequence[tuple]) -> int:
+    """Tasks of the joins, by the input's bytes: what one task holds stays the same however large the tables are."""
+    parts = -(-sum(size for _, size, _ in files) // PART_BYTES)
+    return max(parts, spark.sparkContext.defaultParallelism) if parts > 1 else 1
+
+
 def loans_path(spark: SparkSession, sf_dir: str) -> str:
     """The loan table as written once per application to the shared folder.
 
@@ -142,7 +153,7 @@ def loans_path(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, *input_state(spark, sf_dir))
     if key not in _WRITTEN:
         path = work_path(spark, "loans")
-        loans_plan(spark, sf_dir).write.parquet(path)
+        loans_plan(spark, sf_dir, loan_parts(spark, key[2:])).write.parquet(path)
         _WRITTEN[key] = path
     return _WRITTEN[key]
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lendscope.operators import splits
-from lendscope.plans import model_queries
+from lendscope.plans import loans, model_queries
 
 
 def test_shuffles_are_compiled_with_the_scan(spark):
@@ -15,3 +15,18 @@ def test_shuffles_are_compiled_with_the_scan(spark):
 
 def test_partitions_of_a_matrix_grow_with_its_rows(spark):
     assert [model_queries.partitions(spark.range(n)) for n in (0, 10, 950_000)] == [4, 4, 10]
+
+
+def test_loans_are_joined_in_more_tasks_from_larger_files(spark, tmp_path, monkeypatch):
+    spark.range(40).selectExpr("id % 15 AS l_orderkey", "id % 4 AS l_suppkey", "id * 1.5D AS l_extendedprice", "IF(id % 3 = 0, 'R', 'N') AS l_returnflag"
+                               ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(20).selectExpr("IF(id = 3, NULL, id) AS o_orderkey", "IF(id = 5, NULL, id % 7) AS o_custkey", "'F' AS o_orderstatus", "id * 100D AS o_totalprice",
+                               "timestamp_ntz'2000-01-01 00:00:00' AS o_orderdate", "'1-URGENT' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(6).selectExpr("id AS c_custkey", "'BUILDING' AS c_mktsegment", "id * 10D AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    files = loans.input_state(spark, str(tmp_path))
+    assert loans.loan_parts(spark, files) == 1
+    monkeypatch.setattr(loans, "PART_BYTES", 100)
+    parts = loans.loan_parts(spark, files)
+    assert parts == -(-sum(f[1] for f in files) // 100) > spark.sparkContext.defaultParallelism
+    rows = [sorted(map(str, loans.loans_plan(spark, str(tmp_path), n).collect())) for n in (1, parts)]
+    assert rows[0] == rows[1] and len(rows[0]) == 20
