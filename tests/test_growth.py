@@ -1,8 +1,10 @@
 """Steps whose tasks must not grow with the tables."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lendscope.operators import splits
+from lendscope.operators import boosting, splits
 from lendscope.plans import loans, model_queries
 
 
@@ -30,3 +32,20 @@ def test_loans_are_joined_in_more_tasks_from_larger_files(spark, tmp_path, monke
     assert parts == -(-sum(f[1] for f in files) // 100) > spark.sparkContext.defaultParallelism
     rows = [sorted(map(str, loans.loans_plan(spark, str(tmp_path), n).collect())) for n in (1, parts)]
     assert rows[0] == rows[1] and len(rows[0]) == 20
+
+
+def test_a_task_folds_its_rows_into_sums_per_bin():
+    r = np.random.default_rng(1)
+    bins, y, w, score = r.integers(0, 3, (50, 2)), r.integers(0, 2, 50) * 1.0, r.random(50), r.random(50)
+    batch = pa.RecordBatch.from_arrays([pa.array(bins.tolist(), pa.list_(pa.int32())), *map(pa.array, (y, w, score))], ["bins", "y", "w", "score"])
+    leaf = lambda n, value: {"node": n, "feature": None, "cut": None, "bin": None, "low": None, "high": None, "value": value, "gain": 0.0}
+    tree = [{**leaf(0, 0.0), "feature": 1, "bin": 2, "low": 1, "high": 2}, leaf(1, 0.5), leaf(2, -0.25)]
+    (got,) = boosting.folded([tree], tree, 1, [2], [3, 3])(iter([batch.slice(0, 20), batch.slice(20)]))
+    margin = score + np.where(bins[:, 1] < 2, 0.5, -0.25)
+    p, want = 1 / (1 + np.exp(-margin)), {}
+    for row in np.flatnonzero(bins[:, 1] >= 2):
+        for f in (0, 1):
+            g, h, n = want.get((2, f, bins[row, f]), (0, 0, 0))
+            want[2, f, bins[row, f]] = (g + w[row] * (p[row] - y[row]), h + w[row] * p[row] * (1 - p[row]), n + 1)
+    found = {(x["node"], x["feature"], x["bin"]): (x["g"], x["h"], x["n"]) for x in got.to_pylist()}
+    assert found.keys() == want.keys() and all(np.allclose(found[k], want[k]) for k in want)
