@@ -16,7 +16,7 @@ from lendscope.operators.monitoring import window_aggregates, with_window_rates
 from lendscope.operators.running import running_totals
 from lendscope.sources.sinks import MONTH, UNDATED
 from lendscope.sources.workspace import work_path
-from lendscope.streaming.first_rows import first_rows, keyed_state
+from lendscope.streaming.first_rows import first_of_batch, keyed_state, marked_rows
 
 SCORE_DIGITS = 3
 BATCH = "part_batch"
@@ -158,8 +158,8 @@ def stream_ingest(
 
     The rule is that of the batch merge (``one_per_key``): a stored key keeps its row, of several new rows the earliest
     stays, and rows without a key are all kept. Stored keys live in the query's state, so a batch costs what its own
-    rows cost, however large the table is. Rows that lay in ``sink`` before the first run count as stored;
-    from then on the stream is the table's only writer. A batch that is run again after a failure takes up its state before it and
+    rows cost, however large the table is. Keys of rows that lay in ``sink`` before the first run are listed beside the checkpoint
+    and count as stored; from then on the stream is the table's only writer. A batch that is run again after a failure takes up its state before it and
     replaces the files of its own number, so nothing is added twice.
     """
     rows = read_files(spark, source, schema, files_per_batch)
@@ -168,18 +168,20 @@ def stream_ingest(
     rows = rows.withColumn(MONTH, F.coalesce(month_key(F.col(ts)), F.lit(UNDATED)))
     kept = _with_field(rows.schema, BATCH, T.StringType())
     run = sha256(checkpoint.encode()).hexdigest()[:16]
-    begun = _exists(spark, f"{checkpoint}/commits/0")
-    own = F.col("_metadata.file_path").contains(f"/{BATCH}={run}-")  # of a first batch that did not end
-    stored = read_table(spark, kept, sink).where(~own) if not begun and _exists(spark, sink) else None
+    known, keys = f"{checkpoint}/known", T.StructType([rows.schema[key]])
+    if not _exists(spark, f"{checkpoint}/metadata"):  # written as the query starts; a list of keys without it is not in use yet
+        own = F.col("_metadata.file_path").contains(f"/{BATCH}={run}-")  # of a checkpoint that was taken away
+        stored = read_table(spark, kept, sink).where(~own).select(f"`{key}`") if _exists(spark, sink) else spark.createDataFrame([], keys)
+        stored.distinct().write.format("parquet").mode("overwrite").save(known)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        marked = batch.withColumn(BATCH, F.lit(f"{run}-{batch_id}"))
-        writer = marked.hint("rebalance", MONTH).write.partitionBy(MONTH, BATCH).mode("overwrite")
+        fresh = first_of_batch(batch, key, ts).withColumn(BATCH, F.lit(f"{run}-{batch_id}"))
+        writer = fresh.hint("rebalance", MONTH).write.partitionBy(MONTH, BATCH).mode("overwrite")
         writer.option("partitionOverwriteMode", "dynamic").parquet(sink)
 
     with keyed_state(spark):
-        query = first_rows(rows, key, ts, stored).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
-        running = query.trigger(availableNow=True).start()
+        marked = marked_rows(rows, key, read_files(spark, known, keys))
+        running = marked.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     running.awaitTermination()
     return read_table(spark, kept, sink).drop(MONTH, BATCH)
 
