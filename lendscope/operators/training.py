@@ -213,8 +213,9 @@ def fold_matrix(
 
 
 def add_probability(model: Model, df: DataFrame, features: Sequence[str], out: str = "score") -> DataFrame:
+    """The rows with the model's probability of an event, worked out once a row however often, or in which filters, it is used."""
     scored = model.transform(assemble(df, features))
-    return scored.select(*df.columns, vector_to_array("probability")[1].alias(out))
+    return scored.select(*df.columns, F.explode(F.array(vector_to_array("probability")[1])).alias(out))  # conditions stay above a generator
 
 
 def choose_threshold(scored: DataFrame, label: str, strategy: str, min_precision: float) -> float:

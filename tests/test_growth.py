@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lendscope.operators import boosting, splits
+from lendscope.operators import boosting, scoring, splits, training
 from lendscope.plans import loans, model_queries
 
 
@@ -49,3 +49,15 @@ def test_a_task_folds_its_rows_into_sums_per_bin():
             want[2, f, bins[row, f]] = (g + w[row] * (p[row] - y[row]), h + w[row] * p[row] * (1 - p[row]), n + 1)
     found = {(x["node"], x["feature"], x["bin"]): (x["g"], x["h"], x["n"]) for x in got.to_pylist()}
     assert found.keys() == want.keys() and all(np.allclose(found[k], want[k]) for k in want)
+
+
+def test_a_probability_is_worked_out_once_a_row(spark):
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(60)], "key int, a double, b double, event int")
+    model = training.fit_classifier({"type": "logistic_regression"}, rows, "event", ["a", "b"])
+    scored = training.add_probability(model, rows, ["a", "b"], "_score")
+    assert [r["_score"] for r in scored.orderBy("key").collect()] == [r["probability"][1] for r in model.transform(training.assemble(rows, ["a", "b"])).orderBy("key").collect()]
+    columns = scoring.prediction_columns(F.col("_score"), F.col("key"), "event", 0.5, "1", F.lit(None).cast("timestamp_ntz"))
+    used = scored.select("key", *[c.alias(n) for n, c in columns.items()]).where("score_event IS NOT NULL AND pred_event >= 0")
+    assert used.count() == 60
+    plan = used._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UDF(") == 4
