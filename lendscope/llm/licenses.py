@@ -144,7 +144,8 @@ def license_scan(
     empty texts, texts without two words and an empty table give no rows; repeated rows and a null id give rows like others.
 
     A unit is compared only with templates whose size can reach the threshold: template sizes are spread
-    over the admissible numbers of bigrams, which makes an equality join of a fixed, small table. The
+    over the admissible numbers of bigrams, which makes an equality join of a fixed, small table. Only units of whose bigrams
+    threshold / (2 - threshold) or more occur in some template at all, and which have one word more of templates, come that far. The
     coefficient itself is worked out where enough distinct bigrams are shared for it to reach the threshold. A unit that
     reaches it shares at least threshold / (2 - threshold) of the template's bigrams; templates of which too few lack a mark
     for that (``MARKS``) are kept from units without a mark.
@@ -181,7 +182,12 @@ def license_scan(
     pairs = F.zip_with(F.slice(words, 1, F.col("bigrams")), F.slice(words, F.lit(2), F.col("bigrams")),
                        lambda a, b: F.concat(a, F.lit(" "), b))
     marked = reduce(or_, [F.contains("words", F.lit(m)) for m in MARKS])
+    # Before any template is looked at; template words are letters and digits only.
+    some = {"pairs": sorted({p for *_, distinct in bags for p in distinct}), "split(words, ' ')": sorted({w for *_, distinct in bags for p in distinct for w in p.split()})}
+    in_some = [f"size(filter({of}, x -> x IN ({', '.join(map(repr, texts))})))" for of, texts in some.items()]
+    able = "{1} - 1 >= {2} AND {0} >= {2}".format(*in_some, f"bigrams * {threshold / (2 - threshold)!r}D - 1e-9D")
     close = (units.select("doc_id", "row_no", "unit", "unit_no", "bigrams", marked.alias("marked"), pairs.alias("pairs"))
+             .where(able)
              .join(F.broadcast(fits), ["bigrams", "marked"])
              .join(F.broadcast(known), "template"))
     repeats = F.col("own") - F.size("distinct")

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lendscope.llm import licenses
 from lendscope.operators import boosting, scoring, splits, training
 from lendscope.plans import loans, model_queries
 
@@ -61,3 +62,14 @@ def test_a_probability_is_worked_out_once_a_row(spark):
     assert used.count() == 60
     plan = used._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("UDF(") == 4
+
+
+def test_prose_meets_no_licence_template(spark):
+    """Units without enough bigrams of any template leave before the join with templates; others keep their coefficient."""
+    mit = next(text for _, text in licenses.TEMPLATES if text.startswith("Released under the MIT"))
+    rows = [(1, "the public may copy a permit to license plates"), (2, mit), (3, f"{mit} ok"), (4, "licensed license the under the mit")]
+    scan = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["doc_id"], r["license"]) for r in scan.collect()} >= {(2, "MIT"), (3, "MIT")}
+    plan = scan._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join Inner, ((bigrams")
+    assert "INSET" in plan[join:]
