@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -55,7 +56,7 @@ class MergeCodec:
         self.surfaces = [self._surface(p, model.trainer_spec.unk_surface) for p in model.pieces]
         self.id_text = [str(i) for i in range(len(self.surfaces))]
         self.local = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.solved: dict[str, str] = {}
+        self.solved: dict[str, bytes] = {}  # ids of a segment, four bytes each
         self._tables()
 
     @staticmethod
@@ -118,47 +119,64 @@ class MergeCodec:
         return ids
 
     def merge_many(self, segments: list[str]) -> list[list[int]]:
-        """``merge`` for many short segments side by side: each round takes the best entry of every segment's agenda."""
+        """``merge`` for many short segments side by side."""
+        ids, length = self.merge_flat(segments)
+        ids, ends = ids.tolist(), np.cumsum(length).tolist()
+        return [ids[begin:end] for begin, end in zip([0, *ends], ends)]
+
+    def merge_flat(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments one after the other, and how many each has: each round takes the best entry of every
+        segment's agenda."""
         marked = [SPACE + s.replace(" ", SPACE) for s in segments]
         points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.int64)
-        length = np.array([len(m) for m in marked])
+        length = np.fromiter(map(len, marked), np.int64, len(marked))
         symbol = self.point_symbol[np.minimum(points, len(self.point_symbol) - 1)]
         symbol = np.where(symbol >= 0, symbol, -2 - points)  # never part of a pair
-        owner = np.repeat(np.arange(len(marked)), length)
+        entry, joined = np.full(len(symbol), NO_PAIR), np.zeros(len(symbol), np.int64)
+        entry[:-1], joined[:-1] = self._pairs(symbol[:-1], symbol[1:])
+        entry[np.cumsum(length) - 1] = NO_PAIR
+        left, owner = length, np.arange(len(marked))  # of the segments with open entries
         done_symbol, done_owner = [], []
-        entry, joined = self._pairs(symbol[:-1], symbol[1:])
-        entry = np.append(np.where(owner[1:] == owner[:-1], entry, NO_PAIR), NO_PAIR)
-        joined = np.append(joined, 0)
         while len(symbol):
-            start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            best = np.minimum.reduceat(entry << 32 | np.arange(len(entry)), start)
+            end = np.cumsum(left)
+            best = np.minimum.reduceat(entry << 32 | np.arange(len(entry)), end - left)
             open_ = best >> 32 < NO_PAIR
-            stay = np.repeat(open_, np.diff(np.r_[start, len(symbol)]))
-            done_symbol.append(symbol[~stay])
-            done_owner.append(owner[~stay])
+            stay = np.repeat(open_, left)
+            if not open_.all():
+                done_symbol.append(symbol[~stay])
+                done_owner.append(np.repeat(owner[~open_], left[~open_]))
             place = best[open_] & 0xFFFFFFFF
             symbol[place] = joined[place]
             stay[place + 1] = False
-            moved = np.cumsum(stay) - 1
-            at = moved[place]
-            symbol, owner, entry, joined = symbol[stay], owner[stay], entry[stay], joined[stay]
-            for left in (at[at > 0] - 1, at):
-                right = np.minimum(left + 1, len(symbol) - 1)
-                new, to = self._pairs(symbol[left], symbol[right])
-                entry[left] = np.where((owner[left] == owner[right]) & (left < right), new, NO_PAIR)
-                joined[left] = to
+            kept = np.flatnonzero(stay)
+            symbol, entry, joined = symbol[kept], entry[kept], joined[kept]
+            begin = (end - left)[open_]
+            left, owner = left[open_] - 1, owner[open_]
+            after = np.cumsum(left)
+            at = place - begin + after - left
+            for one, inside in ((at - 1, at > after - left), (at, at + 1 < after)):
+                entry[at[~inside & (one == at)]] = NO_PAIR
+                one = one[inside]
+                entry[one], joined[one] = self._pairs(symbol[one], symbol[one + 1])
+        if not done_symbol:
+            return np.zeros(0, np.int64), length
         symbol, owner = np.concatenate(done_symbol), np.concatenate(done_owner)
-        order = np.argsort(owner, kind="stable")
-        flat = symbol[order].tolist()
-        ends = np.cumsum(np.bincount(owner, minlength=len(marked))).tolist()
-        found, begin = [], 0
-        for end in ends:
-            ids: list[int] = []
-            for s in flat[begin:end]:
-                ids += self.symbol_ids[s] if s >= 0 else [self.bytes[b] for b in chr(-2 - s).encode()]
-            found.append(ids)
-            begin = end
-        return found
+        symbol = symbol[np.argsort(owner, kind="stable")]
+        known = symbol >= 0
+        strange, place = np.unique(-2 - symbol[~known], return_inverse=True)
+        spelled = np.concatenate([self.symbol_ids, self._padded([[self.bytes[b] for b in chr(p).encode()] for p in strange.tolist()])])
+        symbol[~known] = len(self.symbol_ids) + place
+        ids = spelled[symbol]
+        used = ids >= 0
+        each = used.sum(axis=1)
+        ends = np.cumsum(np.bincount(owner, minlength=len(marked)))
+        total = np.r_[0, np.cumsum(each)][ends]
+        return ids[used], np.diff(total, prepend=0)
+
+    @staticmethod
+    def _padded(rows: list[list[int]]) -> np.ndarray:
+        """Ids of symbols, a character's four bytes at most, -1 where there is none."""
+        return np.array([r + [-1] * (4 - len(r)) for r in rows], np.int64).reshape(-1, 4)
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and joined symbol of each pair, NO_PAIR where it forms no piece."""
@@ -169,7 +187,7 @@ class MergeCodec:
     def _tables(self) -> None:
         names = list(dict.fromkeys([*self.ids, *sorted({c for p in self.ids for c in p})]))
         number = {p: n for n, p in enumerate(names)}
-        self.symbol_ids = [[self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()] for p in names]
+        self.symbol_ids = self._padded([[self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()] for p in names])
         points = {ord(p): n for p, n in number.items() if len(p) == 1}
         self.point_symbol = np.full(max(points) + 2, -1, np.int64)
         self.point_symbol[list(points)] = list(points.values())
@@ -181,11 +199,21 @@ class MergeCodec:
         """Solve segments and check them against the library; a difference ends the job with both results."""
         short = [s for s in fresh if len(s) < LONG]
         long = [s for s in fresh if len(s) >= LONG]
-        mine = (self.merge_many(short) if short else []) + [self.merge(s) for s in long]
-        for segment, own, other in zip(short + long, mine, self.library.encode(short + long, num_threads=1)):
-            if own != other and segment:
-                raise ValueError(f"segment {segment!r}: agenda {own}, library {other}")
-            self.solved[segment] = ",".join([self.id_text[i] for i in own])
+        ids, length = self.merge_flat(short)
+        merged = [self.merge(s) for s in long]
+        order = short + long
+        flat = ids.tolist() + list(chain.from_iterable(merged))
+        ends = list(accumulate(length.tolist() + [len(m) for m in merged]))
+        others = self.library.encode(order, num_threads=1)
+        if "" in order:  # the mark alone, which the library drops where nothing else is in a text
+            at = order.index("")
+            others[at] = flat[ends[at - 1] if at else 0:ends[at]]
+        if ends != list(accumulate(map(len, others))) or flat != list(chain.from_iterable(others)):
+            for segment, begin, end, other in zip(order, [0, *ends], ends, others):
+                if flat[begin:end] != other:
+                    raise ValueError(f"segment {segment!r}: agenda {flat[begin:end]}, library {other}")
+        packed = np.array(flat, np.int32).tobytes()
+        self.solved.update(zip(order, [packed[4 * begin:4 * end] for begin, end in zip([0, *ends], ends)]))
 
     def encode_batch(self, texts: list[str]) -> list[tuple[str, list[int], str]]:
         """(ids joined by commas, ids, text decoded from them) of each text.
@@ -194,14 +222,19 @@ class MergeCodec:
         ends the job with both results.
         """
         cut = [self.segments(t) for t in texts]
-        words = {s for segments in cut for s in segments}
-        fresh = words - self.solved.keys()
-        if len(self.solved) + len(fresh) > REMEMBERED:
-            self.solved.clear()
-            fresh = words
-        self.learn(list(fresh))
-        joined = [",".join(map(self.solved.__getitem__, segments)) for segments in cut]
-        ids = [list(map(int, j.split(","))) if j else [] for j in joined]
+        words = list(chain.from_iterable(cut))
+        packed = list(map(self.solved.get, words))
+        missing = [at for at, ids in enumerate(packed) if ids is None]
+        if missing:
+            fresh = list({words[at] for at in missing})
+            if len(self.solved) + len(fresh) > REMEMBERED:
+                self.solved.clear()
+            self.learn(fresh)
+            for at in missing:
+                packed[at] = self.solved[words[at]]
+        ends = accumulate(map(len, cut), initial=0)
+        ids = [np.frombuffer(b"".join(packed[begin:end]), np.int32).tolist() for begin, end in pairwise(ends)]
+        joined = [",".join(map(self.id_text.__getitem__, own)) for own in ids]
         spoken = [self.speak(own) for own in ids]
         for text, own, other in zip(texts, spoken, self.library.decode(ids, num_threads=1) if ids else []):
             if own != other:

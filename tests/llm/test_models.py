@@ -5,6 +5,7 @@ import os
 import random
 import subprocess
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -179,6 +180,39 @@ def test_side_by_side_merging_equals_the_agenda(codec):
     assert codec.merge_many(words) == [codec.merge(w) for w in words]
 
 
+def test_flat_merging_of_strange_and_missing_segments(codec):
+    words = ["", "漢字😀", "x" * 60, "\x00", "a  b", "é̂", "the"]
+    ids, length = codec.merge_flat(words)
+    assert length.tolist() == [len(codec.merge(w)) for w in words]
+    assert ids.tolist() == [i for w in words for i in codec.merge(w)]
+    assert [len(x) for x in codec.merge_flat([])] == [0, 0]
+    for texts in ([], [""], ["x" * 60], [" ", "", "x" * 70 + " "]):
+        assert [ids for _, ids, _ in codec.encode_batch(texts)] == [codec.library.encode(t) for t in texts]
+
+
+def test_a_wrong_segment_is_noticed(monkeypatch):
+    own = pieces.MergeCodec(piece_model())
+    monkeypatch.setattr(own, "merge", lambda segment: [own.ids["a"]])
+    with pytest.raises(ValueError, match="agenda"):
+        own.encode_batch(["the water " + "runs" * 20])
+
+
+def test_a_batch_does_not_walk_over_remembered_segments(monkeypatch):
+    """The time of a small batch is that of its own segments, however many others are remembered."""
+    own = pieces.MergeCodec(piece_model())
+
+    def seconds(word: str) -> float:
+        began = time.process_time()
+        for k in range(100):
+            own.encode_batch([f"{word}{k}"])
+        return time.process_time() - began
+
+    seconds("warm")
+    alone = seconds("few")
+    own.solved.update(dict.fromkeys(map(str, range(400_000)), b""))
+    assert seconds("many") < 2 * alone + 0.1
+
+
 def test_remembered_segments_are_bounded(codec, monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED", 50)
     for k in range(20):
