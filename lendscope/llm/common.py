@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,17 @@ def clear_worker() -> None:
     gc.collect()
 
 
+def bounded(texts: Sequence[str], most: int) -> list[slice]:
+    """Consecutive parts of at most ``most`` characters, or of one longer text."""
+    parts, begin, size = [], 0, 0
+    for i, t in enumerate(texts):
+        if i > begin and size + len(t) > most:
+            parts.append(slice(begin, i))
+            begin, size = i, 0
+        size += len(t)
+    return parts + [slice(begin, len(texts))] if len(texts) > begin else parts
+
+
 def thinned(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About 1.25 times ``rows`` rows chosen by a hash of the key, or all if there are few: what a top-``rows`` by the
     same hash needs, so that no task sends more than its share to the driver."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from heapq import heapify, heappop, heappush
 from itertools import accumulate, chain, pairwise
 
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import clear_worker, small_batches
+from lendscope.llm.common import bounded, clear_worker, small_batches
 
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -21,6 +21,9 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 REMEMBERED = 600_000
 #: Segments from this length on are merged one by one.
 LONG = 48
+#: Texts and characters (or one longer text) that are encoded at once, and new segments that are solved at once; with
+#: the remembered segments they bound a worker's memory, however many rows an Arrow batch has.
+TEXTS_AT_ONCE, CHARS_AT_ONCE, FRESH_AT_ONCE = 128, 500_000, 8192
 NO_PAIR = 1 << 30
 
 
@@ -229,7 +232,8 @@ class MergeCodec:
             fresh = list({words[at] for at in missing})
             if len(self.solved) + len(fresh) > REMEMBERED:
                 self.solved.clear()
-            self.learn(fresh)
+            for at in range(0, len(fresh), FRESH_AT_ONCE):
+                self.learn(fresh[at:at + FRESH_AT_ONCE])
             for at in missing:
                 packed[at] = self.solved[words[at]]
         ends = accumulate(map(len, cut), initial=0)
@@ -241,6 +245,13 @@ class MergeCodec:
                 raise ValueError(f"ids of {text[:200]!r}: surfaces give {own[:200]!r}, library {other[:200]!r}")
         return list(zip(joined, ids, spoken))
 
+    def encode_parts(self, texts: Sequence[str | None], rows: int = TEXTS_AT_ONCE) -> Iterator[tuple[slice, list[tuple[str, list[int], str]]]]:
+        """``encode_batch`` for consecutive parts of at most ``rows`` texts, null counting as empty."""
+        for at in range(0, len(texts), rows):
+            some = [t or "" for t in texts[at:at + rows]]
+            for part in bounded(some, CHARS_AT_ONCE):
+                yield slice(at + part.start, at + part.stop), self.encode_batch(some[part])
+
     def speak(self, ids: list[int]) -> str:
         """The text of ids: bytes side by side form characters, and the first mark is left out."""
         return b"".join(map(self.surfaces.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -262,8 +273,8 @@ def encode_column(text: Column, model_file: str) -> Column:
             clear_worker()
             codec.append(MergeCodec(model_file))
         for texts in batches:
-            found = codec[0].encode_batch([t or "" for t in texts])
-            yield pd.DataFrame({"ids": [f[1] for f in found], "decoded": [f[2] for f in found]})
+            for _, found in codec[0].encode_parts(texts.tolist()):
+                yield pd.DataFrame({"ids": [f[1] for f in found], "decoded": [f[2] for f in found]})
 
     return F.pandas_udf(run, "ids array<int>, decoded string")(text)
 
@@ -282,12 +293,9 @@ def piece_digests(
         clear_worker()
         codec = MergeCodec(model_file)
         for whole in batches:
-            for at in range(0, whole.num_rows, rows_per_call):
-                batch = whole.slice(at, rows_per_call)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                found = codec.encode_batch(texts)
+            for part, found in codec.encode_parts(whole.column(1).to_pylist(), rows_per_call):
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0),
+                    whole.column(0).slice(part.start, part.stop - part.start),
                     pa.array([len(ids) for _, ids, _ in found], pa.int64()),
                     pa.array([hashlib.sha256(joined.encode()).hexdigest() for joined, _, _ in found]),
                     pa.array([hashlib.sha256(decoded.encode()).hexdigest() for _, _, decoded in found]),

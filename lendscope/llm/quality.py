@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import in_fold, small_batches, thinned
+from lendscope.llm.common import bounded, in_fold, small_batches, thinned
 
 #: Bytes of one chunk, distance between chunk starts, numbers per symbol, filters.
 WIDTH, STRIDE, CHANNELS, FILTERS = 16, 4, 8, 24
@@ -163,17 +163,6 @@ class ConvNet:
         return self
 
 
-def bounded(texts: Sequence[str], most: int) -> list[slice]:
-    """Consecutive parts of at most ``most`` characters, or of one longer text."""
-    parts, begin, size = [], 0, 0
-    for i, t in enumerate(texts):
-        if i > begin and size + len(t) > most:
-            parts.append(slice(begin, i))
-            begin, size = i, 0
-        size += len(t)
-    return parts + [slice(begin, len(texts))] if len(texts) > begin else parts
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: Column,
                   sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
     """Up to ``sample`` labelled texts of each class, in the order of a hash of the id."""

@@ -6,6 +6,7 @@ import random
 import subprocess
 import sys
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -220,6 +221,42 @@ def test_remembered_segments_are_bounded(codec, monkeypatch):
         assert codec.encode(text) == codec.library.encode(text) and len(codec.solved) <= 80
 
 
+def test_encoding_holds_a_part_of_a_batch(codec, monkeypatch):
+    """However many rows a batch has, a worker holds the ids of one part of it and solves a bounded number of segments."""
+    def peak(texts):
+        tracemalloc.start()
+        for _ in codec.encode_parts(texts):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    texts = [prose("en", 60, k % 20) for k in range(128)]
+    peak(texts)
+    assert peak(texts * 10) < 1.5 * peak(texts)
+
+    asked, learned = [], []
+    own = pieces.MergeCodec(piece_model())
+    whole, solve = own.encode_batch, own.learn
+    monkeypatch.setattr(pieces, "CHARS_AT_ONCE", 100)
+    monkeypatch.setattr(pieces, "FRESH_AT_ONCE", 7)
+    monkeypatch.setattr(own, "encode_batch", lambda some: asked.append(sum(map(len, some))) or whole(some))
+    monkeypatch.setattr(own, "learn", lambda fresh: learned.append(len(fresh)) or solve(fresh))
+    rows = [None, "", prose("de", 90, 3)] + [f"w{k} of {k * k}" for k in range(300)] + ["", None]
+    parts = list(own.encode_parts(rows))
+    assert [k for part, _ in parts for k in range(part.start, part.stop)] == list(range(len(rows)))
+    assert [f[1] for _, found in parts for f in found] == [codec.library.encode(t or "") for t in rows]
+    assert max(learned) <= 7 and sorted(asked)[-2] <= 100 and list(own.encode_parts([])) == []
+
+
+def test_encoded_column_of_many_rows(spark, codec):
+    rows = [(k, None if k % 97 == 0 else prose("en", k % 9, k), "en", "a") for k in range(700)]
+    got = frame(spark, rows).coalesce(1).select("doc_id", pieces.encode_column(F.col("text"), piece_model()).alias("p")).collect()
+    texts = {k: t or "" for k, t, *_ in rows}
+    assert len(got) == len(rows)
+    assert all((r.p.ids, r.p.decoded) == ((ids := codec.library.encode(texts[r.doc_id])), codec.library.decode(ids)) for r in got)
+
+
 def test_piece_digests(spark, codec):
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = []
