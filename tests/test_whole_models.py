@@ -42,3 +42,9 @@ def test_the_record_compares_all_model_types(spark, tables, monkeypatch):
     given = arguments(monkeypatch, spark, "train_catalogue", model_queries.model_record)
     assert {s["type"] for s in given["specs"]} == set(training.KNOWN_PARAMS) and len(given["specs"]) == 5
     assert given["k"] == 5 and given["train"].count() == 90 and given["test"].count() == 30
+
+
+def test_the_learning_curve_repeats_thirty_times(spark, tables, monkeypatch):
+    given = arguments(monkeypatch, spark, "learning_curve", model_queries.learning_curve_tree)
+    assert given["repeats"] == 30 and given["sizes"] == (0.1, 0.325, 0.55, 0.775, 1.0) and given["test_size"] == 0.2
+    assert given["train"].count() == 90
