@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -142,7 +144,7 @@ def shuffle_parts(
 
     Rows are not copied. Of each repeat only the hash of the key is counted: first by buckets of hash values, then by value in the
     few buckets that hold a cut. What comes back are the values at the cuts, a few per repeat, and each row compares its own hashes
-    with them. Keys that share the hash at a cut are told apart by the key; where keys are missing, or repeat at a cut, whole rows
+    with them (``_part_numbers``). Keys that share the hash at a cut are told apart by the key; where keys are missing, or repeat at a cut, whole rows
     must be, and the copies of ``hash_slices`` do that.
     """
     if out in df.columns:
@@ -153,7 +155,7 @@ def shuffle_parts(
         return _parts_from_copies(df, key, repeats, sizes, test_size, seed, out)
     number = order_number(df, key, whole_row=False)
     each = df.select(F.col(f"`{key}`").alias("_key"), number.alias("_number"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r"))
-    hashed = each.select("_key", "_r", key_hash(F.col("_number"), F.lit(seed + 1) + F.col("_r")).alias("_hash"))
+    hashed = each.select("_key", "_number", "_r", key_hash(F.col("_number"), F.lit(seed + 1) + F.col("_r")).alias("_hash"))
     width = -(-HASH_MODULUS // HASH_BUCKETS)
     coarse = hashed.groupBy("_r", F.floor(F.col("_hash") / width).cast("int").alias("_b")).agg(F.count(F.lit(1)).alias("n"))
     wanted: dict[tuple[int, int], int] = {}
@@ -180,25 +182,38 @@ def shuffle_parts(
         if max(n for own in marks for _, _, n in own) > MOST_ALIKE:
             return _parts_from_copies(df, key, repeats, sizes, test_size, seed, out)
         pairs = df.sparkSession.createDataFrame(sorted(shared), "_r int, _hash long")
-        for r in hashed.join(F.broadcast(pairs), ["_r", "_hash"]).select("_r", "_hash", "_key").collect():
-            ends.setdefault((r["_r"], r["_hash"]), []).append(r["_key"])
-        if any(len(set(keys)) < len(keys) for keys in ends.values()):
+        for r in hashed.join(F.broadcast(pairs), ["_r", "_hash"]).select("_r", "_hash", "_key", "_number").collect():
+            ends.setdefault((r["_r"], r["_hash"]), []).append((r["_key"], r["_number"]))
+        if any(len(set(values)) < len(values) for found in ends.values() for values in zip(*found)):
             return _parts_from_copies(df, key, repeats, sizes, test_size, seed, out)
-    kind = df.schema[key].dataType
-    # Hashes are columns, and comparisons written out, so that both compile with the scan.
-    marked = df.select("*", *[F.coalesce(key_hash(number, seed + 1 + r), F.lit(-1).cast("long")).alias(f"_shuffle_hash{r}") for r in range(repeats)])
-
-    def above(r: int, hash_: int, below: int) -> Column:
-        own = F.col(f"_shuffle_hash{r}")
-        if (r, hash_) not in shared:
-            return own > hash_
-        return (own > hash_) | ((own == hash_) & F.coalesce(F.col(f"`{key}`") > F.lit(sorted(ends[r, hash_])[below - 1]).cast(kind), F.lit(False)))
-
-    parts = [sum((F.when(above(r, h, below), 1).otherwise(0) for h, below, _ in own), F.lit(0)) for r, own in enumerate(marks)]
+    # Per repeat the hashes at the cuts, and for a shared one the numbers of the keys above the cut.
+    every, above = shuffle_cuts(total, sizes, test_size), []
+    for r, own in enumerate(marks):
+        late = [(h, [number for _, number in sorted(ends[r, h])[below:]]) for h, below, n in own if below < n]
+        above.append((sorted(h for h, _, _ in own), late))
     # Cuts at 0 rows stand below every row; equal cuts count as often as they occur.
-    every = shuffle_cuts(total, sizes, test_size)
-    steps = F.array(*[F.lit(sum(c <= 0 or c in cuts[:i] for c in every)) for i in range(len(cuts) + 1)])
-    return marked.select(*[F.col(f"`{c}`") for c in df.columns], F.array(*[F.get(steps, p) for p in parts]).alias(out))
+    steps = [sum(c <= 0 or c in cuts[:i] for c in every) for i in range(len(cuts) + 1)]
+    hashes = F.array(*[F.coalesce(key_hash(number, seed + 1 + r), F.lit(-1).cast("long")) for r in range(repeats)])
+    return df.select(*[F.col(f"`{c}`") for c in df.columns], _part_numbers(above, steps)(number, hashes).alias(out))
+
+
+def _part_numbers(above: Sequence[tuple], steps: Sequence[int]):
+    """The parts in all repeats from a key's number and its hashes. As arguments of a function the hashes are compiled in pieces: many
+    of them, and comparisons with all cuts, in one scan make a method that is too long for the JVM to compile."""
+
+    def parts(number: pa.Array, hashes: pa.Array) -> pa.Array:
+        own = hashes.flatten().to_numpy(zero_copy_only=False).reshape(len(number), -1)
+        found = np.empty((len(number), len(above)), np.int32)
+        for r, (cuts, late) in enumerate(above):
+            place = np.searchsorted(np.array(cuts, np.int64), own[:, r], "left")
+            for value, numbers in late:
+                same = np.flatnonzero(own[:, r] == value)
+                if len(same):
+                    place[same] += np.isin(number.take(pa.array(same)).to_numpy(zero_copy_only=False), numbers)
+            found[:, r] = np.array(steps, np.int32)[place]
+        return pa.ListArray.from_arrays(np.arange(len(number) + 1, dtype=np.int32) * len(above), found.ravel())
+
+    return F.arrow_udf(parts, "array<int>")
 
 
 def _parts_from_copies(df: DataFrame, key: str, repeats: int, sizes, test_size: float, seed: int, out: str) -> DataFrame:
